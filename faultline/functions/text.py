@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
@@ -26,23 +27,58 @@ def any_of(patterns: Iterable[str], ignore_case: bool = False) -> str:
     return "|".join(f"(?:{flag}{p})" for p in patterns)
 
 
+def required_text(pattern: str) -> list[str] | None:
+    """Lower-case texts of which one must be in a line for the pattern to be found; None if unknown.
+
+    A plain text search is far cheaper than a regular expression and rules out nearly every line.
+    """
+    gap = "\0"
+    p = re.sub(r"\\([^A-Za-z0-9])", lambda m: chr(0xE000 + ord(m[1])), pattern.replace("(?i)", ""))
+    while True:
+        flat = re.sub(r"\((?:\?:)?[^()]*\)[?*+]?", gap, p)
+        if flat == p:
+            break
+        p = flat
+    p = re.sub(r"\[[^\]]*\][?*+]?|\\[A-Za-z][?*+]?|\.[*+]?\??|.\{[^}]*\}|.[?*]|[+^$]", gap, p)
+    runs = [max(part.split(gap), key=len) for part in p.split("|")]
+    if min(map(len, runs)) < 3 and pattern.isascii():
+        return None
+    back = lambda ch: chr(ord(ch) - 0xE000) if 0xE000 < ord(ch) < 0xE100 else ch
+    return ["".join(back(ch) for ch in r).lower() for r in runs]
+
+
+def found(c: Column, patterns: Iterable[str], ignore_case: bool = False) -> Column:
+    """Whether one of the patterns is found: a search for their fixed texts first, then the patterns."""
+    patterns = list(patterns)
+    texts = [required_text(p) for p in patterns]
+    hit = c.rlike(any_of(patterns, ignore_case))
+    if any(t is None for t in texts):
+        return hit
+    fixed = sorted({t for ts in texts for t in ts})
+    if len(fixed) == 1:
+        return F.lower(c).contains(fixed[0]) & hit
+    # the one-element array binds the lower-cased line, which is then computed once and not per text
+    any_text = lambda low: F.exists(F.array(*[F.lit(t) for t in fixed]), lambda t: low.contains(t))
+    return F.exists(F.array(F.lower(c)), any_text) & hit
+
+
 def first_match(c: Column, rules: Iterable[tuple[str, object]], ignore_case: bool = False) -> Column:
     """Value of the first rule whose pattern is found, NULL if none is."""
     out = None
     for pattern, value in rules:
-        hit = c.rlike(("(?i)" if ignore_case else "") + pattern)
+        hit = found(c, [pattern], ignore_case)
         out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
     return out
 
 
 def best_weight(c: Column, rules: Iterable[tuple[str, int]], ignore_case: bool = False) -> Column:
-    """Highest weight among the rules found, 0 if none is. One alternation per weight, highest first."""
+    """Highest weight among the rules found, 0 if none is; the rules of one weight are tried together."""
     by_weight: dict[int, list[str]] = {}
     for pattern, weight in rules:
         by_weight.setdefault(weight, []).append(pattern)
     out = None
     for weight in sorted(by_weight, reverse=True):
-        hit = c.rlike(any_of(by_weight[weight], ignore_case))
+        hit = found(c, by_weight[weight], ignore_case)
         out = F.when(hit, F.lit(weight)) if out is None else out.when(hit, F.lit(weight))
     return out.otherwise(F.lit(0))
 

@@ -15,13 +15,13 @@ IGNORED = X.any_of(shell.NOISE_LINES)
 def category_hits(line: Column, rules=R.CATEGORY_PATTERNS) -> Column:
     """Array of (ord, category, pattern): one per category, with the first pattern that is found.
 
-    A category's alternation is tested first; its patterns are told apart only on a hit.
+    A category's fixed texts are searched first, then its alternation; patterns are told apart only on a hit.
     """
     items = []
     for ord_, (name, patterns) in enumerate(rules.items()):
         which = X.first_match(line, [(p, p) for p in patterns])
         item = F.struct(F.lit(ord_).alias("ord"), F.lit(name).alias("category"), which.alias("pattern"))
-        items.append(F.when(line.rlike(X.any_of(patterns)), item))
+        items.append(F.when(X.found(line, patterns), item))
     return F.array_compact(F.array(*items))
 
 
@@ -246,11 +246,11 @@ def deep_types(primary: DataFrame, lines: DataFrame) -> DataFrame:
     points = primary.select("build_id", F.col("line_no").alias("at"), F.col("line").alias("at_line"))
     # context is ten lines back to four lines ahead
     ctx = around(points, lines, 10, 4)
-    flags = [F.max(F.col("near_line").rlike(X.any_of(p, True))).alias(f"c{i}") for i, (_, _, p) in enumerate(R.DEEP_TYPES)]
+    flags = [F.max(X.found(F.col("near_line"), p, True)).alias(f"c{i}") for i, (_, _, p) in enumerate(R.DEEP_TYPES)]
     seen = ctx.groupBy("build_id", "at", "at_line").agg(*flags)
     scores = []
     for i, (name, base, patterns) in enumerate(R.DEEP_TYPES):
-        on_line = F.col("at_line").rlike(X.any_of(patterns, True))
+        on_line = X.found(F.col("at_line"), patterns, True)
         score = F.when(on_line, F.lit(base)).when(F.col(f"c{i}"), F.lit(base - 20))
         where = F.when(on_line, F.lit("line")).otherwise(F.lit("context"))
         rank = F.when(on_line, F.lit(i)).otherwise(F.lit(100 + i))
@@ -294,7 +294,7 @@ def trace_identifiers(lines: DataFrame, primary: DataFrame, k: int = 5) -> DataF
 
 
 def is_pipeline_error(line: Column, rules=R.PIPELINE_ERRORS) -> Column:
-    return line.rlike(X.any_of(rules, True))
+    return X.found(line, rules, True)
 
 
 # Exception forms of the investigation report, first one found wins.

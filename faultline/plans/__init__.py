@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("lines",)
+GROUPS = ("lines", "errors")
 
 
 def load():

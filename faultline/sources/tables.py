@@ -33,11 +33,13 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     sizes = F.array(*[F.lit(t.count("\n") + 1) for t in templates.FRAGMENTS])
     block = F.col("l_linenumber").cast("long") * F.lit(1 << 40) + F.floor(F.col("l_partkey") / PART_BLOCK)
+    # a fixed partition count: line work is heavy on CPU for few bytes, which byte-based coalescing ignores
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = scan(
-        rows,
+        rows.withColumn("_b", block).repartition(parts, "build_id", "_b"),
         {"start": ("sum", F.get(sizes, F.col("k")).cast("long"), False)},
         order=("l_linenumber", "l_partkey", "l_quantity"),
-        bucket=block,
+        bucket=F.col("_b"),
     )
     text = F.replace(F.get(frags, F.col("k")), F.lit("{p}"), F.col("l_partkey").cast("string"))
     text = F.replace(text, F.lit("{q}"), F.col("l_quantity").cast("long").cast("string"))

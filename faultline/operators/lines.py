@@ -183,7 +183,7 @@ def job_path(src: Column) -> Column:
 
 def job_failures(events: DataFrame) -> DataFrame:
     return (
-        events.filter(F.col("raw") == "Finished: FAILURE")
+        events.filter(F.col("raw").contains("Finished: FAILURE"))
         .groupBy(job_path(F.col("src")).alias("job")).agg(F.count("*").alias("failures"))
     )
 

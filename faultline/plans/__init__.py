@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("lines", "errors")
+GROUPS = ("lines", "errors", "records")
 
 
 def load():

@@ -245,7 +245,7 @@ def b11(spark, d):
 _JOB = "array_to_string(list_filter(string_split(src, '/'), lambda x: x <> '' AND x <> 'job' AND x <> 'console' AND NOT regexp_matches(x, '^\\d+$')), '/')"
 
 
-@query("b12_job_failures", f"SELECT {_JOB} AS job, count(*) AS failures FROM failure_events WHERE raw = 'Finished: FAILURE' GROUP BY 1")
+@query("b12_job_failures", f"SELECT {_JOB} AS job, count(*) AS failures FROM failure_events WHERE contains(raw, 'Finished: FAILURE') GROUP BY 1")
 def b12(spark, d):
     return L.job_failures(T.failure_events(spark, d))
 

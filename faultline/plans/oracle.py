@@ -117,7 +117,7 @@ cte(
 cte(
     "failure_events",
     """SELECT event_id, 'h' || (user_id % 5) AS host, 'job/team/job/p' || user_id || '/' || (event_id % 50) || '/console' AS src, ts,
-  CASE event_type WHEN 'error' THEN 'Finished: FAILURE' WHEN 'view' THEN 'ERROR: step failed for ' || user_id
+  CASE event_type WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'Finished: FAILURE' ELSE 'Finished: FAILURE, script returned exit code ' || (event_id % 7) END WHEN 'view' THEN 'ERROR: step failed for ' || user_id
     WHEN 'purchase' THEN '[INFO] Downloading artifact' WHEN 'signup' THEN 'Exception: code ' || CAST(floor(value) AS BIGINT)
     ELSE 'Finished: ' || CASE WHEN event_id % 2 = 0 THEN 'SUCCESS' ELSE 'UNSTABLE' END END AS raw FROM events""",
 )

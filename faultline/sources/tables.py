@@ -73,7 +73,12 @@ def failure_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("job/team/job/p"), F.col("user_id"), F.lit("/"), F.col("event_id") % 50, F.lit("/console")
     )
     raw = (
-        F.when(F.col("event_type") == "error", F.lit("Finished: FAILURE"))
+        F.when(
+            F.col("event_type") == "error",
+            F.when(F.col("event_id") % 3 == 0, "Finished: FAILURE").otherwise(
+                F.concat(F.lit("Finished: FAILURE, script returned exit code "), F.col("event_id") % 7)
+            ),
+        )
         .when(F.col("event_type") == "view", F.concat(F.lit("ERROR: step failed for "), F.col("user_id")))
         .when(F.col("event_type") == "purchase", F.lit("[INFO] Downloading artifact"))
         .when(F.col("event_type") == "signup", F.concat(F.lit("Exception: code "), F.floor(F.col("value")).cast("long")))
@@ -197,3 +202,59 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(body)
     )
     return c.select(F.col("conv_id").alias("build_id"), (F.floor(F.col("turn") / 2) + 1).cast("long").alias("iteration"), F.col("turn"), text.alias("raw_text"))
+
+
+# Fixed values of the derived knowledge base.
+TOOL_NAMES = (
+    "npm", "a2l", "kubectl", "mvn", "curl", "docker", "helm", "pytest", "printenv", "that", "der", "que", "make", "go", "terraform", "vault",
+)
+ERROR_RULES = (
+    ("A2L_AUTH_FAILED", r"A2L_AUTH\w+", True), ("ERESOLVE", r"npm ERR!.*", True), ("HTTP503", r"HTTP/1.1 50\d", True),
+    ("EOOM", r"out\s*of\s*memory", True), ("ROLLOUT", "rollout[", False), ("BADREV", r"any revision", True),
+    ("EXIT1", r"exit code [1-9]", True), ("NOPERM", r"permission denied", True), ("NOCRED", "credentials entry", False),
+)
+
+
+def _pick(items, index):
+    return F.get(F.array(*[F.lit(i) for i in items]), index.cast("int"))
+
+
+def tool_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool definitions as several teams wrote them, one per supplier; names repeat."""
+    s = read(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey")
+    name = _pick(TOOL_NAMES, key % len(TOOL_NAMES))
+    return s.select(
+        key.alias("id"), name.alias("name"), _pick(("build", "deploy", "test", "infra"), key % 4).alias("category"),
+        F.concat(F.lit("written by "), F.col("s_name"), F.repeat(F.lit("!"), (key % 5).cast("int"))).alias("description"),
+        F.when(key % 3 == 0, F.concat(F.lit("https://docs/"), name, F.lit("/"), key)).alias("docs_url"),
+        F.concat(F.col("s_name"), F.lit(".md")).alias("source_file"), (key % 10 / 10.0).alias("confidence"),
+        F.concat(name, F.lit(" "), _pick(("install", "deploy", "run"), key % 3)).alias("command"),
+        F.when(key % 2 == 0, F.concat(F.lit("regex:"), name, F.lit(r"\s+ERR"))).otherwise(F.concat(F.lit("["), name, F.lit("]"))).alias("signature"),
+        F.when(key % 5 == 0, F.concat(name, F.lit("-cli"))).alias("alias"),
+    )
+
+
+def tool_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known errors of tools, one per part; codes repeat."""
+    p = read(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    n = key % len(ERROR_RULES)
+    return p.select(
+        key.alias("id"), _pick(TOOL_NAMES, key % len(TOOL_NAMES)).alias("tool"), _pick([r[0] for r in ERROR_RULES], n).alias("code"),
+        _pick([r[1] for r in ERROR_RULES], n).alias("pattern"), _pick([r[2] for r in ERROR_RULES], n).alias("is_regex"),
+        _pick(("NETWORK", "CREDENTIAL", "BUILD"), key % 3).alias("category"), F.col("p_name").alias("description"),
+        F.when(F.col("p_size") % 4 > 0, F.col("p_type")).otherwise("").alias("fix"), (F.col("p_size") % 2 == 0).alias("retriable"),
+        (F.lit(0.5) + key % 5 / 10.0).alias("confidence"),
+    )
+
+
+def test_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test results of a build, one per lineitem row."""
+    li = read(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_orderkey").alias("build_id"), F.concat(F.lit("suite."), F.col("l_suppkey")).alias("class_name"),
+        F.when(F.col("l_returnflag") == "R", "FAILED").when(F.col("l_returnflag") == "A", "PASSED").otherwise(
+            F.when(F.col("l_linenumber") == 1, "SKIPPED").otherwise("REGRESSION")
+        ).alias("status"),
+    )

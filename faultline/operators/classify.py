@@ -393,10 +393,12 @@ def known_tool_lines(owned: DataFrame, rules=shell.TOOL_LINES) -> DataFrame:
 def invocations(lines: DataFrame, prefix: str | None = None, rules=shell.TOOL_LINES) -> DataFrame:
     """All commands of all builds: traced commands with their output, and known tool lines."""
     owned = owned_lines(typed_lines(lines, prefix))
-    out = shell_invocations(owned).unionByName(known_tool_lines(owned, rules), allowMissingColumns=True)
-    zero = {"n_out": 0, "signals": 0}
-    flags = {"output_failed": False, "final_sign": False}
-    return out.na.fill(zero).na.fill(flags)
+    return with_defaults(shell_invocations(owned).unionByName(known_tool_lines(owned, rules), allowMissingColumns=True))
+
+
+def with_defaults(invocations: DataFrame) -> DataFrame:
+    """Commands without output get zero counts and unset flags."""
+    return invocations.na.fill({"n_out": 0, "signals": 0, "output_failed": False, "final_sign": False})
 
 
 def step_status(exit_code: Column, failed: Column) -> Column:

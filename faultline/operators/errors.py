@@ -52,14 +52,29 @@ def errors_from_end(focus: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def parsed_errors(lines: DataFrame, limit: int = 20, custom: dict | None = None) -> DataFrame:
-    """Errors of the focus section; builds that have none there are searched as a whole."""
-    recent = errors_from_end(C.focus_section(lines), limit).withColumn("origin", F.lit("focus"))
-    rest = match_errors(lines)
+    """Errors of the focus section; builds that have none there give all their errors.
+
+    The log is matched once. The focus is then looked up for the hits alone, and one aggregate keeps the
+    newest copy inside the focus or else the oldest copy of equal errors.
+    """
+    hits = match_errors(lines)
     if custom:
-        rest = rest.unionByName(match_errors(lines, custom).withColumn("cat_ord", F.col("cat_ord") + 100))
-    whole = dedupe_errors(rest, newest=False).join(recent.select("build_id").distinct(), "build_id", "left_anti")
-    out = recent.unionByName(whole.withColumn("origin", F.lit("whole")))
-    return out.withColumn("severity", X.severity(F.col("line")))
+        hits = hits.unionByName(match_errors(lines, custom).withColumn("cat_ord", F.col("cat_ord") + 100))
+    placed = attach_facts(hits, C.focus_facts(lines).select("build_id", "n_lines", "focus_from"))
+    inside = (F.col("line_no") >= F.col("focus_from")) & (F.col("cat_ord") < 100)
+    row = F.struct("line_no", "line", "cat_ord", "pattern")
+    newest, oldest = F.max(F.when(inside, row)), F.min(row)
+    kept = F.when(newest.isNotNull(), F.struct(F.lit("focus").alias("origin"), newest.alias("r"))).otherwise(
+        F.struct(F.lit("whole").alias("origin"), oldest.alias("r"))
+    )
+    key = F.left(X.strip(F.col("line")), F.lit(100)).alias("key")
+    distinct = placed.groupBy("build_id", "category", key).agg(kept.alias("k")).select("build_id", "category", "k.origin", "k.r.*")
+    w = W.partitionBy("build_id").orderBy(F.col("line_no").desc())
+    recent = distinct.filter("origin = 'focus'").withColumn("rk", F.rank().over(w)).filter(F.col("rk") <= limit).drop("rk")
+    whole = distinct.filter("origin = 'whole'").join(
+        distinct.filter("origin = 'focus'").select("build_id").distinct(), "build_id", "left_anti"
+    )
+    return recent.unionByName(whole).withColumn("severity", X.severity(F.col("line")))
 
 
 def error_order() -> Column:

@@ -82,7 +82,9 @@ def _named(low: Column, line: Column, patterns: Column) -> Column:
 def tool_score(text: Column) -> Column:
     """0.95 for the name as a word, 0.9 for name, alias or command anywhere, 0.8 for a signature."""
     low, name = F.lower(text), F.lower("name")
-    as_word = (F.length(name) >= 3) & low.contains(name) & F.regexp_like(low, F.concat(F.lit(r"\b\Q"), name, F.lit(r"\E\b")))
+    as_word = (F.length(name) >= 3) & low.contains(name) & F.regexp_like(
+        low, F.concat(F.lit(r"(?:^|[^\p{L}\p{N}_])\Q"), name, F.lit(r"\E(?:$|[^\p{L}\p{N}_])"))
+    )
     anywhere = low.contains(name) | F.exists("aliases", lambda a: low.contains(F.lower(a))) | _named(low, text, F.col("commands"))
     return F.when(as_word, 0.95).when(anywhere, 0.9).when(_named(low, text, F.col("signatures")), 0.8)
 

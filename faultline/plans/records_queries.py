@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultline.functions.scan import top_per
-from faultline.operators import errors as E, knowledge as K, records as R, search as S
+from faultline.operators import classify as C, errors as E, knowledge as K, records as R, search as S
 from faultline.plans import lines_queries, oracle as O
 from faultline.plans.oracle import any_hit, best_weight, cte, extract, hit, q, strip
 from faultline.plans.registry import query
@@ -390,11 +390,12 @@ _NAMED = lambda col, arr: f"len(list_filter({arr}, lambda p: CASE WHEN starts_wi
 def score_sql(col: str) -> str:
     low = f"lower({col})"
     return (
-        f"CASE WHEN length(name) >= 3 AND contains({low}, name) AND regexp_matches({low}, '\\b' || regexp_escape(name) || '\\b') THEN 0.95 "
+        f"CASE WHEN length(name) >= 3 AND contains({low}, name) AND regexp_matches({low}, '(?:^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(name) || '(?:$|[^\\p{{L}}\\p{{N}}_])') THEN 0.95 "
         f"WHEN contains({low}, name) OR len(list_filter(aliases, lambda a: contains({low}, lower(a)))) > 0 OR {_NAMED(col, 'commands')} THEN 0.9 WHEN {_NAMED(col, 'signatures')} THEN 0.8 END"
     )
 
 
+cte("command_texts", f"SELECT text, count(*) AS n FROM (SELECT {strip('coalesce(' + ', '.join(extract('line', p) for p in C.COMMANDS_RUN) + ')')} AS text FROM log_lines) WHERE length(text) > 5 GROUP BY 1")
 cte("error_texts", "SELECT line AS text, count(*) AS n FROM error_hits GROUP BY 1")
 
 
@@ -403,9 +404,10 @@ def error_texts(spark, d):
     return E.match_errors(T.log_lines(spark, d)).groupBy(F.col("line").alias("text")).agg(F.count("*").alias("n"))
 
 
-@query("e05_identify_tool", f"SELECT name AS tool, CAST(score AS DOUBLE) AS score, CAST(sum(n) AS BIGINT) AS lines FROM (SELECT n, name, {score_sql('text')} AS score FROM error_texts CROSS JOIN tools) WHERE score IS NOT NULL GROUP BY ALL")
+@query("e05_identify_tool", f"SELECT name AS tool, CAST(score AS DOUBLE) AS score, CAST(sum(n) AS BIGINT) AS lines FROM (SELECT n, name, {score_sql('text')} AS score FROM command_texts CROSS JOIN tools) WHERE score IS NOT NULL GROUP BY ALL")
 def e05(spark, d):
-    found = K.identify_tools(error_texts(spark, d), K.merge_tools(T.tool_definitions(spark, d)))
+    commands = C.commands_executed(T.log_lines(spark, d)).groupBy(F.col("command").alias("text")).agg(F.count("*").alias("n"))
+    found = K.identify_tools(commands, K.merge_tools(T.tool_definitions(spark, d)))
     return found.groupBy("tool", "score").agg(F.sum("n").alias("lines"))
 
 

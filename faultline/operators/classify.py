@@ -372,28 +372,45 @@ def tool_line(line: Column, rules=shell.TOOL_LINES) -> tuple[Column, Column]:
     return tool, command
 
 
-def known_tool_lines(owned: DataFrame, rules=shell.TOOL_LINES) -> DataFrame:
-    """Tool commands outside shell steps, with the first exit code on the next ten lines."""
-    tool, command = tool_line(F.col("line"), rules)
+def command_lines(lines: DataFrame, prefix: str | None = None, rules=shell.TOOL_LINES) -> DataFrame:
+    """The lines that matter for commands: traced commands, their output, tool lines and exit codes."""
+    owned = owned_lines(typed_lines(lines, prefix))
     free = (F.col("line_type") == "other") & F.col("command").isNull()
-    few = (
-        owned.withColumn("tool", F.when(free, tool))
+    output = (F.col("line_type") == "shell_output") & (F.col("owner") > 0)
+    return (
+        owned.withColumn("tool_form", F.when(free, tool_line(F.col("line"), rules)[0]))
         .withColumn("code", exit_number(F.col("line")))
-        .filter("tool is not null or code is not null")
-        .withColumn("command", F.when(F.col("tool").isNotNull(), command))
+        .filter(F.col("command").isNotNull() | output | F.col("tool_form").isNotNull() | F.col("code").isNotNull())
+        .drop("in_sh")
     )
+
+
+def known_tool_lines(cmd_lines: DataFrame, rules=shell.TOOL_LINES) -> DataFrame:
+    """Tool commands outside shell steps, with the first exit code on the next ten lines."""
+    few = cmd_lines.filter("tool_form is not null or code is not null").select("build_id", "line_no", "line", "tool_form", "code")
     after = F.min(F.when(F.col("code").isNotNull(), F.struct("line_no", "code"))).over(near().rangeBetween(1, 10))
     return (
         own(with_halo(few, 0, 10).withColumn("exit_code", after["code"]))
-        .filter("tool is not null")
-        .select("build_id", F.col("line_no").alias("cmd_line"), "command", "exit_code", "tool", F.lit("tool").alias("form"))
+        .filter("tool_form is not null")
+        .select(
+            "build_id", F.col("line_no").alias("cmd_line"), tool_line(F.col("line"), rules)[1].alias("command"), "exit_code",
+            F.col("tool_form").alias("tool"), F.lit("tool").alias("form"),
+        )
     )
 
 
-def invocations(lines: DataFrame, prefix: str | None = None, rules=shell.TOOL_LINES) -> DataFrame:
-    """All commands of all builds: traced commands with their output, and known tool lines."""
-    owned = owned_lines(typed_lines(lines, prefix))
-    return with_defaults(shell_invocations(owned).unionByName(known_tool_lines(owned, rules), allowMissingColumns=True))
+def invocations_of(cmd_lines: DataFrame, rules=shell.TOOL_LINES) -> DataFrame:
+    return with_defaults(
+        shell_invocations(cmd_lines).unionByName(known_tool_lines(cmd_lines, rules), allowMissingColumns=True)
+    )
+
+
+def invocations(lines: DataFrame, prefix: str | None = None, rules=shell.TOOL_LINES, cut=lambda df: df) -> DataFrame:
+    """All commands of all builds: traced commands with their output, and known tool lines.
+
+    `cut` may store the command lines, which three branches read.
+    """
+    return invocations_of(cut(command_lines(lines, prefix, rules)), rules)
 
 
 def with_defaults(invocations: DataFrame) -> DataFrame:

@@ -13,26 +13,28 @@ IGNORED = X.any_of(shell.NOISE_LINES)
 
 
 def category_hits(line: Column, rules=R.CATEGORY_PATTERNS) -> Column:
-    """Array of (ord, category, pattern): one per category, with the first pattern that is found.
-
-    A category's fixed texts are searched first, then its alternation; patterns are told apart only on a hit.
-    """
-    items = []
-    for ord_, (name, patterns) in enumerate(rules.items()):
-        which = X.first_match(line, [(p, p) for p in patterns])
-        item = F.struct(F.lit(ord_).alias("ord"), F.lit(name).alias("category"), which.alias("pattern"))
-        items.append(F.when(X.found(line, patterns), item))
+    """Array of (ord, category) for every category of which a pattern is found."""
+    items = [
+        F.when(X.found(line, patterns), F.struct(F.lit(i).alias("ord"), F.lit(name).alias("category")))
+        for i, (name, patterns) in enumerate(rules.items())
+    ]
     return F.array_compact(F.array(*items))
 
 
+def pattern_of(line: Column, category: Column, rules=R.CATEGORY_PATTERNS) -> Column:
+    """First pattern of the category that is found in the line; meant for hits only."""
+    out = F.when(F.lit(False), F.lit(""))
+    for name, patterns in rules.items():
+        out = out.when(category == name, X.first_match(line, [(p, p) for p in patterns]))
+    return out
+
+
 def match_errors(lines: DataFrame, rules=R.CATEGORY_PATTERNS, ignore: str | None = None) -> DataFrame:
-    """One row per (line, category) with the first pattern found; noise lines are skipped."""
+    """One row per (line, category); noise lines are skipped."""
     line = F.col("line")
     skip = line.rlike(IGNORED) if ignore is None else (line.rlike(IGNORED) | line.rlike(ignore))
     hits = lines.filter(~skip).withColumn("hit", F.explode(category_hits(line, rules)))
-    return hits.select(
-        *lines.columns, F.col("hit.ord").alias("cat_ord"), F.col("hit.category").alias("category"), F.col("hit.pattern").alias("pattern")
-    )
+    return hits.select(*lines.columns, F.col("hit.ord").alias("cat_ord"), F.col("hit.category").alias("category"))
 
 
 def dedupe_errors(errors: DataFrame, newest: bool = True) -> DataFrame:
@@ -51,24 +53,25 @@ def errors_from_end(focus: DataFrame, limit: int = 20) -> DataFrame:
     return found.withColumn("rk", F.rank().over(w)).filter(F.col("rk") <= limit).drop("rk")
 
 
-def parsed_errors(lines: DataFrame, limit: int = 20, custom: dict | None = None) -> DataFrame:
+def parsed_errors(lines: DataFrame, limit: int = 20, custom: dict | None = None, cut=lambda df: df) -> DataFrame:
     """Errors of the focus section; builds that have none there give all their errors.
 
     The log is matched once. The focus is then looked up for the hits alone, and one aggregate keeps the
-    newest copy inside the focus or else the oldest copy of equal errors.
+    newest copy inside the focus or else the oldest copy of equal errors. Three branches read the result,
+    so `cut` may store it.
     """
     hits = match_errors(lines)
     if custom:
         hits = hits.unionByName(match_errors(lines, custom).withColumn("cat_ord", F.col("cat_ord") + 100))
     placed = attach_facts(hits, C.focus_facts(lines).select("build_id", "n_lines", "focus_from"))
     inside = (F.col("line_no") >= F.col("focus_from")) & (F.col("cat_ord") < 100)
-    row = F.struct("line_no", "line", "cat_ord", "pattern")
+    row = F.struct("line_no", "line", "cat_ord")
     newest, oldest = F.max(F.when(inside, row)), F.min(row)
     kept = F.when(newest.isNotNull(), F.struct(F.lit("focus").alias("origin"), newest.alias("r"))).otherwise(
         F.struct(F.lit("whole").alias("origin"), oldest.alias("r"))
     )
     key = F.left(X.strip(F.col("line")), F.lit(100)).alias("key")
-    distinct = placed.groupBy("build_id", "category", key).agg(kept.alias("k")).select("build_id", "category", "k.origin", "k.r.*")
+    distinct = cut(placed.groupBy("build_id", "category", key).agg(kept.alias("k")).select("build_id", "category", "k.origin", "k.r.*"))
     w = W.partitionBy("build_id").orderBy(F.col("line_no").desc())
     recent = distinct.filter("origin = 'focus'").withColumn("rk", F.rank().over(w)).filter(F.col("rk") <= limit).drop("rk")
     whole = distinct.filter("origin = 'whole'").join(
@@ -183,8 +186,8 @@ def reconcile(primary: DataFrame, first: DataFrame) -> DataFrame:
     )
 
 
-def chosen_lines(lines: DataFrame) -> DataFrame:
-    return reconcile(primary_line(lines), first_error(parsed_errors(lines)))
+def chosen_lines(lines: DataFrame, cut=lambda df: df) -> DataFrame:
+    return reconcile(primary_line(lines), first_error(parsed_errors(lines, cut=cut)))
 
 
 def error_type(line: Column) -> Column:

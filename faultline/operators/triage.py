@@ -255,15 +255,15 @@ def fallback_result(first: DataFrame, traces: DataFrame, category: DataFrame, st
 def findings(lines: DataFrame, builds: DataFrame, cut=lambda df: df) -> DataFrame:
     """One row per build that is to be analysed: where, what, which command, and whether a retry helps.
 
-    `cut` is applied to the three frames that several branches share (errors, commands, chosen lines); a
-    job over many builds passes a checkpoint there so that the log is read once for each of them.
+    `cut` is applied to the frames that several branches share (errors, command lines, commands, chosen
+    lines); a job over many builds passes a checkpoint there, so that the log is read once for each.
     """
-    errors = cut(E.parsed_errors(lines))
+    errors = E.parsed_errors(lines, cut=cut)
     chosen = cut(E.reconcile(E.primary_line(lines), E.first_error(errors)))
-    owned = C.owned_lines(C.typed_lines(lines))
-    inv = cut(C.with_defaults(C.shell_invocations(owned).unionByName(C.known_tool_lines(owned), allowMissingColumns=True)))
+    commands = cut(C.command_lines(lines))
+    inv = cut(C.invocations_of(commands))
     tool = BL.failing_tool(lines, chosen, inv).select("build_id", F.col("tool").alias("failing_tool"), "via")
-    known = known_failures(failure_evidence(chosen, errors, inv, C.command_output(owned)))
+    known = known_failures(failure_evidence(chosen, errors, inv, C.command_output(commands)))
     category = E.primary_category(errors)
     gate = builds.withColumn("skip", status_gate()).filter("skip is null").select("build_id", "job", "number", "status", "ts")
     d = (

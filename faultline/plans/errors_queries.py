@@ -10,6 +10,7 @@ from faultline.plans import lines_queries, oracle as O
 from faultline.plans.oracle import any_hit, best_weight, cte, extract, first_match, hit, q, severity, strip
 from faultline.plans.registry import query
 from faultline.rules import errors as R, shell
+from faultline.session import checkpointed
 from faultline.sources import tables as T
 
 _T = strip("line")
@@ -43,7 +44,8 @@ cte(
 
 @query("d01_match_errors", "SELECT build_id, line_no, category, pattern FROM error_hits")
 def d01(spark, d):
-    return E.match_errors(T.log_lines(spark, d)).select("build_id", "line_no", "category", "pattern")
+    hits = E.match_errors(T.log_lines(spark, d))
+    return hits.select("build_id", "line_no", "category", E.pattern_of(F.col("line"), F.col("category")).alias("pattern"))
 
 
 @query(
@@ -56,12 +58,13 @@ def d02(spark, d):
 
 @query("d03_errors_from_end", "SELECT build_id, category, line_no, pattern FROM focus_errors")
 def d03(spark, d):
-    return E.errors_from_end(C.focus_section(T.log_lines(spark, d))).select("build_id", "category", "line_no", "pattern")
+    found = E.errors_from_end(C.focus_section(T.log_lines(spark, d)))
+    return found.select("build_id", "category", "line_no", E.pattern_of(F.col("line"), F.col("category")).alias("pattern"))
 
 
 @query("d04_errors_full_scan", "SELECT build_id, category, line_no, origin, severity FROM errors")
 def d04(spark, d):
-    return E.parsed_errors(T.log_lines(spark, d)).select("build_id", "category", "line_no", "origin", "severity")
+    return E.parsed_errors(T.log_lines(spark, d), cut=checkpointed).select("build_id", "category", "line_no", "origin", "severity")
 
 
 @query(
@@ -72,7 +75,7 @@ def d04(spark, d):
 )
 def d05(spark, d):
     lines = T.log_lines(spark, d)
-    points = E.parsed_errors(lines).select("build_id", F.col("line_no").alias("at"), "category")
+    points = E.parsed_errors(lines, cut=checkpointed).select("build_id", F.col("line_no").alias("at"), "category")
     near = E.around(points, lines, 10, 10).groupBy("build_id", "at", "category").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "near_line"))).alias("c")
     )
@@ -94,7 +97,7 @@ cte(
 
 @query("d06_primary_category", "SELECT build_id, primary_category, errors FROM primary_category")
 def d06(spark, d):
-    return E.primary_category(E.parsed_errors(T.log_lines(spark, d)))
+    return E.primary_category(E.parsed_errors(T.log_lines(spark, d), cut=checkpointed))
 
 
 _SCM = best_weight("line", R.SCM_WEIGHTS, True)
@@ -155,7 +158,7 @@ cte(
 
 @query("d11_reconcile_primary", "SELECT build_id, finder_line, parser_line, chosen_line, chosen_text, chosen_source, aligned FROM chosen")
 def d11(spark, d):
-    return E.chosen_lines(T.log_lines(spark, d)).select(
+    return E.chosen_lines(T.log_lines(spark, d), checkpointed).select(
         "build_id", "finder_line", "parser_line", "chosen_line", "chosen_text", "chosen_source", "aligned"
     )
 
@@ -166,7 +169,7 @@ def error_type_sql(c: str) -> str:
 
 @query("d12_error_type", f"SELECT category, {error_type_sql('line')} AS error_type, count(*) AS n FROM errors GROUP BY ALL")
 def d12(spark, d):
-    errs = E.parsed_errors(T.log_lines(spark, d)).withColumn("error_type", E.error_type(F.col("line")))
+    errs = E.parsed_errors(T.log_lines(spark, d), cut=checkpointed).withColumn("error_type", E.error_type(F.col("line")))
     return errs.groupBy("category", "error_type").agg(F.count("*").alias("n"))
 
 
@@ -188,7 +191,7 @@ def deep_ids_sql(c: str) -> str:
 )
 def d13(spark, d):
     lines = T.log_lines(spark, d)
-    return E.related_lines(lines, E.chosen_lines(lines))
+    return E.related_lines(lines, E.chosen_lines(lines, checkpointed))
 
 
 @query(
@@ -197,7 +200,7 @@ def d13(spark, d):
 )
 def d14(spark, d):
     lines = T.log_lines(spark, d)
-    points = E.chosen_lines(lines).select("build_id", F.col("chosen_line").alias("at"))
+    points = E.chosen_lines(lines, checkpointed).select("build_id", F.col("chosen_line").alias("at"))
     return E.around(points, lines, 30, 15).withColumnRenamed("at", "chosen_line")
 
 
@@ -308,7 +311,7 @@ def d19(spark, d):
 )
 def d20(spark, d):
     line = F.col("line")
-    return E.parsed_errors(T.log_lines(spark, d)).groupBy("category").agg(
+    return E.parsed_errors(T.log_lines(spark, d), cut=checkpointed).groupBy("category").agg(
         F.count("*").alias("n"), F.count_if(E.is_pipeline_error(line)).alias("pipeline"),
         F.count_if(E.is_pipeline_error(line, R.ROUTER_ERRORS)).alias("routed"),
     )
@@ -330,7 +333,7 @@ def d21(spark, d):
 
 @query("b08_identifier_hotlist", f"SELECT identifier, count(DISTINCT build_id) AS builds, count(*) AS errors FROM (SELECT build_id, unnest(list_distinct({ids_sql('line')} || {deep_ids_sql('line')})) AS identifier FROM errors) GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 50")
 def b08(spark, d):
-    return L.identifier_hotlist(E.parsed_errors(T.log_lines(spark, d)))
+    return L.identifier_hotlist(E.parsed_errors(T.log_lines(spark, d), cut=checkpointed))
 
 
 _RES = " UNION ALL ".join(
@@ -341,7 +344,7 @@ _RES = " UNION ALL ".join(
 
 @query("b09_resource_mentions", f"SELECT kind, value, count(DISTINCT build_id) AS builds FROM ({_RES}) GROUP BY ALL")
 def b09(spark, d):
-    return L.resource_mentions(E.parsed_errors(T.log_lines(spark, d)))
+    return L.resource_mentions(E.parsed_errors(T.log_lines(spark, d), cut=checkpointed))
 
 
 # ---- context labels, traces -------------------------------------------------------------------
@@ -358,7 +361,7 @@ cte("ctx_side", "SELECT c.build_id, CASE WHEN l.line_no < chosen_line THEN 'befo
 )
 def c20(spark, d):
     lines = T.log_lines(spark, d)
-    points = E.chosen_lines(lines).select("build_id", F.col("chosen_line").alias("at"))
+    points = E.chosen_lines(lines, checkpointed).select("build_id", F.col("chosen_line").alias("at"))
     near = E.around(points, lines, 30, 15).filter("line_no <> at").select(
         "build_id", F.when(F.col("line_no") < F.col("at"), "before").otherwise("after").alias("side"), "line_no", F.col("near_line").alias("line")
     )
@@ -454,8 +457,8 @@ cte("blamed_chosen", blame_sql("chosen_points"))
 @query("e01_blame_command", "SELECT build_id, line_no, cmd_line, tool, exit_code, score FROM blamed")
 def e01(spark, d):
     lines = T.log_lines(spark, d)
-    inv = C.invocations(lines)
-    blamed = BL.blame_command(E.parsed_errors(lines).select("build_id", "line_no"), inv)
+    inv = checkpointed(C.invocations(lines, cut=checkpointed))
+    blamed = BL.blame_command(E.parsed_errors(lines, cut=checkpointed).select("build_id", "line_no"), inv)
     return BL.with_command(blamed, inv).select("build_id", "line_no", "cmd_line", "tool", "exit_code", "score")
 
 
@@ -470,7 +473,7 @@ def by_id_sql(rules) -> str:
 @query("e02_tool_by_identifier", by_id_sql(R.PIPELINE_ERRORS))
 def e02(spark, d):
     lines = T.log_lines(spark, d)
-    return BL.tool_by_identifier(E.chosen_lines(lines), C.invocations(lines))
+    return BL.tool_by_identifier(E.chosen_lines(lines, checkpointed), C.invocations(lines, cut=checkpointed))
 
 
 @query(
@@ -482,7 +485,7 @@ def e02(spark, d):
 )
 def e03(spark, d):
     lines = T.log_lines(spark, d)
-    return BL.final_exit_code(lines, E.parsed_errors(lines), C.invocations(lines))
+    return BL.final_exit_code(lines, E.parsed_errors(lines, cut=checkpointed), C.invocations(lines, cut=checkpointed))
 
 
 cte("router_tool", by_id_sql(R.ROUTER_ERRORS))
@@ -496,9 +499,9 @@ cte(
 @query("e04_failing_tool", "SELECT build_id, tool, cmd_line, via FROM failing_tool")
 def e04(spark, d):
     lines = T.log_lines(spark, d)
-    return BL.failing_tool(lines, E.chosen_lines(lines), C.invocations(lines))
+    return BL.failing_tool(lines, checkpointed(E.chosen_lines(lines, checkpointed)), checkpointed(C.invocations(lines, cut=checkpointed)))
 
 
 @query("d23_evidence_bundle")
 def d23(spark, d):
-    return BL.evidence_bundle(T.log_lines(spark, d))
+    return BL.evidence_bundle(T.log_lines(spark, d), checkpointed)

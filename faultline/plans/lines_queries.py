@@ -9,6 +9,7 @@ from faultline.plans import oracle as O
 from faultline.plans.oracle import any_hit, cte, extract, first_match, first_number, hit, q, severity, strip, tool_name
 from faultline.plans.registry import query
 from faultline.rules import errors as RE, shell
+from faultline.session import checkpointed
 from faultline.sources import tables as T
 
 PREFIX = "flow"
@@ -189,12 +190,12 @@ def b04(spark, d):
 
 @query("b05_exit_code_profile", "SELECT tool, exit_code, count(*) AS n FROM invocations WHERE exit_code IS NOT NULL GROUP BY ALL")
 def b05(spark, d):
-    return L.exit_code_profile(C.invocations(T.log_lines(spark, d)))
+    return L.exit_code_profile(C.invocations(T.log_lines(spark, d), cut=checkpointed))
 
 
 @query("b06_output_failure_rate", "SELECT tool, count(*) AS runs, round(avg(CAST(output_failed AS DOUBLE)), 6) AS rate FROM invocations GROUP BY 1")
 def b06(spark, d):
-    return L.output_failure_rate(C.invocations(T.log_lines(spark, d)))
+    return L.output_failure_rate(C.invocations(T.log_lines(spark, d), cut=checkpointed))
 
 
 cte(
@@ -476,14 +477,14 @@ def c14b(spark, d):
 
 @query("c15_invocations", "SELECT build_id, cmd_line, command, tool, exit_code, n_out, output_failed FROM invocations WHERE form = 'shell'")
 def c15(spark, d):
-    return C.invocations(T.log_lines(spark, d)).filter("form = 'shell'").select(
+    return C.invocations(T.log_lines(spark, d), cut=checkpointed).filter("form = 'shell'").select(
         "build_id", "cmd_line", "command", "tool", "exit_code", "n_out", "output_failed"
     )
 
 
 @query("c16_known_tool_lines", "SELECT build_id, cmd_line, command, tool, exit_code FROM tool_rows")
 def c16(spark, d):
-    return C.known_tool_lines(C.owned_lines(C.typed_lines(T.log_lines(spark, d)))).select("build_id", "cmd_line", "command", "tool", "exit_code")
+    return C.known_tool_lines(C.command_lines(T.log_lines(spark, d))).select("build_id", "cmd_line", "command", "tool", "exit_code")
 
 
 cte("flow_failed", failed_sql("flow_states"))

@@ -37,7 +37,7 @@ ACT = f"(length({_LOWT}) >= 5 AND NOT {any_hit(_LOWT, R.NOT_ACTIONABLE)})"
 
 @query("j02_filter_noise", f"SELECT build_id, line_no, category FROM errors WHERE {ACT}")
 def j02(spark, d):
-    return E.parsed_errors(T.log_lines(spark, d)).filter(TG.actionable(F.col("line"))).select("build_id", "line_no", "category")
+    return E.parsed_errors(T.log_lines(spark, d), cut=checkpointed).filter(TG.actionable(F.col("line"))).select("build_id", "line_no", "category")
 
 
 @query(
@@ -49,7 +49,7 @@ def j02(spark, d):
 def j03(spark, d):
     lines = T.log_lines(spark, d)
     stages = C.last_stage(C.stage_markers(lines)).drop("last_stage_line")
-    return TG.actionable_gate(E.parsed_errors(lines), TR.stack_traces(lines), stages, T.builds(spark, d))
+    return TG.actionable_gate(E.parsed_errors(lines, cut=checkpointed), TR.stack_traces(lines), stages, T.builds(spark, d))
 
 
 _DEEP = f"(list_contains({O.values(R.DEEP_CATEGORIES)}, category) OR " + " OR ".join(f"contains(lower(line), {q(t)})" for t in R.DEEP_TEXTS) + ")"
@@ -57,13 +57,13 @@ _DEEP = f"(list_contains({O.values(R.DEEP_CATEGORIES)}, category) OR " + " OR ".
 
 @query("j04_needs_deep", f"SELECT build_id, bool_or({_DEEP}) AS needs_deep FROM errors GROUP BY 1")
 def j04(spark, d):
-    errs = E.parsed_errors(T.log_lines(spark, d))
+    errs = E.parsed_errors(T.log_lines(spark, d), cut=checkpointed)
     return errs.groupBy("build_id").agg(F.max(TG.needs_deep(F.col("category"), F.col("line"))).alias("needs_deep"))
 
 
 @query("j05_tier", f"SELECT {tier_sql('category')} AS tier, category, count(*) AS n FROM errors GROUP BY ALL")
 def j05(spark, d):
-    errs = E.parsed_errors(T.log_lines(spark, d))
+    errs = E.parsed_errors(T.log_lines(spark, d), cut=checkpointed)
     return errs.groupBy(TG.tier(F.col("category")).alias("tier"), "category").agg(F.count("*").alias("n"))
 
 
@@ -111,11 +111,10 @@ cte("known", f"SELECT e.build_id, k.* FROM (SELECT build_id, min({known_ord_sql(
 
 
 def evidence(lines):
-    owned = C.owned_lines(C.typed_lines(lines))
-    inv = C.with_defaults(C.shell_invocations(owned).unionByName(C.known_tool_lines(owned), allowMissingColumns=True))
-    errors = E.parsed_errors(lines)
+    commands = checkpointed(C.command_lines(lines))
+    errors = E.parsed_errors(lines, cut=checkpointed)
     chosen = E.reconcile(E.primary_line(lines), E.first_error(errors))
-    return TG.failure_evidence(chosen, errors, inv, C.command_output(owned))
+    return TG.failure_evidence(chosen, errors, C.invocations_of(commands), C.command_output(commands))
 
 
 @query("d25_failure_evidence", "SELECT build_id, rule, tool, symptom FROM known")
@@ -191,7 +190,7 @@ def j08(spark, d):
 
 def kb_of_builds(spark, d, lines):
     """Best known error of each build's error lines; equal texts are matched once."""
-    errs = E.parsed_errors(lines)
+    errs = E.parsed_errors(lines, cut=checkpointed)
     texts = errs.select(F.col("line").alias("text")).distinct()
     m = K.match_errors(texts, K.merge_errors(T.tool_errors(spark, d)))
     order = F.struct("confidence", F.col("tool"), F.col("code"))
@@ -235,7 +234,7 @@ _SUGG = f"CASE WHEN length(line) > 10 THEN coalesce({first_match('lower(line)',
 
 @query("j15_recommendation", f"SELECT category, {_SUGG} AS suggestion, count(*) AS n FROM errors GROUP BY ALL")
 def j15(spark, d):
-    errs = E.parsed_errors(T.log_lines(spark, d))
+    errs = E.parsed_errors(T.log_lines(spark, d), cut=checkpointed)
     return errs.groupBy("category", TG.suggestion(F.col("line")).alias("suggestion")).agg(F.count("*").alias("n"))
 
 
@@ -260,7 +259,7 @@ def j16(spark, d):
 )
 def j17(spark, d):
     lines = T.log_lines(spark, d)
-    errs = E.parsed_errors(lines)
+    errs = E.parsed_errors(lines, cut=checkpointed)
     category = E.primary_category(errs).drop("errors")
     stages = C.last_stage(C.stage_markers(lines)).drop("last_stage_line")
     return TG.fallback_result(E.first_error(errs), TR.stack_traces(lines), category, stages)

@@ -478,3 +478,45 @@ COMMANDS_RUN = (r"^\+\s*(.+)$", r"^\[.*?\]\s*\$\s*(.+)$", r"^>\s*(.+)$", r"(?i)R
 def commands_executed(lines: DataFrame) -> DataFrame:
     cmd = X.strip(F.coalesce(*[X.extract(F.col("line"), p) for p in COMMANDS_RUN]))
     return lines.withColumn("command", cmd).filter(F.length("command") > 5).select("build_id", "line_no", "command")
+
+
+# ---- stages in time ---------------------------------------------------------------------------
+
+def execution_path(lines: DataFrame, chars: int = 5000) -> DataFrame:
+    """Stage markers with the outcome shown in the next 5000 characters.
+
+    Positions in characters are a running total; the next failing or passing line is the nearest mark
+    after the stage, so each stage needs one value from a reverse scan and no pairs of lines.
+    """
+    line = F.col("line")
+    bad, good = line.rlike("ERROR|FAILURE|FAILED"), line.rlike("SUCCESS|PASSED")
+    marked = scan(
+        lines.withColumn("stage", F.nullif(F.regexp_extract(line, STAGE_LABEL, 1), F.lit(""))),
+        {"upto": ("sum", (F.length(line) + 1).cast("long"), True)},
+    )
+    few = marked.withColumn("bad", bad).withColumn("good", good).filter("stage is not null or bad or good")
+    ahead = scan(
+        few,
+        {"bad_at": ("last", F.when(F.col("bad"), F.col("upto")), False), "good_at": ("last", F.when(F.col("good"), F.col("upto")), False)},
+        reverse=True,
+    )
+    limit = F.col("upto") + chars
+    status = F.when(F.col("bad_at") <= limit, "FAILURE").when(F.col("good_at") <= limit, "SUCCESS").otherwise("UNKNOWN")
+    return ahead.filter("stage is not null").select("build_id", "line_no", "stage", status.alias("status"))
+
+
+def stage_durations(lines: DataFrame) -> DataFrame:
+    """Seconds between the first and last stamped line of each stage."""
+    from faultline.operators.lines import clock_seconds
+
+    label = F.nullif(F.regexp_extract("line", STAGE_LABEL, 1), F.lit(""))
+    placed = scan(
+        lines.withColumn("label", label).withColumn("sec", clock_seconds(F.col("line"))).filter("label is not null or sec is not null"),
+        {
+            "start_line": ("last", F.when(F.col("label").isNotNull(), F.col("line_no")), True),
+            "stage": ("last", F.col("label"), True),
+        },
+    )
+    return placed.filter("stage is not null and sec is not null").groupBy("build_id", "start_line", "stage").agg(
+        (F.max("sec") - F.min("sec")).alias("seconds"), F.count("sec").alias("stamps")
+    )

@@ -38,7 +38,8 @@ TAIL_NOISE = (
 
 def scan_index(events: DataFrame, now: str, minutes: int, suffix: str = "/console") -> DataFrame:
     """Rows of the last minutes before `now` whose source ends as given; the time bound reaches the scan."""
-    upper = F.lit(now).cast("timestamp")
+    # the column's own type, so that the bound is compared without a cast and pushed down
+    upper = F.lit(now).cast(events.schema["ts"].dataType)
     return events.filter((F.col("ts") >= upper - F.expr(f"interval {minutes} minutes")) & (F.col("ts") <= upper)).filter(
         F.col("src").endswith(suffix)
     )
@@ -181,5 +182,5 @@ def build_history(builds: DataFrame, k: int = 5) -> DataFrame:
 
 def history_retention(builds: DataFrame, now: str, days: int = 30, k: int = 1000) -> DataFrame:
     """The newest entries of each job that are not too old."""
-    fresh = builds.filter(F.col("ts") >= F.lit(now).cast("timestamp") - F.expr(f"interval {days} days"))
+    fresh = builds.filter(F.col("ts") >= F.lit(now).cast(builds.schema["ts"].dataType) - F.expr(f"interval {days} days"))
     return top_per(fresh, k, [F.col("ts").desc(), F.col("build_id").desc()], ["job"])

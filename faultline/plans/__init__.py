@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("lines", "errors", "records", "triage", "mining")
+GROUPS = ("lines", "errors", "records", "triage", "mining", "corpus", "stream")
 
 
 def load():

@@ -74,7 +74,7 @@ def d04(spark, d):
   FROM errors e JOIN log_lines l ON l.build_id = e.build_id AND l.line_no BETWEEN e.line_no - 10 AND e.line_no + 10 GROUP BY ALL""",
 )
 def d05(spark, d):
-    lines = T.log_lines(spark, d)
+    lines = checkpointed(T.log_lines(spark, d))
     points = E.parsed_errors(lines, cut=checkpointed).select("build_id", F.col("line_no").alias("at"), "category")
     near = E.around(points, lines, 10, 10).groupBy("build_id", "at", "category").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "near_line"))).alias("c")
@@ -111,7 +111,7 @@ cte(
 
 @query("d08_score_lines", "SELECT score, count(*) AS n, count(DISTINCT build_id) AS builds FROM scored WHERE score > 0 GROUP BY 1")
 def d08(spark, d):
-    lines = T.log_lines(spark, d)
+    lines = checkpointed(T.log_lines(spark, d))
     scored = E.score_lines(attach_facts(lines, C.line_count(lines))).filter("score > 0")
     per = scored.groupBy("score", "build_id").agg(F.count("*").alias("n"))
     return per.groupBy("score").agg(F.sum("n").alias("n"), F.count("*").alias("builds"))
@@ -190,7 +190,7 @@ def deep_ids_sql(c: str) -> str:
     AND len(list_filter(ids, lambda i: contains(l.line, i) OR contains(lower(l.line), lower(i)))) > 0 QUALIFY rn <= 10""",
 )
 def d13(spark, d):
-    lines = T.log_lines(spark, d)
+    lines = checkpointed(T.log_lines(spark, d))
     return E.related_lines(lines, E.chosen_lines(lines, checkpointed))
 
 
@@ -199,7 +199,7 @@ def d13(spark, d):
     "SELECT c.build_id, c.chosen_line, l.line_no, l.line AS near_line FROM chosen c JOIN log_lines l ON l.build_id = c.build_id AND l.line_no BETWEEN chosen_line - 30 AND chosen_line + 15",
 )
 def d14(spark, d):
-    lines = T.log_lines(spark, d)
+    lines = checkpointed(T.log_lines(spark, d))
     points = E.chosen_lines(lines, checkpointed).select("build_id", F.col("chosen_line").alias("at"))
     return E.around(points, lines, 30, 15).withColumnRenamed("at", "chosen_line")
 
@@ -245,7 +245,7 @@ _SCORES = "[" + ", ".join(
     SELECT p.build_id, p.line_no, p.line, {_CTX} FROM deep_line p JOIN log_lines l ON l.build_id = p.build_id AND l.line_no BETWEEN p.line_no - 10 AND p.line_no + 4 GROUP BY ALL) x)""",
 )
 def d17(spark, d):
-    lines = T.log_lines(spark, d)
+    lines = checkpointed(T.log_lines(spark, d))
     return E.deep_types(E.deep_primary_line(lines), lines)
 
 
@@ -257,7 +257,7 @@ def d17(spark, d):
     FROM (SELECT build_id, unnest({deep_ids_sql("line")}[1:5]) AS ident FROM deep_line) i JOIN log_lines l ON l.build_id = i.build_id AND contains(line, ident)) i GROUP BY ALL""",
 )
 def d18(spark, d):
-    lines = T.log_lines(spark, d)
+    lines = checkpointed(T.log_lines(spark, d))
     return E.trace_identifiers(lines, E.deep_primary_line(lines))
 
 
@@ -283,7 +283,7 @@ def unknown_errors(lines):
 
 @query("c24_frames_after_error", 'SELECT build_id, pt AS "at", line_no, class_name, method, file, src_line, is_library FROM after_frames')
 def c24(spark, d):
-    lines = T.log_lines(spark, d)
+    lines = checkpointed(T.log_lines(spark, d))
     return TR.frames_after(unknown_errors(lines), lines)
 
 
@@ -294,7 +294,7 @@ def c24(spark, d):
   LEFT JOIN flow_failed m ON m.build_id = e.build_id GROUP BY ALL HAVING source_file IS NOT NULL""",
 )
 def d19(spark, d):
-    lines = T.log_lines(spark, d)
+    lines = checkpointed(T.log_lines(spark, d))
     points = unknown_errors(lines)
     lib = TR.frames_after(points, lines).filter("is_library").groupBy("build_id", F.col("at").alias("line_no")).agg(F.min_by("file", "line_no").alias("file"))
     method = C.failed_method(C.method_events(lines, lines_queries.PREFIX))
@@ -360,7 +360,7 @@ cte("ctx_side", "SELECT c.build_id, CASE WHEN l.line_no < chosen_line THEN 'befo
     FROM (SELECT *, CASE WHEN starts_with(t, '[Pipeline]') THEN CASE WHEN starts_with(rest, 'stage') OR starts_with(rest, '{ (') THEN 'STAGE' WHEN rest = 'echo' THEN 'ECHO' WHEN rest = 'sh' THEN 'SH' ELSE 'STEP' END END AS mark FROM ctx_side))""",
 )
 def c20(spark, d):
-    lines = T.log_lines(spark, d)
+    lines = checkpointed(T.log_lines(spark, d))
     points = E.chosen_lines(lines, checkpointed).select("build_id", F.col("chosen_line").alias("at"))
     near = E.around(points, lines, 30, 15).filter("line_no <> at").select(
         "build_id", F.when(F.col("line_no") < F.col("at"), "before").otherwise("after").alias("side"), "line_no", F.col("near_line").alias("line")
@@ -456,7 +456,7 @@ cte("blamed_chosen", blame_sql("chosen_points"))
 
 @query("e01_blame_command", "SELECT build_id, line_no, cmd_line, tool, exit_code, score FROM blamed")
 def e01(spark, d):
-    lines = T.log_lines(spark, d)
+    lines = checkpointed(T.log_lines(spark, d))
     inv = checkpointed(C.invocations(lines, cut=checkpointed))
     blamed = BL.blame_command(E.parsed_errors(lines, cut=checkpointed).select("build_id", "line_no"), inv)
     return BL.with_command(blamed, inv).select("build_id", "line_no", "cmd_line", "tool", "exit_code", "score")
@@ -472,7 +472,7 @@ def by_id_sql(rules) -> str:
 
 @query("e02_tool_by_identifier", by_id_sql(R.PIPELINE_ERRORS))
 def e02(spark, d):
-    lines = T.log_lines(spark, d)
+    lines = checkpointed(T.log_lines(spark, d))
     return BL.tool_by_identifier(E.chosen_lines(lines, checkpointed), C.invocations(lines, cut=checkpointed))
 
 
@@ -484,7 +484,7 @@ def e02(spark, d):
   ON c.build_id = i.build_id AND code <> 0 WHERE i.exit_code IS NULL AND final_sign GROUP BY 1""",
 )
 def e03(spark, d):
-    lines = T.log_lines(spark, d)
+    lines = checkpointed(T.log_lines(spark, d))
     return BL.final_exit_code(lines, E.parsed_errors(lines, cut=checkpointed), C.invocations(lines, cut=checkpointed))
 
 
@@ -498,10 +498,10 @@ cte(
 
 @query("e04_failing_tool", "SELECT build_id, tool, cmd_line, via FROM failing_tool")
 def e04(spark, d):
-    lines = T.log_lines(spark, d)
+    lines = checkpointed(T.log_lines(spark, d))
     return BL.failing_tool(lines, checkpointed(E.chosen_lines(lines, checkpointed)), checkpointed(C.invocations(lines, cut=checkpointed)))
 
 
 @query("d23_evidence_bundle")
 def d23(spark, d):
-    return BL.evidence_bundle(T.log_lines(spark, d), checkpointed)
+    return BL.evidence_bundle(checkpointed(T.log_lines(spark, d)), checkpointed)

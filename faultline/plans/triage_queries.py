@@ -47,7 +47,7 @@ def j02(spark, d):
   LEFT JOIN (SELECT build_id, count(*) AS n FROM traces GROUP BY 1) t ON t.build_id = b.build_id LEFT JOIN stage_last s ON s.build_id = b.build_id""",
 )
 def j03(spark, d):
-    lines = T.log_lines(spark, d)
+    lines = checkpointed(T.log_lines(spark, d))
     stages = C.last_stage(C.stage_markers(lines)).drop("last_stage_line")
     return TG.actionable_gate(E.parsed_errors(lines, cut=checkpointed), TR.stack_traces(lines), stages, T.builds(spark, d))
 
@@ -214,7 +214,7 @@ cte("boosted", _BOOST)
 
 
 def boosted(spark, d):
-    lines = T.log_lines(spark, d)
+    lines = checkpointed(T.log_lines(spark, d))
     answers = TG.best_iteration(TG.normalize_responses(T.responses(spark, d)))
     return TG.boost(answers, TG.known_failures(evidence(lines)), kb_of_builds(spark, d, lines))
 
@@ -258,7 +258,7 @@ def j16(spark, d):
   LEFT JOIN primary_category c ON c.build_id = b.build_id LEFT JOIN stage_last s ON s.build_id = b.build_id""",
 )
 def j17(spark, d):
-    lines = T.log_lines(spark, d)
+    lines = checkpointed(T.log_lines(spark, d))
     errs = E.parsed_errors(lines, cut=checkpointed)
     category = E.primary_category(errs).drop("errors")
     stages = C.last_stage(C.stage_markers(lines)).drop("last_stage_line")
@@ -281,7 +281,7 @@ _FOUND = "CASE WHEN coalesce(primary_category, 'UNKNOWN') = 'UNKNOWN' THEN coale
     FROM builds b JOIN chosen c ON c.build_id = b.build_id LEFT JOIN primary_category p ON p.build_id = b.build_id LEFT JOIN failing_tool t ON t.build_id = b.build_id LEFT JOIN known k ON k.build_id = b.build_id WHERE {_GATE} IS NULL)""",
 )
 def j18(spark, d):
-    return TG.findings(T.log_lines(spark, d), T.builds(spark, d), checkpointed)
+    return TG.findings(checkpointed(T.log_lines(spark, d)), T.builds(spark, d), checkpointed)
 
 
 # ---- commits ----------------------------------------------------------------------------------

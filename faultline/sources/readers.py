@@ -40,3 +40,9 @@ def read_sources(spark: SparkSession, path: str, pattern: str = "*.{java,groovy,
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def read_training_bundle_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Bundles stored one per line, which Spark can split over tasks."""
+    rows = spark.read.schema(BUNDLE).json(path).select(F.explode("examples").alias("e")).select("e.*")
+    return rows.filter((F.trim("error_snippet") != "") & (F.trim("root_cause") != ""))

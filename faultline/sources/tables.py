@@ -68,7 +68,11 @@ def builds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def failure_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index rows of a console-log search: host, source path, time and raw text."""
-    e = read(spark, sf_dir, "events")
+    return failure_events_of(read(spark, sf_dir, "events"))
+
+
+def failure_events_of(e: DataFrame) -> DataFrame:
+    """The same for any frame of events, a stream included."""
     src = F.concat(
         F.lit("job/team/job/p"), F.col("user_id"), F.lit("/"), F.col("event_id") % 50, F.lit("/console")
     )

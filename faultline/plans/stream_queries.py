@@ -49,9 +49,8 @@ def m05(spark, d):
 def m06(spark, d):
     path = new_shared_path(spark, "lines")
     T.log_lines(spark, d).write.parquet(path)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = spark.readStream.schema("build_id bigint, line_no bigint, line string").parquet(path)
-    return M.drain(M.stream_line_state(stream)).select("build_id", "line_no", "in_sh", "cmd_line")
+    return M.drain_line_state(stream).select("build_id", "line_no", "in_sh", "cmd_line")
 
 
 @query("m07_stream_to_queue", f"SELECT host, src, CAST(regexp_extract(src, '/(\\d+)/console$', 1) AS BIGINT) AS job_id, min(event_id) AS event_id FROM failure_events WHERE {_FAILED} GROUP BY ALL")

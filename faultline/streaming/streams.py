@@ -128,6 +128,20 @@ def stream_line_state(lines: DataFrame) -> DataFrame:
     )
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def drain_line_state(lines: DataFrame) -> DataFrame:
+    """Run the line state over all that is there; this operator needs the RocksDB state store."""
+    conf = lines.sparkSession.conf
+    before = conf.get(STATE_STORE)
+    conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return drain(stream_line_state(lines))
+    finally:
+        conf.set(STATE_STORE, before)
+
+
 def stream_to_queue(failures: DataFrame, queue_path: str) -> None:
     """Insert what the queue does not hold yet, batch by batch; a repeated batch inserts nothing twice."""
     spark = failures.sparkSession

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, langid, sharding, toxicity
+from faultline.llm import chat, langid, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -72,3 +72,19 @@ def toxicity_scores(spark, sf_dir):
 def language_id(spark, sf_dir):
     """Every document's language, learned from the texts outside the held-out fold."""
     return langid.language_report(table(spark, sf_dir, "documents"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+l AS (SELECT html, max(page_id) AS last FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+SELECT p.page_id, strlen(p.html)::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN p.page_id < l.last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.page_id < l.last THEN l.last END AS refers_to
+FROM p LEFT JOIN l USING (html)
+"""
+
+
+@query("op4_warc_bundles", WARC_SQL)
+def warc_bundles(spark, sf_dir):
+    """All pages written as WARC records to seekable bundles and read back from them."""
+    return warc.archive_report(table(spark, sf_dir, "pages"))

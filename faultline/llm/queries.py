@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, langid, sharding, toxicity, warc
+from faultline.llm import chat, langid, packing, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -88,3 +88,9 @@ FROM p LEFT JOIN l USING (html)
 def warc_bundles(spark, sf_dir):
     """All pages written as WARC records to seekable bundles and read back from them."""
     return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
+@query("op2_packing")
+def packing_report(spark, sf_dir):
+    """All documents as token sequences of at most 2048."""
+    return packing.packing_report(table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, langid, packing, sharding, toxicity, warc
+from faultline.llm import chat, langid, packing, sharding, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -94,3 +94,9 @@ def warc_bundles(spark, sf_dir):
 def packing_report(spark, sf_dir):
     """All documents as token sequences of at most 2048."""
     return packing.packing_report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_substring_dedup")
+def substring_dedup(spark, sf_dir):
+    """All documents without the passages of 35 words and more that stand in two places."""
+    return substrings.substring_report(table(spark, sf_dir, "documents"))

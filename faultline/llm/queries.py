@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, langid, packing, sharding, substrings, toxicity, warc
+from faultline.llm import chat, jaccard, langid, packing, sharding, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -100,3 +100,9 @@ def packing_report(spark, sf_dir):
 def substring_dedup(spark, sf_dir):
     """All documents without the passages of 35 words and more that stand in two places."""
     return substrings.substring_report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_ngram_jaccard_join")
+def ngram_jaccard_join(spark, sf_dir):
+    """Every document's shingles and the component of its links."""
+    return jaccard.joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

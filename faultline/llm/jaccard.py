@@ -10,8 +10,8 @@ is a token, and a text lies in the cells of its `prefix`, the first n - ceil(t n
 texts (frequent tokens last). Two sets of similarity t or more always share a cell. Cells with one text go, cells with the
 same texts are one. Copies are one text. Then
 
-1. in every cell the texts meet its smallest one (a star): a group of near copies, of any size, links up in as many checks
-   as it has members;
+1. in every cell the texts meet its smallest and its largest one (two stars): a group of near copies, of any size, links up
+   in about as many checks as it has members;
 2. cells that still hold texts of several components are searched with the R-tree, block against block, for the pairs of
    different components that can reach the similarity. All other pairs are in one component already.
 
@@ -70,13 +70,15 @@ def needed(a, b, least: int):
 
 
 def dims(n: np.ndarray | int):
-    """Coordinates of a set of n tokens: a power of two near n / 4."""
-    return 1 << np.clip(np.ceil(np.log2(np.maximum(n, 1) / 4.0)), 4, 16).astype(np.int64)
+    """Coordinates of a set of n tokens: the power of two up to n, 16 at least."""
+    return 1 << np.clip(np.floor(np.log2(np.maximum(n, 1))), 4, 20).astype(np.int64)
 
 
-def fold(point: np.ndarray, d: int) -> np.ndarray:
-    """A point in fewer coordinates; what falls together adds up."""
-    return point.reshape(-1, d).sum(0) if len(point) >= d else None
+def fold(points: np.ndarray, d: int) -> np.ndarray:
+    """Points (last axis) in fewer coordinates, down to d; what falls together adds up."""
+    if points.shape[-1] <= d:
+        return points
+    return points.reshape(*points.shape[:-1], -1, d).sum(-2, dtype=np.int32)
 
 
 def frequent(texts: DataFrame, words: int) -> np.ndarray:
@@ -107,7 +109,7 @@ def frequent(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, words: int, least: int, late: np.ndarray) -> DataFrame:
-    """row columns, n, cls (hash of the whole set, null for an empty one), prefix (six bytes a token), point (16 bit a count)."""
+    """row columns, n, cls (hash of the whole set, null for an empty one), prefix (six bytes a token), point (8 bit a count: with a coordinate per token or two, no count comes near 255)."""
     held = rows.sparkSession.sparkContext.broadcast((np.sort(late), np.argsort(late)))
     keep = [c for c in rows.columns if c != "text"]
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", n long, cls long, prefix binary, point binary"
@@ -138,7 +140,7 @@ def signatures(rows: DataFrame, words: int, least: int, late: np.ndarray) -> Dat
                     lo = ends[i] - n[i]
                     prefixes.append(pack48(ordered[lo : lo + int(prefix_length(n[i], least))]))
                     d = int(dims(n[i]))
-                    points.append(np.bincount((token[lo : ends[i]] & U64(d - 1)).astype(np.int64), minlength=d).astype("<u2").tobytes())
+                    points.append(np.bincount((token[lo : ends[i]] & U64(d - 1)).astype(np.int64), minlength=d).astype(np.uint8).tobytes())
                 part = b.slice(at, len(texts))
                 cols = [part.column(c) for c in keep]
                 cols += [pa.array(n, pa.int64()), pa.array(whole, pa.int64(), mask=n == 0), pa.array(prefixes, pa.binary()), pa.array(points, pa.binary())]
@@ -148,7 +150,7 @@ def signatures(rows: DataFrame, words: int, least: int, late: np.ndarray) -> Dat
 
 
 def cells(signed: DataFrame) -> DataFrame:
-    """Distinct cells with two texts or more: cell (hash of its members), low (smallest member), block, members."""
+    """Distinct cells with two texts or more: cell (hash of its members), low and high (smallest and largest member), block, members."""
     tokens = signed.agg(F.sum(F.octet_length("prefix") / 6)).first()[0] or 0
     groups = max(12, int(tokens / GROUP_TOKENS) + 1)
 
@@ -179,15 +181,16 @@ def cells(signed: DataFrame) -> DataFrame:
         name, pick = np.unique(mix(name + size.astype(U64))[many], return_index=True)
         head, size = head[many][pick], size[many][pick]
         out = [
-            (n, int(who[h]), k, who[h + k * BLOCK : min(h + (k + 1) * BLOCK, h + s)])
+            (n, int(who[h]), int(who[h + s - 1]), k, who[h + k * BLOCK : min(h + (k + 1) * BLOCK, h + s)])
             for n, h, s in zip(name.view(np.int64).tolist(), head.tolist(), size.tolist(), strict=True)
             for k in range(-(-s // BLOCK))
         ]
-        cols = list(zip(*out, strict=True)) or [[], [], [], []]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["cell", "low", "block", "members"])
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["cell", "low", "high", "block", "members"])
 
     dealt = signed.where("cls is not null").select("cls", "prefix").mapInArrow(deal, "grp int, token binary, who binary")
-    met = dealt.groupBy("grp").applyInArrow(meet, "cell long, low long, block int, members array<long>")
+    met = dealt.groupBy("grp").applyInArrow(meet, "cell long, low long, high long, block int, members array<long>")
     return met.dropDuplicates(["cell", "block"])
 
 
@@ -221,16 +224,17 @@ class CountTree:
 def reachable(a: np.ndarray, b: np.ndarray, na: int, nb: int, least: int) -> bool:
     """Whether the summed minima, in the finest coordinates both have, leave the similarity possible."""
     d = min(len(a), len(b))
-    return np.minimum(fold(a, d), fold(b, d)).sum() >= needed(na, nb, least)
+    return int(np.minimum(fold(a, d), fold(b, d)).sum(dtype=np.int64)) >= needed(na, nb, least)
 
 
 def _point(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, "<u2").astype(np.int32)
+    return np.frombuffer(blob, np.uint8)
 
 
 def star_pairs(found: DataFrame, points: DataFrame, least: int) -> DataFrame:
-    """(a, b): every member with its cell's smallest one, where sizes and points leave the similarity possible."""
-    pairs = found.select(F.col("low").alias("a"), F.explode("members").alias("b")).where("a <> b").distinct()
+    """(a, b): every member with its cell's smallest and largest one, where sizes and points leave the similarity possible."""
+    member = found.select("low", "high", F.explode("members").alias("b"))
+    pairs = member.select(F.explode(F.array("low", "high")).alias("a"), "b").where("a <> b").distinct()
     side = lambda x: points.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
     pairs = pairs.join(side("b"), "b").join(side("a"), "a").where(f"100 * least(na, nb) >= {least} * greatest(na, nb)")
 
@@ -262,24 +266,33 @@ def tree_pairs(found: DataFrame, points: DataFrame, comp: DataFrame, least: int)
     def search(table):
         cls, root, n, side = (table[c].to_numpy() for c in ("cls", "root", "n", "side"))
         blobs = [_point(p) for p in table["point"].to_pylist()]
-        found_a, found_b, alone = [], [], not side.any()
-        # sets in reach of one another have like sizes: those of few coordinates are boxed in as few, the others in BOX
-        for d, mine in ((BOX, [len(p) >= BOX for p in blobs]), (16, [len(p) < 2 * BOX for p in blobs])):
-            mine = np.array(mine)
-            left, right = np.flatnonzero(mine & (side == 0)), np.flatnonzero(mine & (side == (0 if alone else 1)))
-            if not len(left) or not len(right):
-                continue
-            boxed = {i: fold(blobs[i], d) for i in {*left.tolist(), *right.tolist()}}
-            tree = CountTree(np.stack([boxed[i] for i in right]), n[right])
-            for i in left:
-                hit = right[tree.search(boxed[i], int(n[i]), least)]
-                hit = hit[(root[hit] != root[i]) & ((cls[hit] > cls[i]) if alone else True)]
-                hit = [j for j in hit if reachable(blobs[i], blobs[j], int(n[i]), int(n[j]), least)]
-                found_a += [cls[i]] * len(hit)
-                found_b += [cls[j] for j in hit]
-        return pa.table({"a": pa.array(np.minimum(found_a, found_b), pa.int64()), "b": pa.array(np.maximum(found_a, found_b), pa.int64())})
-
-    return both.select("cell", "block", "other", "side", "cls", "root", "n", "point").groupBy("cell", "block", "other").applyInArrow(search, "a long, b long").distinct()
+        size = np.array([len(p) for p in blobs])
+        out, alone = [np.empty((0, 2), np.int64)], not side.any()
+        # of two sets of different components one is outside the largest: those ask, all are asked
+        names, back, many = np.unique(root, return_inverse=True, return_counts=True)
+        asking = back != many.argmax()
+        # sets in reach of one another have like sizes, so their points have as many coordinates or twice as many
+        for d in np.unique(size).tolist():
+            rows = np.flatnonzero((size == d) | (size == 2 * d))
+            fine = np.stack([fold(blobs[i], d) for i in rows])
+            for mine, other in ((0, 0),) if alone else ((0, 1), (1, 0)):
+                asks, asked = np.flatnonzero(asking[rows] & (side[rows] == mine)), np.flatnonzero(side[rows] == other)
+                if not len(asks) or not len(asked):
+                    continue
+                tree = CountTree(fold(fine[asked], BOX).astype(np.int32), n[rows[asked]])
+                for i in asks:
+                    me = rows[i]
+                    hit = asked[tree.search(fold(fine[i], BOX), int(n[me]), least)]
+                    # two points of 2 d coordinates are compared in those
+                    hit = hit[(root[rows[hit]] != root[me]) & ((size[me] == d) | (size[rows[hit]] == d))]
+                    reach = np.minimum(fine[hit], fine[i]).sum(1, dtype=np.int64) >= needed(int(n[me]), n[rows[hit]], least)
+                    out.append(np.stack([np.full(int(reach.sum()), cls[me]), cls[rows[hit[reach]]]], 1))
+        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    tasks = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # little to read, much to do: not to be merged
+    both = both.select("cell", "block", "other", "side", "cls", "root", "n", "point").repartition(tasks, "cell", "block", "other")
+    return both.groupBy("cell", "block", "other").applyInArrow(search, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, whole: DataFrame, least: int) -> DataFrame:
@@ -343,7 +356,7 @@ def linked(rows: DataFrame, words: int = WORDS, least: int = LEAST) -> tuple[Dat
     ends = lambda p: p.select(F.col("a").alias("cls")).union(p.select(F.col("b").alias("cls"))).distinct()
     links = stored(verified(first, whole_sets(rows, full.select("cls", "row"), ends(first), words), least), "links")
     comp = components(links)
-    second = stored(tree_pairs(found, points, comp, least).join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    second = stored(tree_pairs(found, points, comp, least).join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"), "pairs")
     more = stored(verified(second, whole_sets(rows, full.select("cls", "row"), ends(second), words), least), "links")
     return signed.drop("prefix", "point"), components(links.select("a", "b").union(more.select("a", "b")))
 

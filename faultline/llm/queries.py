@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, jaccard, langid, packing, sharding, substrings, toxicity, warc
+from faultline.llm import ann, chat, decontam, jaccard, langid, packing, sharding, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -106,3 +106,15 @@ def substring_dedup(spark, sf_dir):
 def ngram_jaccard_join(spark, sf_dir):
     """Every document's shingles and the component of its links."""
     return jaccard.joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op6_benchmark_decontamination")
+def benchmark_decontamination(spark, sf_dir):
+    """Every document that holds a benchmark item, with the window that comes nearest to it."""
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
+@query("op7_nearest_neighbours")
+def nearest_neighbours(spark, sf_dir):
+    """The 20 nearest rows of every 20th embedding."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20, 20)

@@ -84,10 +84,11 @@ def train(rows: list[np.ndarray], labels: np.ndarray, p: Ftrl) -> tuple[np.ndarr
     return kept, w[kept]
 
 
-def fit(labelled: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndarray, np.ndarray]:
-    """Sparse weights from rows (key, text, label 0/1); rows with a null label are not used; no rows give no weights.
+def fit(docs: DataFrame, known: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse weights from `docs` (doc_id, text) and `known` (doc_id, label 0/1, neither null); no rows give no weights.
 
-    The sample is bounded, its features are taken in parallel, and one task holds them for the passes.
+    The sample is chosen among the narrow labels, so only its texts move; of repeated doc_ids the smallest text and label
+    count once. Its features are taken in parallel, and one task holds them for the passes.
     """
     bits = p.bits
 
@@ -111,8 +112,10 @@ def fit(labelled: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndarray, np.ndarray]:
         kept, w = train([np.frombuffer(blobs[i], "<u4").astype(np.int64) for i in order], t["label"].to_numpy()[order], p)
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(w, pa.float64())], ["i", "w"])
 
-    sample = labelled.where("label is not null").select(F.xxhash64("key").alias("o"), F.col("label").cast("double").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = sample.orderBy("o").limit(p.sample).repartition(24, "o").mapInArrow(extract, "o long, label double, f binary")
+    order = F.xxhash64("doc_id").alias("o")
+    sample = known.groupBy("doc_id").agg(F.min("label").cast("double").alias("label")).select("doc_id", order, "label").orderBy("o").limit(p.sample)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = texts.groupBy("o", "label").agg(F.min("text").alias("text")).repartition(24, "o").mapInArrow(extract, "o long, label double, f binary")
     found = rows.repartition(1).mapInArrow(learn, "i long, w double").collect()  # at most 2**bits + 1 rows
     return np.array([r.i for r in found], np.int64), np.array([r.w for r in found])
 
@@ -144,15 +147,14 @@ def held_out(key: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """(key, text, label) of the rows that may be learned from: labelled, in no held-out fold. Repeated rows count twice."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0)).select("doc_id", F.col(label).alias("label"))
-    return docs.select("doc_id", "text").join(known, "doc_id").select(F.col("doc_id").alias("key"), "text", "label")
+def learnable(labels: DataFrame, label: str = "toxic") -> DataFrame:
+    """(doc_id, label) of the rows that may be learned from: labelled and in no held-out fold."""
+    return labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0)).select("doc_id", F.col(label).alias("label"))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs`; rows of the held-out fold are never learned from."""
-    weights = fit(labelled_rows(docs, labels), p)
+    weights = fit(docs, learnable(labels), p)
     out = scored(docs.select("doc_id", "text"), "text", weights, p)
     return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
@@ -161,5 +163,5 @@ def clean(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl()) -> DataFrame:
     """The documents whose score stays below 0.5, with their columns as they are."""
     if "_toxic" in docs.columns:
         raise ValueError("column _toxic is taken")
-    weights = fit(labelled_rows(docs, labels), p)
+    weights = fit(docs, learnable(labels), p)
     return scored(docs, "text", weights, p, "_toxic").where("_toxic < 0.5").drop("_toxic")

@@ -109,7 +109,7 @@ def frequent(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, words: int, least: int, late: np.ndarray) -> DataFrame:
-    """row columns, n, cls (hash of the whole set, null for an empty one), prefix (six bytes a token), point (8 bit a count: with a coordinate per token or two, no count comes near 255)."""
+    """row columns, n, cls (hash of the whole set, null for an empty one), prefix (six bytes a token), point (four bits a count)."""
     held = rows.sparkSession.sparkContext.broadcast((np.sort(late), np.argsort(late)))
     keep = [c for c in rows.columns if c != "text"]
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", n long, cls long, prefix binary, point binary"
@@ -140,7 +140,7 @@ def signatures(rows: DataFrame, words: int, least: int, late: np.ndarray) -> Dat
                     lo = ends[i] - n[i]
                     prefixes.append(pack48(ordered[lo : lo + int(prefix_length(n[i], least))]))
                     d = int(dims(n[i]))
-                    points.append(np.bincount((token[lo : ends[i]] & U64(d - 1)).astype(np.int64), minlength=d).astype(np.uint8).tobytes())
+                    points.append(_packed(np.bincount((token[lo : ends[i]] & U64(d - 1)).astype(np.int64), minlength=d)))
                 part = b.slice(at, len(texts))
                 cols = [part.column(c) for c in keep]
                 cols += [pa.array(n, pa.int64()), pa.array(whole, pa.int64(), mask=n == 0), pa.array(prefixes, pa.binary()), pa.array(points, pa.binary())]
@@ -227,14 +227,28 @@ def reachable(a: np.ndarray, b: np.ndarray, na: int, nb: int, least: int) -> boo
     return int(np.minimum(fold(a, d), fold(b, d)).sum(dtype=np.int64)) >= needed(na, nb, least)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Four bits a count, the second half of the coordinates in the upper ones; 15 stands for any count from there on."""
+    c = np.minimum(counts, 15).astype(np.uint8)
+    return (c[: len(c) // 2] | c[len(c) // 2 :] << 4).tobytes()
+
+
 def _point(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, np.uint8)
+    """The counts; 15 becomes 255, so that a minimum is never too small (counts stay below 9 as a rule)."""
+    b = np.frombuffer(blob, np.uint8)
+    c = np.concatenate([b & 15, b >> 4])
+    return np.where(c == 15, np.uint8(255), c)
 
 
-def star_pairs(found: DataFrame, points: DataFrame, least: int) -> DataFrame:
-    """(a, b): every member with its cell's smallest and largest one, where sizes and points leave the similarity possible."""
+def star_pairs(found: DataFrame) -> DataFrame:
+    """(a, b): every member with its cell's smallest and largest one."""
     member = found.select("low", "high", F.explode("members").alias("b"))
-    pairs = member.select(F.explode(F.array("low", "high")).alias("a"), "b").where("a <> b").distinct()
+    pairs = member.select(F.explode(F.array("low", "high")).alias("a"), "b").where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def bounded(pairs: DataFrame, points: DataFrame, least: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sizes and whole points leave the similarity possible."""
     side = lambda x: points.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
     pairs = pairs.join(side("b"), "b").join(side("a"), "a").where(f"100 * least(na, nb) >= {least} * greatest(na, nb)")
 
@@ -248,20 +262,16 @@ def star_pairs(found: DataFrame, points: DataFrame, least: int) -> DataFrame:
 
 
 def tree_pairs(found: DataFrame, points: DataFrame, comp: DataFrame, least: int) -> DataFrame:
-    """(a, b) of different components that share a cell and can reach the similarity, found by R-tree search.
+    """(a, b), a < b, of different components that share a cell and can reach the similarity, found by R-tree search.
 
     A cell's blocks meet two by two, each pair in a task of its own.
     """
     root = F.coalesce("root", "cls").alias("root")
     inside = found.select("cell", "block", F.explode("members").alias("cls")).join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cell", "block", "cls", root)
-    mixed = inside.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("cell")
-    inside = inside.join(mixed, "cell").join(points.select("cls", "n", "point"), "cls")
     inside = stored(inside, "cells")
-    blocks = inside.select("cell", "block").distinct()
-    duo = blocks.join(blocks.withColumnRenamed("block", "other"), "cell").where("block <= other")
-    both = duo.join(inside, ["cell", "block"]).withColumn("side", F.lit(0)).unionByName(
-        duo.where("block < other").join(inside.withColumnRenamed("block", "other"), ["cell", "other"]).withColumn("side", F.lit(1))
-    )
+    mixed = inside.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("block").alias("last")).where("x <> y").select("cell", "last")
+    inside = inside.join(mixed, "cell").join(points, "cls").withColumn("with", F.explode(F.sequence(F.lit(0), "last")))
+    both = inside.select("cell", F.least("block", "with").alias("block"), F.greatest("block", "with").alias("other"), (F.col("with") < F.col("block")).cast("int").alias("side"), "cls", "root", "n", "point")
 
     def search(table):
         cls, root, n, side = (table[c].to_numpy() for c in ("cls", "root", "n", "side"))
@@ -275,7 +285,7 @@ def tree_pairs(found: DataFrame, points: DataFrame, comp: DataFrame, least: int)
         for d in np.unique(size).tolist():
             rows = np.flatnonzero((size == d) | (size == 2 * d))
             fine = np.stack([fold(blobs[i], d) for i in rows])
-            for mine, other in ((0, 0),) if alone else ((0, 1), (1, 0)):
+            for mine, other in [(0, 0)] if alone else [(0, 1), (1, 0)]:
                 asks, asked = np.flatnonzero(asking[rows] & (side[rows] == mine)), np.flatnonzero(side[rows] == other)
                 if not len(asks) or not len(asked):
                     continue
@@ -291,7 +301,7 @@ def tree_pairs(found: DataFrame, points: DataFrame, comp: DataFrame, least: int)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     tasks = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # little to read, much to do: not to be merged
-    both = both.select("cell", "block", "other", "side", "cls", "root", "n", "point").repartition(tasks, "cell", "block", "other")
+    both = both.repartition(tasks, "cell", "block", "other")
     return both.groupBy("cell", "block", "other").applyInArrow(search, "a long, b long").distinct()
 
 
@@ -352,11 +362,12 @@ def linked(rows: DataFrame, words: int = WORDS, least: int = LEAST) -> tuple[Dat
     found = stored(cells(full), "found")
     member = found.select(F.explode("members").alias("cls")).distinct()
     points = stored(full.select("cls", "n", "point").join(member, "cls", "left_semi").dropDuplicates(["cls"]), "points")
-    first = stored(star_pairs(found, points, least), "stars")
+    stars = star_pairs(found)
+    first = stored(bounded(stars, points, least), "stars")
     ends = lambda p: p.select(F.col("a").alias("cls")).union(p.select(F.col("b").alias("cls"))).distinct()
     links = stored(verified(first, whole_sets(rows, full.select("cls", "row"), ends(first), words), least), "links")
     comp = components(links)
-    second = stored(tree_pairs(found, points, comp, least).join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"), "pairs")
+    second = stored(tree_pairs(found, points, comp, least).join(first, ["a", "b"], "left_anti"), "pairs")
     more = stored(verified(second, whole_sets(rows, full.select("cls", "row"), ends(second), words), least), "links")
     return signed.drop("prefix", "point"), components(links.select("a", "b").union(more.select("a", "b")))
 

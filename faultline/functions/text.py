@@ -32,14 +32,17 @@ def required_text(pattern: str) -> list[str] | None:
 
     A plain text search is far cheaper than a regular expression and rules out nearly every line.
     """
-    gap = "\0"
+    gap, times = "\0", r"(?:[?*+]|\{[^}]*\})?[?+]?"
+    if re.search(r"\\[0-9xucpPQEkN]", pattern):  # back-references, code points and the like
+        return None
     p = re.sub(r"\\([^A-Za-z0-9])", lambda m: chr(0xE000 + ord(m[1])), pattern.replace("(?i)", ""))
+    p = re.sub(r"\[[^\]]*\]" + times, gap, p)
     while True:
-        flat = re.sub(r"\((?:\?:)?[^()]*\)[?*+]?", gap, p)
+        flat = re.sub(r"\([^()]*\)" + times, gap, p)
         if flat == p:
             break
         p = flat
-    p = re.sub(r"\[[^\]]*\][?*+]?|\\[A-Za-z][?*+]?|\.[*+]?\??|.\{[^}]*\}|.[?*]|[+^$]", gap, p)
+    p = re.sub(r"\\[A-Za-z]" + times + r"|\." + times + r"|.(?:[?*]|\{[^}]*\})[?+]?|[+^$]", gap, p)
     runs = [max(part.split(gap), key=len) for part in p.split("|")]
     if min(map(len, runs)) < 3 and pattern.isascii():
         return None

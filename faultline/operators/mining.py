@@ -212,8 +212,8 @@ def missing_credentials(usage: DataFrame, issues: DataFrame) -> DataFrame:
 
 # Tools looked for in shell steps.
 SHELL_TOOLS = (
-    "aws", "az", "gcloud", "kubectl", "helm", "docker", "terraform", "ansible", "mvn", "gradle", "npm", "yarn", "pip", "python", "node",
-    "java", "git", "curl", "wget", "make", "cmake", "go", "cargo", "packer", "vault", "a2l", "p2l",
+    "aws", "az", "gcloud", "kubectl", "helm", "docker", "terraform", "mvn", "mvnw", "gradle", "gradlew", "npm", "yarn", "pip", "pip3", "curl", "wget",
+    "git", "make", "python", "python3", "java", "node", "ansible", "ansible-playbook", "packer", "vault",
 )
 
 

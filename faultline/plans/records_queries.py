@@ -177,7 +177,7 @@ def f07(spark, d):
 
 @query(
     "f08_test_summary",
-    """SELECT l_orderkey AS build_id, count(*) AS total, count(*) FILTER (l_returnflag = 'A') AS passed, count(*) FILTER (l_returnflag = 'R') AS failed,
+    """SELECT l_orderkey AS build_id, count(*) AS total, count(*) FILTER (l_returnflag = 'A') AS passed, count(*) FILTER (l_returnflag = 'R' OR l_returnflag <> 'A' AND l_linenumber <> 1) AS failed,
   count(*) FILTER (l_returnflag NOT IN ('A','R') AND l_linenumber = 1) AS skipped FROM lineitem GROUP BY 1""",
 )
 def f08(spark, d):

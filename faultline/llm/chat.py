@@ -44,23 +44,25 @@ def branches(messages: DataFrame, best: int = 1) -> DataFrame:
     m = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = m.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_known"))
     m = m.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("_known"), F.col("parent")).alias("up"), "score")
-    jump = stored(m.select("tree", "node", "up", "score", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("dist")), "jump")
-    levels = [jump]
-    most = jump.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    while 2 ** (len(levels) - 1) < most:
-        # after k rounds `up` is 2**k messages away, score and dist cover the messages passed on the way
-        far = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_s"), F.col("dist").alias("_d"))
-        jump = jump.join(far, ["tree", "up"], "left").select(
-            "tree", "node", F.col("_up").alias("up"), (F.col("score") + F.coalesce("_s", F.lit(0.0))).alias("score"), (F.col("dist") + F.coalesce("_d", F.lit(0))).alias("dist")
+    start = stored(m.select("tree", "node", "up", "score", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("dist")), "jump")
+    running, ended, levels = start.where("up is not null"), start.where("up is null"), []
+    most = start.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    while 2 ** len(levels) < most:
+        # after k rounds `up` is 2**k messages away, score and dist cover the messages passed on the way; what has reached
+        # its root is only looked up from then on, so a round joins no more than the messages at depth 2**k and below
+        levels.append(running)
+        far = ended.union(running).select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_s"), F.col("dist").alias("_d"))
+        step = running.join(far, ["tree", "up"]).select(
+            "tree", "node", F.col("_up").alias("up"), (F.col("score") + F.col("_s")).alias("score"), (F.col("dist") + F.col("_d")).alias("dist")
         )
-        jump = stored(jump, "jump")
-        levels.append(jump)
-    rooted = jump.where("up is null").select("tree", "node", "score", F.col("dist").alias("depth"))
-    answered = levels[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
+        step = stored(step, "jump")
+        running, ended = step.where("up is not null"), ended.union(step.where("up is null"))
+    rooted = ended.select("tree", "node", "score", F.col("dist").alias("depth"))
+    answered = start.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))
     on = rooted.join(answered, ["tree", "node"], "left_anti").withColumn("branch", rank).where(F.col("branch") <= best).select("tree", "branch", "node")
     for step in levels:  # distances 0 .. 2**k - 1 become 0 .. 2**(k+1) - 1
-        above = on.join(step.where("up is not null").select("tree", "node", "up"), ["tree", "node"]).select("tree", "branch", F.col("up").alias("node"))
+        above = on.join(step.select("tree", "node", "up"), ["tree", "node"]).select("tree", "branch", F.col("up").alias("node"))
         on = stored(on.union(above), "branch")
     return on.join(rooted.select("tree", "node", "depth"), ["tree", "node"]).select("tree", "branch", "depth", "node")
 

@@ -10,6 +10,7 @@ their places by their rank among pieces of their length.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from faultline.llm.tables import ranked, stored
 from faultline.llm.words import slices
 
 CAPACITY = 2048
-#: Entries of a worker's memo of chunks; of its words and of what follows them, half as many.
+#: Entries of each of a worker's three memos: chunks, their words, and what follows the words.
 MEMO = 500_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -42,11 +43,19 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is text
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = _Memo(self.whole)
+        spec = json.loads(self.tokenizer.to_str())
+        rule = spec["pre_tokenizer"] or {}
+        self.model = self.tokenizer.model
+        plain = spec["normalizer"] is None and rule.get("type") == "ByteLevel" and rule.get("use_regex") and not rule.get("add_prefix_space")
+        self.memo = _Memo(self.whole, self.word if plain else self.whole)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, text: str) -> bytes:
+        """Of a blank and letters: one piece by the splitting rule, so it goes straight to the model in its byte alphabet."""
+        return np.array([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_SIGNS))], "<u4").tobytes()
+
     def ids(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.whole(text)
@@ -57,6 +66,16 @@ class Encoder:
             return self.whole(text)
 
 
+def _signs() -> dict[int, str]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself where it is printable, else one from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in own else next(rest)) for b in range(256)}
+
+
+_SIGNS = _signs()
+
+
 class _Uncuttable(Exception):
     pass
 
@@ -65,17 +84,18 @@ class _Memo(dict):
     """Ids of a chunk after a blank. A chunk of letters and something that starts with an ASCII sign is encoded in these two
     parts, which the splitting rule never joins. Full memos keep what they have: the frequent chunks come early."""
 
+    LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
     PARTS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([\n!-@\[-`{-~][\s\S]*)")
 
-    def __init__(self, encode):
+    def __init__(self, encode, word):
         super().__init__()
-        self.encode, self.words, self.rests = encode, {}, {}
+        self.encode, self.word, self.words, self.rests = encode, word, {}, {}
 
-    def part(self, memo: dict[str, bytes], text: str) -> bytes:
+    def part(self, memo: dict[str, bytes], encode, text: str) -> bytes:
         ids = memo.get(text)
         if ids is None:
-            ids = self.encode(text)
-            if len(memo) < MEMO // 2:
+            ids = encode(text)
+            if len(memo) < MEMO:
                 memo[text] = ids
         return ids
 
@@ -84,9 +104,10 @@ class _Memo(dict):
             raise _Uncuttable
         two = self.PARTS.fullmatch(chunk)
         if two:
-            ids = self.part(self.words, " " + two[1]) + self.part(self.rests, two[2])
+            ids = self.part(self.words, self.word, " " + two[1]) + self.part(self.rests, self.encode, two[2])
         else:
-            ids = self.part(self.words, " " + chunk)
+            letters = self.LETTERS.fullmatch(chunk)
+            ids = self.part(self.words, self.word if letters else self.encode, " " + chunk)
         if len(self) < MEMO:
             self[chunk] = ids
         return ids

@@ -84,6 +84,24 @@ def test_chat_round_trip(spark):
     assert chat.chat_report(c.where("false")).count() == 0
 
 
+def test_encoder_gives_the_ids_of_the_whole_text():
+    import public_tokenizers
+
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("", " ", "a", " a  b", "Straße über.\nNeue Zeile, l'été don't", "x1 2y <|endoftext|> z", "ñandú\u00a0ÿ ÷× ЖЗ 漢字 🙂 a\u0301b", "\n\nfoo bar\tbaz "):
+        assert encoder.ids(text) == encoder.whole(text), text
+        assert encoder.ids(text) == encoder.whole(text), text  # from the memos
+
+
+def test_deep_and_circular_replies(spark):
+    deep = [("t", i, i - 1 if i else None, 1.0) for i in range(37)]
+    flat = [("f", 0, None, 0.0)] + [("f", i, 0, float(i)) for i in range(1, 50)]
+    ring = [("r", 0, 1, 1.0), ("r", 1, 0, 1.0), ("r", 2, 1, 1.0)]
+    m = spark.createDataFrame(deep + flat + ring, "tree string, node int, parent int, score double")
+    got = sorted((r.tree, r.depth, r.node) for r in chat.branches(m).collect())
+    assert got == sorted([("t", i, i) for i in range(37)] + [("f", 0, 0), ("f", 1, 49)])
+
+
 def test_subset_sums_and_plan():
     rng = random.Random(2)
     for _ in range(30):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.tables import components, maybe_in, stored
-from faultline.llm.words import U64, WordHashes, grams, hashed, mix, owner, pack48, slices, unpack48
+from faultline.llm.words import U64, grams, hashed_plain, mix, owner, pack48, slices, unpack48
 
 WORDS, LEAST = 5, 75
 #: A token is frequent if a task's run of SHINGLES tokens has it LOCAL times and the corpus TOTAL times; at most FREQUENT are kept,
@@ -37,24 +37,30 @@ SHINGLES, LOCAL, TOTAL, FREQUENT = 4_000_000, 8, 50, 1 << 18
 #: Texts per block of a cell, tokens per group of cells, coordinates of a tree's boxes.
 BLOCK, GROUP_TOKENS, BOX = 1024, 1_500_000, 64
 LEAF = 16
-_WORDS = WordHashes()
 
 
 def sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, token) of every distinct shingle, ordered by both; texts with fewer words have one token for all of them."""
-    w, starts = hashed(texts, _WORDS, lower=True)
+    w, starts = hashed_plain(texts, lower=True)
     own = owner(starts)
     g = grams(w, words)
+    n = np.diff(starts)
+    for s, e in zip(starts[:-1].tolist(), (starts[1:] - words + 1).tolist(), strict=True):
+        if e > s + 1:
+            g[s:e].sort()
     inside = own[: len(g)] == own[words - 1 :]
     text, token = own[: len(g)][inside], g[inside]
-    n = np.diff(starts)
-    for i in np.flatnonzero((n > 0) & (n < words)):
-        h = U64(n[i])
-        for x in w[starts[i] : starts[i + 1]]:
-            h = mix(np.array([h], U64) * U64(0x9E3779B97F4A7C15) + x)[0]
-        text, token = np.append(text, i), np.append(token, h)
-    order = np.lexsort((token, text))
-    text, token = text[order], token[order]
+    short = np.flatnonzero((n > 0) & (n < words))
+    if len(short):
+        whole = []
+        for i in short:
+            h = U64(n[i])
+            for x in w[starts[i] : starts[i + 1]]:
+                h = mix(np.array([h], U64) * U64(0x9E3779B97F4A7C15) + x)[0]
+            whole.append(h)
+        text, token = np.append(text, short), np.append(token, np.array(whole, U64))
+        order = np.argsort(text, kind="stable")
+        text, token = text[order], token[order]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (token[1:] != token[:-1])
     return text[new], token[new]
@@ -124,23 +130,29 @@ def signatures(rows: DataFrame, words: int, least: int, late: np.ndarray) -> Dat
                 whole = np.zeros(len(texts), U64)
                 np.add.at(whole, text, mix(token ^ U64(0x5851F42D4C957F2D)))
                 whole = mix(whole * U64(31) + n.astype(U64)).view(np.int64)
-                if len(often):  # frequent tokens go to the end, rarest of them first
+                # frequent tokens go to the end, rarest of them first; only they are sorted anew
+                last, slot = np.zeros(len(token), bool), np.empty(0, np.int64)
+                if len(often):
                     spot = np.minimum(np.searchsorted(often, token), len(often) - 1)
-                    slot = np.where(often[spot] == token, rank[spot] + 1, 0)
-                    order = np.lexsort((token, slot, text))
-                    ordered = token[order]
-                else:
-                    ordered = token
+                    last = often[spot] == token
+                    slot = rank[spot[last]]
+                order = np.lexsort((slot, text[last])) if len(slot) else slot
+                seldom, common = token[~last], token[last][order]
+                past = np.cumsum(np.bincount(text[last], minlength=len(texts)))
                 prefixes, points = [], []
                 for i in range(len(texts)):
                     if not n[i]:
                         prefixes.append(None)
                         points.append(None)
                         continue
-                    lo = ends[i] - n[i]
-                    prefixes.append(pack48(ordered[lo : lo + int(prefix_length(n[i], least))]))
+                    hi, lo = int(ends[i]), int(ends[i] - n[i])
+                    late_hi, late_lo = int(past[i]), int(past[i - 1]) if i else 0
+                    mine, want = seldom[lo - late_lo : hi - late_hi], int(prefix_length(n[i], least))
+                    if want > len(mine):
+                        mine = np.concatenate([mine, common[late_lo : late_lo + want - len(mine)]])
+                    prefixes.append(pack48(mine[:want]))
                     d = int(dims(n[i]))
-                    points.append(_packed(np.bincount((token[lo : ends[i]] & U64(d - 1)).astype(np.int64), minlength=d)))
+                    points.append(_packed(np.bincount((token[lo:hi] & U64(d - 1)).astype(np.int64), minlength=d)))
                 part = b.slice(at, len(texts))
                 cols = [part.column(c) for c in keep]
                 cols += [pa.array(n, pa.int64()), pa.array(whole, pa.int64(), mask=n == 0), pa.array(prefixes, pa.binary()), pa.array(points, pa.binary())]
@@ -264,7 +276,7 @@ def bounded(pairs: DataFrame, points: DataFrame, least: int) -> DataFrame:
 def tree_pairs(found: DataFrame, points: DataFrame, comp: DataFrame, least: int) -> DataFrame:
     """(a, b), a < b, of different components that share a cell and can reach the similarity, found by R-tree search.
 
-    A cell's blocks meet two by two, each pair in a task of its own.
+    A cell's blocks meet two by two; a pair of blocks is what a task holds at a time.
     """
     root = F.coalesce("root", "cls").alias("root")
     inside = found.select("cell", "block", F.explode("members").alias("cls")).join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cell", "block", "cls", root)
@@ -273,9 +285,7 @@ def tree_pairs(found: DataFrame, points: DataFrame, comp: DataFrame, least: int)
     inside = inside.join(mixed, "cell").join(points, "cls").withColumn("with", F.explode(F.sequence(F.lit(0), "last")))
     both = inside.select("cell", F.least("block", "with").alias("block"), F.greatest("block", "with").alias("other"), (F.col("with") < F.col("block")).cast("int").alias("side"), "cls", "root", "n", "point")
 
-    def search(table):
-        cls, root, n, side = (table[c].to_numpy() for c in ("cls", "root", "n", "side"))
-        blobs = [_point(p) for p in table["point"].to_pylist()]
+    def search(cls, root, n, side, blobs):
         size = np.array([len(p) for p in blobs])
         out, alone = [np.empty((0, 2), np.int64)], not side.any()
         # of two sets of different components one is outside the largest: those ask, all are asked
@@ -297,12 +307,59 @@ def tree_pairs(found: DataFrame, points: DataFrame, comp: DataFrame, least: int)
                     hit = hit[(root[rows[hit]] != root[me]) & ((size[me] == d) | (size[rows[hit]] == d))]
                     reach = np.minimum(fine[hit], fine[i]).sum(1, dtype=np.int64) >= needed(int(n[me]), n[rows[hit]], least)
                     out.append(np.stack([np.full(int(reach.sum()), cls[me]), cls[rows[hit[reach]]]], 1))
-        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        return np.sort(np.concatenate(out), axis=1)
+
+    def leaf(cls, root, n, side, blobs):
+        """The same for a cell whose tree is one leaf: sizes first, then whole points."""
+        out = []
+        who = sorted(zip(n.tolist(), cls.tolist(), root.tolist(), blobs, strict=True), key=lambda r: r[0])
+        for i, (ni, a, ra, pa_) in enumerate(who):
+            for nj, b, rb, pb in who[i + 1 :]:
+                if 100 * ni < least * nj:
+                    break
+                if ra != rb and reachable(_point(pa_), _point(pb), ni, nj, least):
+                    out.append((a, b) if a < b else (b, a))
+        return out
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells arrive one after another; what a batch has of its last one waits for the next batch."""
+
+        def done(t):
+            cols = {c: t[c].to_numpy() for c in ("cell", "block", "other", "cls", "root", "n", "side")}
+            blobs = t["point"].to_pylist()
+            head = np.flatnonzero(starting(cols))
+            few, many = [], [np.empty((0, 2), np.int64)]
+            for s, e in zip(head.tolist(), np.append(head[1:], t.num_rows).tolist(), strict=True):
+                own = [cols[c][s:e] for c in ("cls", "root", "n", "side")]
+                if e - s <= LEAF and not own[3].any():
+                    few += leaf(*own, blobs[s:e])
+                else:
+                    many.append(search(*own, [_point(p) for p in blobs[s:e]]))
+            pairs = np.unique(np.concatenate([np.array(few, np.int64).reshape(-1, 2), *many]), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        def starting(cols):
+            new = np.ones(len(cols["cell"]), bool)
+            new[1:] = (cols["cell"][1:] != cols["cell"][:-1]) | (cols["block"][1:] != cols["block"][:-1]) | (cols["other"][1:] != cols["other"][:-1])
+            return new
 
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            last = int(np.flatnonzero(starting({c: t[c].to_numpy() for c in ("cell", "block", "other")}))[-1])
+            if last:
+                yield done(t.slice(0, last))
+            held = t.slice(last)
+        if held is not None:
+            yield done(held)
+
+    keys = ("cell", "block", "other")
     tasks = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # little to read, much to do: not to be merged
-    both = both.repartition(tasks, "cell", "block", "other")
-    return both.groupBy("cell", "block", "other").applyInArrow(search, "a long, b long").distinct()
+    both = both.repartition(tasks, *keys).sortWithinPartitions(*keys)
+    return both.mapInArrow(through, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, whole: DataFrame, least: int) -> DataFrame:

@@ -24,12 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.words import U64, WordHashes, grams, hashed, mix, owner, slices, within
+from faultline.llm.words import U64, grams, hashed_plain, mix, owner, slices, within
 
 SPAN, KEY = 35, 12
 #: Words per group: at about one byte in six a group of 4 million words holds some 25 MB.
 GROUP_WORDS = 4_000_000
-_WORDS = WordHashes()
 _PLACE = U64(0xFFFFFFFF)
 
 
@@ -78,7 +77,7 @@ def _share(batches, span: int, key: int, groups: int):
     for b in batches:
         rows = b.column("row").to_numpy()
         for at, texts in slices(b.column("text")):
-            w, starts = hashed(texts, _WORDS)
+            w, starts = hashed_plain(texts)
             r = records(w, starts, span, key)
             if not len(r["first"]):
                 continue

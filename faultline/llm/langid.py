@@ -23,11 +23,13 @@ from faultline.llm.words import U64, mix, slices
 _OTHER = re.compile(r"[\W\d_]+")
 _LETTER = r"\p{L}"
 ORDERS = (2, 3, 4)
+#: Parts of a language that are ranked on their own.
+PARTS = 256
 
 
 @dataclass(frozen=True)
 class Fit:
-    """Parameters. Centroids are fitted on at most `sample` rows of each language (smallest hashed keys), each as a whole
+    """Parameters. Centroids are fitted on at most `sample` keys of each language (smallest hashes), each text as a whole
     and by its first words; IDF counts cover every row that may be learned from."""
 
     bits: int = 12
@@ -84,6 +86,20 @@ class Model:
     least: np.ndarray
 
 
+def sampled(rows: DataFrame, most: int) -> DataFrame:
+    """(lang, o, text) of the `most` smallest distinct `o` of each language; rows that share an `o` count as one, with their
+    smallest text.
+
+    Only (lang, o) is ranked, first within parts of a language, so that no task sees a whole one; texts move for the sample alone.
+    """
+    keys = rows.select("lang", "o").distinct().withColumn("part", F.pmod("o", F.lit(PARTS)))
+    for by in (("lang", "part"), ("lang",)):
+        keys = keys.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("o"))).where(F.col("_r") <= most).drop("_r")
+    last = keys.groupBy("lang").agg(F.max("o").alias("last"))  # a row per language, as the model has
+    near = rows.join(F.broadcast(last), "lang").where("o <= last")
+    return near.groupBy("lang", "o").agg(F.min("text").alias("text"))
+
+
 def fit(rows: DataFrame, p: Fit = Fit()) -> Model:
     """Fit on rows (key, text, lang); rows with a null language or no letter teach nothing. The model is a few hundred kB
     per language, whatever the table holds."""
@@ -113,9 +129,8 @@ def fit(rows: DataFrame, p: Fit = Fit()) -> Model:
         low = float(np.quantile(own, 0.001))
         return pa.table({"lang": [key[0].as_py()] * len(c), "c": [x.astype("<f4").tobytes() for x in c], "least": [low] * len(c)})
 
-    first = Window.partitionBy("lang").orderBy("o")
-    taken = rows.withColumn("o", F.xxhash64("key")).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= p.sample)
-    found = taken.select("lang", "o", "text").groupBy("lang").applyInArrow(learn, "lang string, c binary, least double").collect()
+    taken = sampled(rows.withColumn("o", F.xxhash64("key")), p.sample)
+    found = taken.groupBy("lang").applyInArrow(learn, "lang string, c binary, least double").collect()
     found = sorted(found, key=lambda r: (r["lang"], r["c"]))
     langs = sorted({r["lang"] for r in found})
     centres = np.stack([np.frombuffer(r["c"], "<f4") for r in found]) if found else np.zeros((0, 1 << bits), np.float32)

@@ -285,3 +285,10 @@ def test_language_held_out(spark):
     got = {r.doc_id: r for r in langid.language_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(got[i].lang_pred == lang for i, _, lang in rows if i < 900) and all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902))
     assert got[903].lang_pred in alphabet and all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_language_sample_is_the_smallest_keys_with_repeats_as_one(spark):
+    rows = [("a", i, f"t{i}") for i in range(-900, 900)] + [("b", 5, t) for t in ("z", "y", "x")] + [("b", 6, "w")]
+    got = langid.sampled(spark.createDataFrame(rows, "lang string, o long, text string"), 40).collect()
+    assert sorted(map(tuple, got)) == [("a", i, f"t{i}") for i in range(-900, -860)] + [("b", 5, "x"), ("b", 6, "w")]
+    assert langid.sampled(spark.createDataFrame([], "lang string, o long, text string"), 40).count() == 0

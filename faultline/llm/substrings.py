@@ -5,8 +5,11 @@ internal node at least `span` words deep above it. The tree is never held whole:
 
 * A suffix belongs to the subtree of a prefix. The prefix is that of the smallest of the KEY-word runs in the suffix's
   first `span` words, so equal windows meet in one subtree, and about a dozen neighbouring suffixes share one record.
-* A record is split further by longer prefixes: the run's place in the window (how many words stand before it) and a
-  fingerprint of all `span` words. The subtree is the sorted list of these; equal neighbours are its deep internal nodes.
+* A record is split further by longer prefixes: the run's place in the window (how many words stand before it) and two
+  independent 64-bit prints of all `span` words. The subtree is the sorted list of these; equal neighbours are its deep
+  internal nodes. Windows are the same only if prefix, place and both prints agree.
+* Records are counted per prefix first. A prefix with a single record has no deep node, so its windows' prints are never
+  sent. The prefixes with more are known by a bit sketch that lets a few others through, which changes no result.
 * Subtrees are dealt to groups by the prefix hash; the number of groups follows the corpus, so a group fits one task.
   Records that a batch has several times are sent once and marked as repeated, so one passage with any number of copies
   loads a group by at most one record per batch.
@@ -24,24 +27,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.words import U64, grams, hashed_plain, mix, owner, slices, within
+from faultline.llm.words import U64, grams, hashed_plain, mix, owner, pack48, slices, unpack48, within
 
 SPAN, KEY = 35, 12
-#: Words per group: at about one byte in six a group of 4 million words holds some 25 MB.
+#: Words per group: at 16 bytes a window a group of 4 million words holds 64 MB of prints, if all of them are sent.
 GROUP_WORDS = 4_000_000
+#: The sketch of prefixes has eight bits per expected record, 2**29 (64 MB) at most; a full one only sends more.
+SKETCH_LOG = 29
 _PLACE = U64(0xFFFFFFFF)
+_OTHER = U64(0xD6E8FEB86659FD93)
 
 
 def records(w: np.ndarray, starts: np.ndarray, span: int, key: int) -> dict[str, np.ndarray]:
     """The windows of all texts as runs that share their smallest key-word run.
 
     text: of the record; first: place of its first window among all words; n: its windows; lead: words before the key run
-    in the first window; prefix: hash of the key run; prints: fingerprints of the windows, record after record.
+    in the first window; prefix: hash of the key run.
     """
     at = within(starts, span)
     if not len(at):
         none = np.empty(0, np.int64)
-        return {"text": none, "first": none, "n": none, "lead": none, "prefix": np.empty(0, U64), "prints": np.empty(0, U64)}
+        return {"text": none, "first": none, "n": none, "lead": none, "prefix": np.empty(0, U64)}
     runs = grams(w, key)
     low = (runs & ~_PLACE) | np.arange(len(runs), dtype=U64)  # equal upper bits: the leftmost wins
     width, k = span - key + 1, 1
@@ -57,7 +63,7 @@ def records(w: np.ndarray, starts: np.ndarray, span: int, key: int) -> dict[str,
     own = owner(starts)
     return {
         "text": own[at[head]], "first": at[head], "n": np.diff(np.append(head, len(at))), "lead": where[head] - at[head],
-        "prefix": runs[where[head]], "prints": grams(w, span)[at],
+        "prefix": runs[where[head]],
     }
 
 
@@ -71,24 +77,65 @@ def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _share(batches, span: int, key: int, groups: int):
-    """Records of every slice, one row per group that has some."""
-    names = ["grp", "row", "first", "n", "lead", "known", "prefix", "prints"]
+def _census(batches, span: int, key: int, log_groups: int):
+    """The prefixes (mixed, 48 bits) of every slice's records, one row per group that has some; `many` counts those that
+    occur several times, which come first."""
+    for b in batches:
+        for _, texts in slices(b.column("text")):
+            w, starts = hashed_plain(texts)
+            prefix, n = np.unique(mix(records(w, starts, span, key)["prefix"]) >> U64(16), return_counts=True)
+            group = (prefix >> U64(48 - log_groups)).astype(np.int64)
+            cut = np.flatnonzero(np.diff(group, prepend=-1))
+            out = []
+            for part in np.split(np.arange(len(prefix)), cut[1:]) if len(prefix) else []:
+                p, m = prefix[part], n[part]
+                out.append((int(group[part[0]]), pack48(np.concatenate([p[m > 1], p[m == 1]]) << U64(16)), m[m > 1].astype("<u4").tobytes()))
+            if out:
+                kinds = (pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["grp", "prefix", "many"])
+
+
+def _counted(table, log_groups: int, log_bits: int):
+    """Of one group: its part of the sketch of prefixes with two records or more."""
+    prefixes, counts = [], []
+    for p, m in zip(table["prefix"].to_pylist(), table["many"].to_pylist(), strict=True):
+        prefixes.append(unpack48(p))
+        counts.append(np.ones(len(prefixes[-1]), np.int64))
+        counts[-1][: len(m) // 4] = np.frombuffer(m, "<u4")
+    prefix, back = np.unique(np.concatenate(prefixes), return_inverse=True)
+    n = np.bincount(back, np.concatenate(counts))
+    bits = np.zeros(1 << log_bits - log_groups, bool)
+    bits[((prefix[n > 1] >> U64(48 - log_bits)) & U64(len(bits) - 1)).astype(np.int64)] = True
+    return pa.table({"grp": table["grp"][:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def _share(batches, span: int, key: int, groups: int, sketch: np.ndarray, log_bits: int):
+    """Records of every slice whose prefix the sketch has, one row per group that has some."""
+    names = ["grp", "row", "first", "n", "lead", "known", "prefix", "prints", "second"]
     for b in batches:
         rows = b.column("row").to_numpy()
         for at, texts in slices(b.column("text")):
             w, starts = hashed_plain(texts)
             r = records(w, starts, span, key)
+            spot = (mix(r["prefix"]) >> U64(64 - log_bits)).astype(np.int64)
+            meets = (sketch[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
+            r = {k: v[meets] for k, v in r.items()}
             if not len(r["first"]):
                 continue
             ends = np.cumsum(r["n"])
-            # equal records of this slice: the sum of mixed fingerprints, the prefix and the lead tell them apart
-            total = np.add.reduceat(mix(r["prints"] + np.uint64(1) * _spread(np.zeros_like(r["n"]), r["n"]).astype(U64)), ends - r["n"])
-            same = mix(total + r["prefix"] * U64(3) + (r["lead"] * 64 + r["n"]).astype(U64))
-            _, back, many = np.unique(same, return_inverse=True, return_counts=True)
-            known = np.where(many[back] > 1, _bits(r["n"]), 0)
-            send = np.zeros(len(same), bool)
-            send[np.unique(same, return_index=True)[1]] = True
+            windows = _spread(r["first"], r["n"])
+            prints, second = grams(w, span)[windows], grams(mix(w ^ _OTHER), span)[windows]
+            # equal records of this slice: sums of mixed prints, the prefix, the lead and the length tell them apart
+            place = _spread(np.zeros_like(r["n"]), r["n"]).astype(U64)
+            tail = r["prefix"] * U64(3) + (r["lead"] * 64 + r["n"]).astype(U64)
+            one, two = (np.add.reduceat(mix(x + place), ends - r["n"]) + tail for x in (prints, second))
+            order = np.lexsort((two, one))
+            new = np.ones(len(order), bool)
+            new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+            many = np.diff(np.append(np.flatnonzero(new), len(order)))
+            send, known = np.zeros(len(order), bool), np.zeros(len(order), np.int64)
+            send[order[new]] = True
+            known[order[new]] = np.where(many > 1, _bits(r["n"][order[new]]), 0)
             group = (r["prefix"] >> U64(40)).astype(np.int64) % groups
             order = np.argsort(group, kind="stable")
             cut = np.flatnonzero(np.diff(group[order], prepend=-1))
@@ -97,13 +144,13 @@ def _share(batches, span: int, key: int, groups: int):
             out = []
             for part in np.split(order, cut[1:]):
                 mine = _spread((ends - r["n"])[part], r["n"][part])
-                prints = r["prints"][mine[sent[mine]]]
+                mine = mine[sent[mine]]
                 out.append((
                     int(group[part[0]]), row[part].astype("<i8").tobytes(), first[part].astype("<u4").tobytes(), r["n"][part].astype(np.uint8).tobytes(),
                     r["lead"][part].astype(np.uint8).tobytes(), np.where(send[part], known[part], -1).astype("<i4").tobytes(), r["prefix"][part].astype("<u8").tobytes(),
-                    np.ascontiguousarray(prints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes(),
+                    prints[mine].astype("<u8").tobytes(), second[mine].astype("<u8").tobytes(),
                 ))
-            kinds = [pa.int32()] + [pa.binary()] * 7
+            kinds = [pa.int32()] + [pa.binary()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
@@ -113,18 +160,17 @@ def _deep(table, span: int, key: int):
     row, first, n, lead, known, prefix = (join(c, k) for c, k in (("row", "<i8"), ("first", "<u4"), ("n", "u1"), ("lead", "u1"), ("known", "<i4"), ("prefix", "<u8")))
     n = n.astype(np.int64)
     send = known != -1
-    raw = join("prints", "u1").reshape(-1, 5)
-    prints = np.zeros((len(raw), 8), np.uint8)
-    prints[:, :5] = raw
-    prints = prints.view("<u8").ravel()
+    prints, second = join("prints", "<u8"), join("second", "<u8")
     each = n[send]
     place = _spread(np.zeros_like(each), each)
     own = np.repeat(np.flatnonzero(send), each)
-    # the subtree in order: prefix, words before it, rest of the window
-    a, b = prefix[own], (lead[own].astype(U64) - place.astype(U64) << U64(56)) | prints
-    order = np.lexsort((b, a))
-    eq = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-    deep = np.zeros(len(a), bool)
+    # equal windows have equal prints, so in this order they are neighbours; all that names a window is compared
+    order = np.lexsort((second, prints))
+    eq = np.ones(max(len(order) - 1, 0), bool)
+    for x in (prints, second, prefix[own], lead[own].astype(np.int64) - place):
+        x = x[order]
+        eq &= x[1:] == x[:-1]
+    deep = np.zeros(len(order), bool)
     deep[order[1:][eq]] = True
     deep[order[:-1][eq]] = True
     deep |= (known[own] >> place & 1).astype(bool)
@@ -143,15 +189,30 @@ def repeats(texts: DataFrame, span: int = SPAN, key: int = KEY) -> DataFrame:
     """Runs of repeated windows: row, first (word), n, for `texts` (row, text), row being a long that names the text."""
     size = texts.select(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(12, int(size / 6 / GROUP_WORDS) + 1)
+    log_groups = max(4, groups.bit_length())
+    log_bits = max(min(int(size / 6 / key * 8).bit_length(), SKETCH_LOG), log_groups + 12)
+
+    def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _census(batches, span, key, log_groups)
+
+    def counted(table):
+        return _counted(table, log_groups, log_bits)
+
+    texts = texts.select("row", "text")
+    found = texts.select("text").mapInArrow(census, "grp int, prefix binary, many binary").groupBy("grp").applyInArrow(counted, "grp int, bits binary")
+    sketch = np.zeros((1 << log_groups, 1 << log_bits - log_groups - 3), np.uint8)
+    for r in found.toLocalIterator():
+        sketch[r.grp] = np.frombuffer(r.bits, np.uint8)
+    held = texts.sparkSession.sparkContext.broadcast(sketch.ravel())
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _share(batches, span, key, groups)
+        return _share(batches, span, key, groups, held.value, log_bits)
 
     def deep(table):
         return _deep(table, span, key)
 
-    kinds = "grp int, row binary, first binary, n binary, lead binary, known binary, prefix binary, prints binary"
-    return texts.select("row", "text").mapInArrow(share, kinds).groupBy("grp").applyInArrow(deep, "row long, first int, n int")
+    kinds = "grp int, row binary, first binary, n binary, lead binary, known binary, prefix binary, prints binary, second binary"
+    return texts.mapInArrow(share, kinds).groupBy("grp").applyInArrow(deep, "row long, first int, n int")
 
 
 def covered(n_words: int, runs: list[tuple[int, int]], span: int) -> np.ndarray:

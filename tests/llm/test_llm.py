@@ -215,6 +215,13 @@ def test_substrings(spark, docs):
     assert Counter((r.doc_id, hashlib.sha256(b" ".join(_words(r.text))).hexdigest()) for r in cut.collect()) == Counter({(k[0], k[3]): 0 for k in want}) + sum((Counter({(k[0], k[3]): n}) for k, n in want.items()), Counter())
 
 
+def test_windows_that_agree_in_40_bits_are_not_repeats(spark):
+    # the upper 40 bits of the prints of "k0 x535863" and "k0 x351324" are equal, so are prefix and place
+    rows = [(1, "k0 x535863"), (2, "k0 x351324"), (3, "k0 x7 k0 x8"), (4, "a k0 x8")]
+    got = substrings.repeats(spark.createDataFrame(rows, "row long, text string"), 2, 1).collect()
+    assert sorted(tuple(r) for r in got) == [(3, 2, 1), (4, 1, 1)]
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("mnopqrst") for _ in range(5))

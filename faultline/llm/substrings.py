@@ -10,9 +10,11 @@ internal node at least `span` words deep above it. The tree is never held whole:
   internal nodes. Windows are the same only if prefix, place and both prints agree.
 * Records are counted per prefix first. A prefix with a single record has no deep node, so its windows' prints are never
   sent. The prefixes with more are known by a bit sketch that lets a few others through, which changes no result.
-* Subtrees are dealt to groups by the prefix hash; the number of groups follows the corpus, so a group fits one task.
-  Records that a batch has several times are sent once and marked as repeated, so one passage with any number of copies
-  loads a group by at most one record per batch.
+* Subtrees are dealt to groups by the prefix hash; the number of groups follows the corpus, so a group fits one task. A
+  prefix with more than HEAVY records is lengthened: its records are taken apart into windows, which are dealt by prefix,
+  place and print, so a run that any share of the texts holds loads all groups alike.
+* Records that a slice has several times are sent once and marked as repeated. The others need no comparison: only their
+  places are sent, dealt by row. So one passage with any number of copies loads a group by at most one record per slice.
 
 Neighbouring deep nodes of one text add up to its maximal repeats, and every word under one is marked.
 """
@@ -32,8 +34,10 @@ from faultline.llm.words import U64, grams, hashed_plain, mix, owner, pack48, sl
 SPAN, KEY = 35, 12
 #: Words per group: at 16 bytes a window a group of 4 million words holds 64 MB of prints, if all of them are sent.
 GROUP_WORDS = 4_000_000
-#: The sketch of prefixes has eight bits per expected record, 2**29 (64 MB) at most; a full one only sends more.
-SKETCH_LOG = 29
+#: The sketch of prefixes has two to four bits per KEY words, 2**28 (32 MB) at most; a full one only sends more.
+SKETCH_LOG = 28
+#: Records from which a prefix is heavy: up to 24 windows each, some 12 MB of prints.
+HEAVY = 1 << 15
 _PLACE = U64(0xFFFFFFFF)
 _OTHER = U64(0xD6E8FEB86659FD93)
 
@@ -95,8 +99,8 @@ def _census(batches, span: int, key: int, log_groups: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["grp", "prefix", "many"])
 
 
-def _counted(table, log_groups: int, log_bits: int):
-    """Of one group: its part of the sketch of prefixes with two records or more."""
+def _counted(table, log_groups: int, log_bits: int, heavy: int):
+    """Of one group: its part of the sketch of prefixes with two records or more, and the prefixes with more than `heavy`."""
     prefixes, counts = [], []
     for p, m in zip(table["prefix"].to_pylist(), table["many"].to_pylist(), strict=True):
         prefixes.append(unpack48(p))
@@ -106,10 +110,20 @@ def _counted(table, log_groups: int, log_bits: int):
     n = np.bincount(back, np.concatenate(counts))
     bits = np.zeros(1 << log_bits - log_groups, bool)
     bits[((prefix[n > 1] >> U64(48 - log_bits)) & U64(len(bits) - 1)).astype(np.int64)] = True
-    return pa.table({"grp": table["grp"][:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+    return pa.table({"grp": table["grp"][:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()), "heavy": pa.array([pack48(prefix[n > heavy] << U64(16))], pa.binary())})
 
 
-def _share(batches, span: int, key: int, groups: int, sketch: np.ndarray, log_bits: int):
+def _apart(r: dict[str, np.ndarray], heavy: np.ndarray) -> dict[str, np.ndarray]:
+    """The records `r`, those of heavy prefixes (mixed, 48 bits) taken apart into one record per window."""
+    times = np.where(np.isin(mix(r["prefix"]) >> U64(16), heavy), r["n"], 1)
+    if not len(heavy) or times.max(initial=1) == 1:
+        return r
+    own, place = np.repeat(np.arange(len(times)), times), _spread(np.zeros_like(times), times)
+    r = {k: v[own] for k, v in r.items()}
+    return r | {"first": r["first"] + place, "lead": r["lead"] - place, "n": np.where(times[own] > 1, 1, r["n"])}
+
+
+def _share(batches, span: int, key: int, groups: int, sketch: np.ndarray, log_bits: int, heavy: np.ndarray):
     """Records of every slice whose prefix the sketch has, one row per group that has some."""
     names = ["grp", "row", "first", "n", "lead", "known", "prefix", "prints", "second"]
     for b in batches:
@@ -119,7 +133,7 @@ def _share(batches, span: int, key: int, groups: int, sketch: np.ndarray, log_bi
             r = records(w, starts, span, key)
             spot = (mix(r["prefix"]) >> U64(64 - log_bits)).astype(np.int64)
             meets = (sketch[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
-            r = {k: v[meets] for k, v in r.items()}
+            r = _apart({k: v[meets] for k, v in r.items()}, heavy)
             if not len(r["first"]):
                 continue
             ends = np.cumsum(r["n"])
@@ -136,10 +150,14 @@ def _share(batches, span: int, key: int, groups: int, sketch: np.ndarray, log_bi
             send, known = np.zeros(len(order), bool), np.zeros(len(order), np.int64)
             send[order[new]] = True
             known[order[new]] = np.where(many > 1, _bits(r["n"][order[new]]), 0)
-            group = (r["prefix"] >> U64(40)).astype(np.int64) % groups
+            row, first = rows[at + r["text"]], r["first"] - starts[r["text"]]
+            # windows of a heavy prefix go by all that names them, copies by their row
+            light = ~np.isin(mix(r["prefix"]) >> U64(16), heavy)
+            deal = np.where(light, r["prefix"], mix(r["prefix"] + prints[ends - r["n"]] * U64(3) + r["lead"].astype(U64)))
+            deal = np.where(send, deal, mix(row.astype(np.int64).view(U64)))
+            group = (deal >> U64(40)).astype(np.int64) % groups
             order = np.argsort(group, kind="stable")
             cut = np.flatnonzero(np.diff(group[order], prepend=-1))
-            row, first = rows[at + r["text"]], r["first"] - starts[r["text"]]
             sent = np.repeat(send, r["n"])
             out = []
             for part in np.split(order, cut[1:]):
@@ -179,40 +197,52 @@ def _deep(table, span: int, key: int):
     at = np.concatenate([first[own[deep]].astype(np.int64) + place[deep], _spread(first[rest].astype(np.int64), n[rest])])
     order = np.lexsort((at, row_out))
     row_out, at = row_out[order], at[order]
+    once = np.ones(len(at), bool)  # equal rows share their windows
+    once[1:] = (row_out[1:] != row_out[:-1]) | (at[1:] != at[:-1])
+    row_out, at = row_out[once], at[once]
     new = np.ones(len(at), bool)
     new[1:] = (row_out[1:] != row_out[:-1]) | (at[1:] != at[:-1] + 1)
     head = np.flatnonzero(new)
     return pa.table({"row": row_out[head], "first": at[head].astype(np.int32), "n": np.diff(np.append(head, len(at))).astype(np.int32)})
 
 
-def repeats(texts: DataFrame, span: int = SPAN, key: int = KEY) -> DataFrame:
-    """Runs of repeated windows: row, first (word), n, for `texts` (row, text), row being a long that names the text."""
+def dealt(texts: DataFrame, span: int = SPAN, key: int = KEY, heavy: int = HEAVY) -> DataFrame:
+    """The records of `texts` (row, text) that may hold repeated windows, dealt to groups (grp)."""
     size = texts.select(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(12, int(size / 6 / GROUP_WORDS) + 1)
     log_groups = max(4, groups.bit_length())
-    log_bits = max(min(int(size / 6 / key * 8).bit_length(), SKETCH_LOG), log_groups + 12)
+    log_bits = max(min(int(size / 6 / key * 2).bit_length(), SKETCH_LOG), log_groups + 12)
 
     def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _census(batches, span, key, log_groups)
 
     def counted(table):
-        return _counted(table, log_groups, log_bits)
+        return _counted(table, log_groups, log_bits, heavy)
 
     texts = texts.select("row", "text")
-    found = texts.select("text").mapInArrow(census, "grp int, prefix binary, many binary").groupBy("grp").applyInArrow(counted, "grp int, bits binary")
-    sketch = np.zeros((1 << log_groups, 1 << log_bits - log_groups - 3), np.uint8)
+    found = texts.select("text").mapInArrow(census, "grp int, prefix binary, many binary").groupBy("grp").applyInArrow(counted, "grp int, bits binary, heavy binary")
+    sketch, often = np.zeros((1 << log_groups, 1 << log_bits - log_groups - 3), np.uint8), []
     for r in found.toLocalIterator():
         sketch[r.grp] = np.frombuffer(r.bits, np.uint8)
-    held = texts.sparkSession.sparkContext.broadcast(sketch.ravel())
+        often.append(unpack48(r.heavy))
+    held = texts.sparkSession.sparkContext.broadcast((sketch.ravel(), np.concatenate([np.empty(0, U64), *often])))
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _share(batches, span, key, groups, held.value, log_bits)
+        bits, many = held.value
+        return _share(batches, span, key, groups, bits, log_bits, many)
+
+    kinds = "grp int, row binary, first binary, n binary, lead binary, known binary, prefix binary, prints binary, second binary"
+    return texts.mapInArrow(share, kinds)
+
+
+def repeats(texts: DataFrame, span: int = SPAN, key: int = KEY, heavy: int = HEAVY) -> DataFrame:
+    """Runs of repeated windows: row, first (word), n, for `texts` (row, text), row being a long that names the text.
+    Prefixes with more than `heavy` records are taken apart."""
 
     def deep(table):
         return _deep(table, span, key)
 
-    kinds = "grp int, row binary, first binary, n binary, lead binary, known binary, prefix binary, prints binary, second binary"
-    return texts.mapInArrow(share, kinds).groupBy("grp").applyInArrow(deep, "row long, first int, n int")
+    return dealt(texts, span, key, heavy).groupBy("grp").applyInArrow(deep, "row long, first int, n int")
 
 
 def covered(n_words: int, runs: list[tuple[int, int]], span: int) -> np.ndarray:
@@ -230,11 +260,12 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def _with_runs(docs: DataFrame, span: int, key: int) -> DataFrame:
-    """`docs` with `runs`, the repeated windows of each text in word order (null: none). A row's windows are at most its
-    words, so the list is bound by the text itself. Copies of a whole row count as other places."""
+    """`docs` with `runs`, the repeated windows of each text in word order (null: none). A window of a row is
+    found at most twice (in its prefix's group and, as a copy inside a slice, in its row's), whatever the number of equal
+    rows, so the list is bound by the text itself. Copies of a whole row count as other places."""
     named = _named(docs)
     found = repeats(named.select("row", "text"), span, key)
-    found = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("runs"))
+    found = found.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("first", "n"))).alias("runs"))
     return named.join(found, "row", "left").drop("row")
 
 

@@ -222,6 +222,29 @@ def test_windows_that_agree_in_40_bits_are_not_repeats(spark):
     assert sorted(tuple(r) for r in got) == [(3, 2, 1), (4, 1, 1)]
 
 
+def test_a_run_that_all_texts_share_is_dealt_to_all_groups(spark):
+    rng = random.Random(5)
+    word = lambda: str(rng.randrange(10**6))
+    runs = [[word() for _ in range(12)] for _ in range(300)]
+    run = min(runs, key=lambda r: int(substrings.grams(substrings.hashed_plain([" ".join(r).encode()])[0], 12)[0]))
+    texts = [[*(word() for _ in range(30)), *run, *(word() for _ in range(30))] for _ in range(400)]
+    texts += [[*t[:45], word(), *t[46:]] for t in texts[:20]]
+    seen = Counter(tuple(w[i : i + 35]) for w in texts for i in range(len(w) - 34))
+    want = {(k, i) for k, w in enumerate(texts) for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1}
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "row long, text string").repartition(3)
+    for heavy in (1, 100, 10**6):
+        got = substrings.repeats(frame, heavy=heavy).collect()
+        assert {(r.row, i) for r in got for i in range(r.first, r.first + r.n)} == want
+    load = [r.n for r in substrings.dealt(frame, heavy=100).groupBy("grp").agg(chat.F.sum(chat.F.octet_length("prints")).alias("n")).collect()]
+    assert max(load) < sum(load) / 4  # by the prefix alone one of twelve groups would have nearly all
+
+
+def test_equal_rows_do_not_lengthen_the_list_of_runs(spark):
+    text = " ".join(f"w{i}" for i in range(120))
+    docs = spark.createDataFrame([(1, text)] * 40, "doc_id long, text string").repartition(4)
+    assert max(sum(x.n for x in r.runs) for r in substrings._with_runs(docs, 35, 12).collect()) <= 2 * (120 - 34)
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("mnopqrst") for _ in range(5))

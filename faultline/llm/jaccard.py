@@ -429,13 +429,20 @@ def linked(rows: DataFrame, words: int = WORDS, least: int = LEAST) -> tuple[Dat
     return signed.drop("prefix", "point"), components(links.select("a", "b").union(more.select("a", "b")))
 
 
+def _labelled(docs: DataFrame, words: int, least: int) -> DataFrame:
+    """doc_id, row, n, label for every row of `docs` (doc_id, text): rows of one component, and no others, share a label
+    (a class); texts with an empty set have none."""
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    signed, comp = linked(rows, words, least)
+    label = signed.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("root", "cls"))
+    return label.select("doc_id", "row", "n", "label")
+
+
 def joined(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
     """doc_id, row, n_shingles, component_id for every row of `docs` (doc_id, text): the smallest doc_id of the row's
     component, null doc_ids left out; its own where nothing is linked. Rows are lower-cased in A-Z only; null texts and
     texts without words have an empty set and link with nothing, equal sets of other texts are linked."""
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    signed, comp = linked(rows, words, least)
-    label = signed.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("root", "cls"))
+    label = _labelled(docs, words, least)
     low = label.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("low"))
     return label.join(low, "label", "left").select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
 
@@ -443,12 +450,14 @@ def joined(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame
 def one_of_each(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
     """The rows of `docs`, one of each group of linked documents: that with the smallest doc_id (of its equal rows, one).
 
-    Texts with an empty set all stay; rows with a null doc_id stay only where their group has no other.
+    Texts with an empty set all stay; of a group without any doc_id one row stays. A group is a component, not its doc_id:
+    unlinked texts stay even if they share a doc_id or have none.
     """
-    out = joined(docs, words, least)
+    out = _labelled(docs, words, least)
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    free = out.where("n_shingles = 0").select(F.col("row").alias("_row")).distinct()
-    kept = out.where("n_shingles > 0 and doc_id <=> component_id").groupBy("component_id").agg(F.min("row").alias("_row")).select("_row").distinct()
+    free = out.where("label is null").select(F.col("row").alias("_row")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = out.where("label is not null").groupBy("label").agg(first.alias("first")).select(F.col("first.row").alias("_row")).distinct()
     names = docs.columns
     chosen = keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"])
     return chosen.select(*names).union(keyed.join(free, "_row", "left_semi").select(*names))

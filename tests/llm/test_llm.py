@@ -190,6 +190,15 @@ def test_jaccard(spark, docs):
     assert got == want
 
 
+def test_one_of_each_keeps_a_row_of_every_component(spark):
+    a, b, c, d, e, f = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcdef")
+    near = a + " more"
+    rows = [(None, c), (None, d), (None, d), (5, e), (5, f), (None, a), (9, near), (8, a), (3, b), (3, b), (None, None), (None, ""), (4, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(tuple(r) for r in jaccard.one_of_each(docs).collect())
+    assert got == Counter([(None, c), (None, d), (5, e), (5, f), (8, a), (3, b), (None, None), (None, ""), (4, " ")])
+
+
 def test_count_tree_finds_all_in_reach():
     rng = np.random.default_rng(0)
     points = rng.poisson(3, (300, 16)).astype(np.int32)

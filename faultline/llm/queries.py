@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import ann, chat, decontam, jaccard, langid, packing, sharding, substrings, toxicity, warc
+from faultline.llm import ann, chat, decontam, jaccard, langid, linededup, packing, resampling, sharding, substrings, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -118,3 +118,75 @@ def benchmark_decontamination(spark, sf_dir):
 def nearest_neighbours(spark, sf_dir):
     """The 20 nearest rows of every 20th embedding."""
     return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 20, 20)
+
+
+LINES_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), l AS (
+  SELECT r, doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM d
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), s AS (
+  SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) >= 2
+), m AS (
+  SELECT k.*, s.key IS NOT NULL AND doc_id IS DISTINCT FROM first AS gone FROM k LEFT JOIN s USING (key)
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r
+"""
+
+
+@query("op11_line_dedup", LINES_SQL)
+def line_dedup(spark, sf_dir):
+    """All documents without the lines that a document with a smaller doc_id holds."""
+    return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 as a fold over the bytes of a feature, the table made by eight steps of the polynomial.
+RESAMPLING_SQL = """
+WITH tab AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b::BIGINT], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t
+), f AS (
+  SELECT 'd' AS side, doc_id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), w AS (
+  SELECT side, row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM f
+), u AS (
+  SELECT r, side, unnest(words) AS word FROM w
+), x AS (
+  SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM u)
+), c AS (
+  SELECT word, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+      list_transform(range(length(h) // 2), lambda i: ((instr('0123456789ABCDEF', substr(h, (2 * i + 1)::BIGINT, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, (2 * i + 2)::BIGINT, 1)) - 1)::BIGINT)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % 10000 AS bucket
+  FROM x, tab
+), n AS (
+  SELECT bucket, count(*) FILTER (WHERE side = 'd') AS s, count(*) FILTER (WHERE side = 'b') AS t FROM u JOIN c USING (word) GROUP BY bucket
+), g AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000) / ((s + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain
+  FROM n, (SELECT sum(s)::DOUBLE AS all_s, sum(t)::DOUBLE AS all_t FROM n)
+), d AS (
+  SELECT w.r, any_value(doc_id) AS doc_id, any_value(len(words)) AS n_features, coalesce(sum(gain), 0)::BIGINT AS weight
+  FROM w LEFT JOIN u USING (r) LEFT JOIN c USING (word) LEFT JOIN g USING (bucket) WHERE w.side = 'd' GROUP BY w.r
+), e AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d
+), o AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 10 * count(*) OVER () // 100 AS most FROM e WHERE n_features >= 20
+)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN place <= most THEN place END AS rank FROM e LEFT JOIN o USING (r)
+"""
+
+
+@query("op12_importance_resampling", RESAMPLING_SQL)
+def importance_resampling(spark, sf_dir):
+    """Every document's weight towards the benchmark and its place in the draw."""
+    return resampling.resampling_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_embedding_whitening")
+def embedding_whitening(spark, sf_dir):
+    """The first eight whitened components of every usable embedding."""
+    return whitening.whitening_report(table(spark, sf_dir, "embeddings"))

@@ -12,8 +12,10 @@ same texts are one. Copies are one text. Then
 
 1. in every cell the texts meet its smallest and its largest one (two stars): a group of near copies, of any size, links up
    in about as many checks as it has members;
-2. cells that still hold texts of several components are searched with the R-tree, block against block, for the pairs of
-   different components that can reach the similarity. All other pairs are in one component already.
+2. cells that still hold texts of several components are searched with the R-tree. Cells with the same smallest component
+   are one group; a group is cut into blocks, and texts outside the group's largest component are looked up in all of them.
+   Survivors are verified in the block's task unless their components are joined there already, so a block yields
+   fewer links than it has components. All other pairs are in one component already.
 
 So no cell's pairs are all listed, and no link between two components is lost.
 """
@@ -36,6 +38,8 @@ WORDS, LEAST = 5, 75
 SHINGLES, LOCAL, TOTAL, FREQUENT = 4_000_000, 8, 50, 1 << 18
 #: Texts per block of a cell, tokens per group of cells, coordinates of a tree's boxes.
 BLOCK, GROUP_TOKENS, BOX = 1024, 1_500_000, 64
+#: Tokens per block of a group that is searched with trees.
+BLOCK_TOKENS = 1_000_000
 LEAF = 16
 
 
@@ -273,93 +277,173 @@ def bounded(pairs: DataFrame, points: DataFrame, least: int) -> DataFrame:
     return pairs.mapInArrow(bound, "a long, b long")
 
 
-def tree_pairs(found: DataFrame, points: DataFrame, comp: DataFrame, least: int) -> DataFrame:
-    """(a, b), a < b, of different components that share a cell and can reach the similarity, found by R-tree search.
+def tree_groups(found: DataFrame, comp: DataFrame) -> DataFrame:
+    """grp, cls, root: the texts that the trees search. Cells that hold several components and have the same smallest one are
+    one group, so a text stands in a group once, however many of its cells are in it."""
+    inside = found.select("cell", F.explode("members").alias("cls")).join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cell", "cls", F.coalesce("root", "cls").alias("root"))
+    inside = stored(inside, "cells")
+    mixed = inside.groupBy("cell").agg(F.min("root").alias("grp"), F.max("root").alias("y")).where("grp <> y").select("cell", "grp")
+    return inside.join(mixed, "cell").select("grp", "cls", "root").distinct()
+
 
-    A cell's blocks meet two by two; a pair of blocks is what a task holds at a time.
+def tree_blocks(rows: DataFrame, size: str, least_block: int) -> DataFrame:
+    """`rows` (grp, cls, root, others) with block, visits and asks: groups cut by class into blocks in which the column `size`
+    sums up to about `least_block`.
+
+    Of two texts of different components at least one is outside its group's largest component: those ask, and visit all
+    blocks of the group; the others stay in their own.
     """
-    root = F.coalesce("root", "cls").alias("root")
-    inside = found.select("cell", "block", F.explode("members").alias("cls")).join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cell", "block", "cls", root)
-    inside = stored(inside, "cells")
-    mixed = inside.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("block").alias("last")).where("x <> y").select("cell", "last")
-    inside = inside.join(mixed, "cell").join(points, "cls").withColumn("with", F.explode(F.sequence(F.lit(0), "last")))
-    both = inside.select("cell", F.least("block", "with").alias("block"), F.greatest("block", "with").alias("other"), (F.col("with") < F.col("block")).cast("int").alias("side"), "cls", "root", "n", "point")
-
-    def search(cls, root, n, side, blobs):
-        size = np.array([len(p) for p in blobs])
-        out, alone = [np.empty((0, 2), np.int64)], not side.any()
-        # of two sets of different components one is outside the largest: those ask, all are asked
-        names, back, many = np.unique(root, return_inverse=True, return_counts=True)
-        asking = back != many.argmax()
-        # sets in reach of one another have like sizes, so their points have as many coordinates or twice as many
-        for d in np.unique(size).tolist():
-            rows = np.flatnonzero((size == d) | (size == 2 * d))
-            fine = np.stack([fold(blobs[i], d) for i in rows])
-            for mine, other in [(0, 0)] if alone else [(0, 1), (1, 0)]:
-                asks, asked = np.flatnonzero(asking[rows] & (side[rows] == mine)), np.flatnonzero(side[rows] == other)
-                if not len(asks) or not len(asked):
-                    continue
-                tree = CountTree(fold(fine[asked], BOX).astype(np.int32), n[rows[asked]])
-                for i in asks:
-                    me = rows[i]
-                    hit = asked[tree.search(fold(fine[i], BOX), int(n[me]), least)]
-                    # two points of 2 d coordinates are compared in those
-                    hit = hit[(root[rows[hit]] != root[me]) & ((size[me] == d) | (size[rows[hit]] == d))]
-                    reach = np.minimum(fine[hit], fine[i]).sum(1, dtype=np.int64) >= needed(int(n[me]), n[rows[hit]], least)
-                    out.append(np.stack([np.full(int(reach.sum()), cls[me]), cls[rows[hit[reach]]]], 1))
-        return np.sort(np.concatenate(out), axis=1)
-
-    def leaf(cls, root, n, side, blobs):
-        """The same for a cell whose tree is one leaf: sizes first, then whole points."""
-        out = []
-        who = sorted(zip(n.tolist(), cls.tolist(), root.tolist(), blobs, strict=True), key=lambda r: r[0])
-        for i, (ni, a, ra, pa_) in enumerate(who):
-            for nj, b, rb, pb in who[i + 1 :]:
-                if 100 * ni < least * nj:
-                    break
-                if ra != rb and reachable(_point(pa_), _point(pb), ni, nj, least):
-                    out.append((a, b) if a < b else (b, a))
-        return out
-
-    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cells arrive one after another; what a batch has of its last one waits for the next batch."""
-
-        def done(t):
-            cols = {c: t[c].to_numpy() for c in ("cell", "block", "other", "cls", "root", "n", "side")}
-            blobs = t["point"].to_pylist()
-            head = np.flatnonzero(starting(cols))
-            few, many = [], [np.empty((0, 2), np.int64)]
-            for s, e in zip(head.tolist(), np.append(head[1:], t.num_rows).tolist(), strict=True):
-                own = [cols[c][s:e] for c in ("cls", "root", "n", "side")]
-                if e - s <= LEAF and not own[3].any():
-                    few += leaf(*own, blobs[s:e])
-                else:
-                    many.append(search(*own, [_point(p) for p in blobs[s:e]]))
-            pairs = np.unique(np.concatenate([np.array(few, np.int64).reshape(-1, 2), *many]), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-        def starting(cols):
-            new = np.ones(len(cols["cell"]), bool)
-            new[1:] = (cols["cell"][1:] != cols["cell"][:-1]) | (cols["block"][1:] != cols["block"][:-1]) | (cols["other"][1:] != cols["other"][:-1])
-            return new
-
-        held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b])
+    sizes = rows.groupBy("grp", "root").agg(F.count("*").alias("k"), F.sum(size).alias("s"))
+    main = sizes.groupBy("grp").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.ceil(F.sum("s") / least_block).alias("blocks"))
+    placed = rows.join(main, "grp").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks")).withColumn("asks", F.col("root") != F.col("main"))
+    goes = F.when(F.col("asks"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))
+    placed = placed.withColumn("block", F.explode(goes)).withColumn("visits", F.col("block") != F.col("own")).drop("main", "blocks", "own")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # little to read, much to do: not to be merged
+    return placed.repartition(tasks, "grp", "block").sortWithinPartitions("grp", "block")
+
+
+def by_block(batches: Iterator[pa.RecordBatch], done) -> Iterator[pa.RecordBatch]:
+    """done(table, first rows of its blocks) for runs of whole blocks; what a batch has of its last one waits for the next batch."""
+
+    def starting(t):
+        new = np.ones(t.num_rows, bool)
+        x, y = t["grp"].to_numpy(), t["block"].to_numpy()
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        return np.flatnonzero(new)
+
+    held = None
+    for b in batches:
+        for at in range(0, b.num_rows, 2048):
+            t = pa.Table.from_batches([b.slice(at, 2048)])
             t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            last = int(np.flatnonzero(starting({c: t[c].to_numpy() for c in ("cell", "block", "other")}))[-1])
+            last = int(starting(t)[-1])
             if last:
-                yield done(t.slice(0, last))
+                yield done(t.slice(0, last), starting(t)[:-1])
             held = t.slice(last)
-        if held is not None:
-            yield done(held)
+    if held is not None:
+        yield done(held, starting(held))
+
+
+def survivors(points: list[np.ndarray], n: np.ndarray, asks: np.ndarray, visits: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows of the block's own that can reach the similarity with it) for the rows that ask, by trees over the own ones."""
+    home, size = np.flatnonzero(~visits), np.array([len(p) for p in points])
+    # sets in reach of one another have like sizes, so their points have as many coordinates or twice as many
+    for d in np.unique(size).tolist():
+        at = home[(size[home] == d) | (size[home] == 2 * d)]
+        if not len(at):
+            continue
+        fine = np.stack([fold(points[i], d) for i in at])
+        tree = CountTree(fold(fine, BOX).astype(np.int32), n[at])
+        for me in np.flatnonzero(asks & ((size == d) | (size == 2 * d))).tolist():
+            mine = fold(points[me], d)
+            hit = tree.search(fold(mine, BOX), int(n[me]), least)
+            # two points of 2 d coordinates are compared in those
+            hit = hit[(size[me] == d) | (size[at[hit]] == d)]
+            hit = hit[np.minimum(fine[hit], mine).sum(1, dtype=np.int64) >= needed(int(n[me]), n[at[hit]], least)]
+            if len(hit):
+                yield me, at[hit]
+
+
+class Forest(dict):
+    """Union-find over component labels."""
+
+    def top(self, x: int) -> int:
+        while self.get(x, x) != x:
+            self[x] = self.get(self[x], self[x])
+            x = self[x]
+        return x
+
+    def unite(self, x: int, y: int) -> bool:
+        x, y = self.top(x), self.top(y)
+        if x != y:
+            self[max(x, y)] = min(x, y)
+        return x != y
+
+
+def overlaps(tokens: np.ndarray, pool: np.ndarray, own: np.ndarray, many: int) -> np.ndarray:
+    """How many of `tokens` each of `many` sets has, from all their tokens in order (`pool`) and their owners."""
+    lo, hi = np.searchsorted(pool, tokens), np.searchsorted(pool, tokens, side="right")
+    hit = hi > lo
+    lo, k = lo[hit], (hi - lo)[hit]
+    ends = np.cumsum(k)
+    at = np.repeat(lo - (ends - k), k) + np.arange(ends[-1] if len(ends) else 0)
+    return np.bincount(own[at], minlength=many)
+
+
+def pairs_in_reach(groups: DataFrame, points: DataFrame, least: int) -> DataFrame:
+    """Those rows of `groups` that can reach the similarity with one of another component in their group, by their points
+    (repeated, if they do so in several blocks)."""
+
+    def leaf(root, n, blobs):
+        """The same for a group that is one leaf: sizes first, then whole points."""
+        found = np.zeros(len(n), bool)
+        order = np.argsort(n, kind="stable").tolist()
+        for k, i in enumerate(order):
+            for j in order[k + 1 :]:
+                if 100 * n[i] < least * n[j]:
+                    break
+                if root[i] != root[j] and not (found[i] and found[j]) and reachable(_point(blobs[i]), _point(blobs[j]), int(n[i]), int(n[j]), least):
+                    found[i] = found[j] = True
+        return found
+
+    def search(t, head):
+        root, n, asks, visits = (t[c].to_numpy() for c in ("root", "n", "asks", "visits"))
+        blobs, found = t["point"].to_pylist(), np.zeros(t.num_rows, bool)
+        for s, e in zip(head.tolist(), np.append(head[1:], t.num_rows).tolist(), strict=True):
+            if e - s <= LEAF and not visits[s:e].any():
+                found[s:e] = leaf(root[s:e], n[s:e], blobs[s:e])
+                continue
+            for me, hit in survivors([_point(p) for p in blobs[s:e]], n[s:e], asks[s:e], visits[s:e], least):
+                hit = s + hit[root[s + hit] != root[s + me]]
+                found[hit] = True
+                found[s + me] |= len(hit) > 0
+        return pa.RecordBatch.from_arrays([t[c].combine_chunks() for c in ("grp", "cls", "root")], ["grp", "cls", "root"]).filter(pa.array(found))
+
+    rows = tree_blocks(groups.join(points, "cls").withColumn("one", F.lit(1)), "one", BLOCK)
+    return rows.mapInArrow(lambda batches: by_block(batches, search), "grp long, cls long, root long")
 
-    keys = ("cell", "block", "other")
-    tasks = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # little to read, much to do: not to be merged
-    both = both.repartition(tasks, *keys).sortWithinPartitions(*keys)
-    return both.mapInArrow(through, "a long, b long").distinct()
+
+def block_links(cls: np.ndarray, root: np.ndarray, visits: np.ndarray, asks: np.ndarray, sets_: list[np.ndarray], least: int) -> list[tuple[int, int, int]]:
+    """(a, b, overlap) of one block: links that join its components, at most one fewer than there are components.
+
+    Survivors that are joined already are left out, the others are verified on whole sets.
+    """
+    n = np.array([len(t) for t in sets_])
+    home = np.flatnonzero(~visits)
+    if not len(home) or not asks.any():
+        return []
+    flat = np.concatenate([sets_[i] for i in home])
+    order = np.argsort(flat, kind="stable")
+    pool, own = flat[order], np.repeat(np.arange(len(home)), n[home])[order]
+    place = np.cumsum(~visits) - 1  # of a row among the block's own
+    points = [np.bincount((t & U64(d - 1)).astype(np.int64), minlength=d).astype(np.int32) for t, d in zip(sets_, dims(n).tolist(), strict=True)]
+    forest, label, out = Forest(), root.tolist(), []
+    for me, hit in survivors(points, n, asks, visits, least):
+        top = forest.top(label[me])
+        hit = [h for h in hit.tolist() if forest.top(label[h]) != top]
+        if len(hit) > 8:
+            i = overlaps(sets_[me], pool, own, len(home))[place[hit]].tolist()
+        else:
+            i = [len(np.intersect1d(sets_[me], sets_[h], assume_unique=True)) for h in hit]
+        for h, k in zip(hit, i, strict=True):
+            if k >= needed(int(n[me]), int(n[h]), least) and forest.unite(label[me], label[h]):
+                out.append((int(cls[me]), int(cls[h]), k))
+    return out
+
+
+def tree_links(groups: DataFrame, whole: DataFrame, least: int) -> DataFrame:
+    """(a, b, i): verified links that join the components of every group as all its links would; a block at a time."""
+
+    def verify(t, head):
+        c = {k: t[k].to_numpy() for k in ("cls", "root", "visits", "asks")}
+        sets_, out = [unpack48(x) for x in t["tokens"].to_pylist()], []
+        for s, e in zip(head.tolist(), np.append(head[1:], t.num_rows).tolist(), strict=True):
+            out += block_links(c["cls"][s:e], c["root"][s:e], c["visits"][s:e], c["asks"][s:e], sets_[s:e], least)
+        cols = list(zip(*out, strict=True)) or [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["a", "b", "i"])
+
+    rows = tree_blocks(groups.join(whole, "cls").withColumn("n", F.octet_length("tokens") / 6), "n", BLOCK_TOKENS)
+    return rows.mapInArrow(lambda batches: by_block(batches, verify), "a long, b long, i long")
 
 
 def verified(pairs: DataFrame, whole: DataFrame, least: int) -> DataFrame:
@@ -423,9 +507,9 @@ def linked(rows: DataFrame, words: int = WORDS, least: int = LEAST) -> tuple[Dat
     first = stored(bounded(stars, points, least), "stars")
     ends = lambda p: p.select(F.col("a").alias("cls")).union(p.select(F.col("b").alias("cls"))).distinct()
     links = stored(verified(first, whole_sets(rows, full.select("cls", "row"), ends(first), words), least), "links")
-    comp = components(links)
-    second = stored(tree_pairs(found, points, comp, least).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = stored(verified(second, whole_sets(rows, full.select("cls", "row"), ends(second), words), least), "links")
+    groups = stored(tree_groups(found, components(links)), "groups")
+    groups = stored(pairs_in_reach(groups, points, least).distinct(), "reach")
+    more = stored(tree_links(groups, whole_sets(rows, full.select("cls", "row"), groups.select("cls").distinct(), words), least), "links")
     return signed.drop("prefix", "point"), components(links.select("a", "b").union(more.select("a", "b")))
 
 

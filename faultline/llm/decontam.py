@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.words import U64, WordHashes, grams, hashed, slices
+from faultline.llm.words import U64, WordHashes, grams, hashed, lean, slices
 
 WORDS, LEAST = 5, 75
 BITS, BLOCKS, RADIUS = 64, 8, 23
@@ -37,6 +37,14 @@ def _normal(word: bytes) -> bytes:
 _WORDS = WordHashes(_normal)
 
 
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return hashed(texts, _WORDS)
+
+
+def forget() -> None:
+    _WORDS.clear()
+
+
 def signs(tokens: np.ndarray) -> np.ndarray:
     """+1 or -1 per bit of each token."""
     bits = np.unpackbits(tokens.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -60,7 +68,7 @@ class Items:
     """The index of a block of items: their shingles, hashes and, per hash block, the items filed under each value."""
 
     def __init__(self, ids: list[int], texts: list[bytes], words: int):
-        w, starts = hashed(texts, _WORDS)
+        w, starts = word_hashes(texts)
         self.ids, self.words = [], words
         self.length, self.tokens = [], []
         for i, key in enumerate(ids):
@@ -143,7 +151,7 @@ def matches(docs: DataFrame, items: DataFrame, words: int = WORDS, least: int =
             for b in batches:
                 doc, row, found = b.column("doc_id").to_pylist(), b.column("row").to_pylist(), []
                 for at, texts in slices(b.column("text")):
-                    w, starts = hashed(texts, _WORDS)
+                    w, starts = word_hashes(texts)
                     hit = _touched(index, w, starts)
                     for i in hit:
                         for item, (s, n, low, high) in index.found(w[starts[i] : starts[i + 1]], least).items():
@@ -153,7 +161,7 @@ def matches(docs: DataFrame, items: DataFrame, words: int = WORDS, least: int =
                     names = ["doc_id", "row", "item_id", "first_word", "n_words", "similarity"]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names)
 
-        one = rows.mapInArrow(look, schema)
+        one = rows.mapInArrow(lean(look, forget), schema)
         out = one if out is None else out.union(one)
     return out if out is not None else spark.createDataFrame([], schema)
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.tables import components, maybe_in, stored
-from faultline.llm.words import U64, grams, hashed_plain, mix, owner, pack48, slices, unpack48
+from faultline.llm.words import U64, grams, hashed_plain, lean, mix, owner, pack48, slices, unpack48
 
 WORDS, LEAST = 5, 75
 #: A token is frequent if a task's run of SHINGLES tokens has it LOCAL times and the corpus TOTAL times; at most FREQUENT are kept,
@@ -113,7 +113,7 @@ def frequent(texts: DataFrame, words: int) -> np.ndarray:
         if size:
             yield flush()
 
-    found = texts.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = texts.select("text").mapInArrow(lean(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     kept = found.where(F.col("n") >= TOTAL).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
     return kept["token"].to_numpy().view(U64)[::-1].copy() if kept.num_rows else np.empty(0, U64)
 
@@ -162,7 +162,7 @@ def signatures(rows: DataFrame, words: int, least: int, late: np.ndarray) -> Dat
                 cols += [pa.array(n, pa.int64()), pa.array(whole, pa.int64(), mask=n == 0), pa.array(prefixes, pa.binary()), pa.array(points, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, [*keep, "n", "cls", "prefix", "point"])
 
-    return rows.mapInArrow(sign, schema)
+    return rows.mapInArrow(lean(sign), schema)
 
 
 def cells(signed: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def cells(signed: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["cell", "low", "high", "block", "members"])
 
-    dealt = signed.where("cls is not null").select("cls", "prefix").mapInArrow(deal, "grp int, token binary, who binary")
+    dealt = signed.where("cls is not null").select("cls", "prefix").mapInArrow(lean(deal), "grp int, token binary, who binary")
     met = dealt.groupBy("grp").applyInArrow(meet, "cell long, low long, high long, block int, members array<long>")
     return met.dropDuplicates(["cell", "block"])
 
@@ -274,7 +274,7 @@ def bounded(pairs: DataFrame, points: DataFrame, least: int) -> DataFrame:
             ok = [reachable(_point(x), _point(y), m, n, least) for m, n, x, y in rows]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.mapInArrow(bound, "a long, b long")
+    return pairs.mapInArrow(lean(bound), "a long, b long")
 
 
 def tree_groups(found: DataFrame, comp: DataFrame) -> DataFrame:
@@ -400,7 +400,7 @@ def pairs_in_reach(groups: DataFrame, points: DataFrame, least: int) -> DataFram
         return pa.RecordBatch.from_arrays([t[c].combine_chunks() for c in ("grp", "cls", "root")], ["grp", "cls", "root"]).filter(pa.array(found))
 
     rows = tree_blocks(groups.join(points, "cls").withColumn("one", F.lit(1)), "one", BLOCK)
-    return rows.mapInArrow(lambda batches: by_block(batches, search), "grp long, cls long, root long")
+    return rows.mapInArrow(lean(lambda batches: by_block(batches, search)), "grp long, cls long, root long")
 
 
 def block_links(cls: np.ndarray, root: np.ndarray, visits: np.ndarray, asks: np.ndarray, sets_: list[np.ndarray], least: int) -> list[tuple[int, int, int]]:
@@ -443,7 +443,7 @@ def tree_links(groups: DataFrame, whole: DataFrame, least: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["a", "b", "i"])
 
     rows = tree_blocks(groups.join(whole, "cls").withColumn("n", F.octet_length("tokens") / 6), "n", BLOCK_TOKENS)
-    return rows.mapInArrow(lambda batches: by_block(batches, verify), "a long, b long, i long")
+    return rows.mapInArrow(lean(lambda batches: by_block(batches, verify)), "a long, b long, i long")
 
 
 def verified(pairs: DataFrame, whole: DataFrame, least: int) -> DataFrame:
@@ -472,7 +472,7 @@ def verified(pairs: DataFrame, whole: DataFrame, least: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "i"])
 
-    return ordered.mapInArrow(check, "a long, b long, i long")
+    return ordered.mapInArrow(lean(check), "a long, b long, i long")
 
 
 def whole_sets(rows: DataFrame, signed: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -488,7 +488,7 @@ def whole_sets(rows: DataFrame, signed: DataFrame, wanted: DataFrame, words: int
                 blobs = [pack48(token[ends[i] : ends[i + 1]]) for i in range(len(t))]
                 yield pa.RecordBatch.from_arrays([b.column("cls").slice(at, len(t)), pa.array(blobs, pa.binary())], ["cls", "tokens"])
 
-    return texts.select("cls", "text").mapInArrow(take, "cls long, tokens binary").dropDuplicates(["cls"])
+    return texts.select("cls", "text").mapInArrow(lean(take), "cls long, tokens binary").dropDuplicates(["cls"])
 
 
 def linked(rows: DataFrame, words: int = WORDS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:

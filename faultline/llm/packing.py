@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.tables import ranked, stored
-from faultline.llm.words import slices
+from faultline.llm.words import lean, slices
 
 CAPACITY = 2048
-#: Entries of each of a worker's three memos: chunks, their words, and what follows the words.
-MEMO = 500_000
+#: Bytes that a worker's three memos (chunks, their words, and what follows the words) may take together, and what an entry
+#: takes besides its text and ids.
+MEMO_BYTES, ENTRY = 96 << 20, 200
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -89,14 +90,19 @@ class _Memo(dict):
 
     def __init__(self, encode, word):
         super().__init__()
-        self.encode, self.word, self.words, self.rests = encode, word, {}, {}
+        self.encode, self.word, self.words, self.rests, self.room = encode, word, {}, {}, MEMO_BYTES
+
+    def keep(self, memo: dict[str, bytes], text: str, ids: bytes) -> None:
+        size = len(text) * (1 if text.isascii() else 4) + len(ids) + ENTRY
+        if size <= self.room:
+            memo[text] = ids
+            self.room -= size
 
     def part(self, memo: dict[str, bytes], encode, text: str) -> bytes:
         ids = memo.get(text)
         if ids is None:
             ids = encode(text)
-            if len(memo) < MEMO:
-                memo[text] = ids
+            self.keep(memo, text, ids)
         return ids
 
     def __missing__(self, chunk: str) -> bytes:
@@ -108,14 +114,10 @@ class _Memo(dict):
         else:
             letters = self.LETTERS.fullmatch(chunk)
             ids = self.part(self.words, self.word if letters else self.encode, " " + chunk)
-        if len(self) < MEMO:
-            self[chunk] = ids
+        self.keep(self, chunk, ids)
         return ids
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """Cut every text (doc_id, text; null is empty) with `end_id` at its end: doc_id, start, length, ids_crc32, doc_tokens,
     and ids (little-endian unsigned 32-bit) if asked for. Repeated doc_ids are texts of their own."""
@@ -123,9 +125,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = Encoder(tokenizer)
-        encode = _ENCODERS[tokenizer].ids
+        encode = Encoder(tokenizer).ids  # one per task, so its memos go with it
         for b in batches:
             keys = b.column("doc_id").to_pylist()
             for at, texts in slices(b.column("text")):
@@ -140,7 +140,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + keep_ids]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(cut), schema)
 
 
 def closest(counts: dict[int, int], room: int) -> dict[int, int]:

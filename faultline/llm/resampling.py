@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.tables import stored
-from faultline.llm.words import slices
+from faultline.llm.words import lean, slices
 
 BUCKETS, LONGEST, SEED, PERCENT, LEAST_WORDS = 10_000, 1, 2024, 10, 20
 #: Features of more bytes are cut into pieces of so many.
@@ -114,7 +114,7 @@ def bucket_counts(texts: DataFrame, text: str = "text", longest: int = LONGEST,
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["bucket", "n"])
 
-    return texts.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return texts.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(lean(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def gains(docs: DataFrame, target: DataFrame, text: str = "text", longest: int = LONGEST, buckets: int = BUCKETS) -> np.ndarray:
@@ -154,7 +154,7 @@ def weighted(docs: DataFrame, target: DataFrame, doc: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays(cols, ["doc", "ra", "rb", "n_words", "n_features", "weight"])
 
     rows = docs.select(q(doc).alias("doc"), F.xxhash64(q(doc), q(text)).alias("ra"), F.xxhash64(F.lit(1), q(text), q(doc)).alias("rb"), q(text).cast("string").alias("t"))
-    return rows.mapInArrow(weigh, f"doc {kind}, ra long, rb long, n_words long, n_features long, weight long").withColumn("score", F.col("weight") + noise(F.col("doc"), seed))
+    return rows.mapInArrow(lean(weigh), f"doc {kind}, ra long, rb long, n_words long, n_features long, weight long").withColumn("score", F.col("weight") + noise(F.col("doc"), seed))
 
 
 def ranked_draw(rows: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:

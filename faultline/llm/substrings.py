@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.words import U64, grams, hashed_plain, mix, owner, pack48, slices, unpack48, within
+from faultline.llm.words import U64, grams, hashed_plain, lean, mix, owner, pack48, parts, slices, unpack48, within
 
 SPAN, KEY = 35, 12
 #: Words per group: at 16 bytes a window a group of 4 million words holds 64 MB of prints, if all of them are sent.
@@ -220,7 +220,7 @@ def dealt(texts: DataFrame, span: int = SPAN, key: int = KEY, heavy: int = HEAVY
         return _counted(table, log_groups, log_bits, heavy)
 
     texts = texts.select("row", "text")
-    found = texts.select("text").mapInArrow(census, "grp int, prefix binary, many binary").groupBy("grp").applyInArrow(counted, "grp int, bits binary, heavy binary")
+    found = texts.select("text").mapInArrow(lean(census), "grp int, prefix binary, many binary").groupBy("grp").applyInArrow(counted, "grp int, bits binary, heavy binary")
     sketch, often = np.zeros((1 << log_groups, 1 << log_bits - log_groups - 3), np.uint8), []
     for r in found.toLocalIterator():
         sketch[r.grp] = np.frombuffer(r.bits, np.uint8)
@@ -232,7 +232,7 @@ def dealt(texts: DataFrame, span: int = SPAN, key: int = KEY, heavy: int = HEAVY
         return _share(batches, span, key, groups, bits, log_bits, many)
 
     kinds = "grp int, row binary, first binary, n binary, lead binary, known binary, prefix binary, prints binary, second binary"
-    return texts.mapInArrow(share, kinds)
+    return texts.mapInArrow(lean(share), kinds)
 
 
 def repeats(texts: DataFrame, span: int = SPAN, key: int = KEY, heavy: int = HEAVY) -> DataFrame:
@@ -274,7 +274,7 @@ def substring_report(docs: DataFrame, span: int = SPAN, key: int = KEY) -> DataF
     words that also starts elsewhere is removed, in all its places; null and empty texts have no words."""
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for batch in batches for p in parts(batch, "text")):
             out = []
             for doc, text, runs in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "runs")), strict=True):
                 words = (text or "").encode().split()
@@ -287,7 +287,7 @@ def substring_report(docs: DataFrame, span: int = SPAN, key: int = KEY) -> DataF
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _with_runs(docs.select("doc_id", "text"), span, key).mapInArrow(report, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_runs(docs.select("doc_id", "text"), span, key).mapInArrow(lean(report), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN, key: int = KEY) -> DataFrame:
@@ -301,7 +301,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN, key: int = KEY) -> DataFr
     schema, word = docs.schema, re.compile(rb"[^\x20\x09-\x0d]+")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for batch in batches for p in parts(batch, "text")):
             texts, runs = b.column("text").to_pylist(), b.column("runs").to_pylist()
             changed = {}
             for i, (t, r) in enumerate(zip(texts, runs, strict=True)):
@@ -325,4 +325,4 @@ def without_repeats(docs: DataFrame, span: int = SPAN, key: int = KEY) -> DataFr
                     cols["n_chars"] = pa.array([len(changed[i]) if i in changed else old[i] for i in range(len(old))], cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays([cols[c] for c in schema.names], schema.names)
 
-    return _with_runs(docs, span, key).select(*docs.columns, "runs").mapInArrow(cut, schema)
+    return _with_runs(docs, span, key).select(*docs.columns, "runs").mapInArrow(lean(cut), schema)

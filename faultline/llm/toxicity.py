@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.words import U64, WordHashes, hashed, mix, owner, slices
+from faultline.llm.words import U64, WordHashes, hashed, lean, mix, owner, slices
 
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 _WORDS = WordHashes(lambda w: w.decode("utf-8", "replace").lower().encode().strip(_EDGES) or w)
+#: Bytes of texts whose features are taken at once.
+_SLICE = 1 << 20
 _PAIR, _SKIP = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 
 
@@ -50,18 +52,29 @@ def features(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(out).astype(np.int64)
 
 
+def forget() -> None:
+    _WORDS.clear()
+
+
 def _sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, p: Ftrl) -> tuple[np.ndarray, np.ndarray]:
-    """FTRL-proximal over rows of distinct features, one row at a time; returns the weights that are not 0.
+def train(flat: np.ndarray, size: np.ndarray, labels: np.ndarray, p: Ftrl) -> tuple[np.ndarray, np.ndarray]:
+    """FTRL-proximal over rows of distinct features (all in one array, `size` of each row), one row at a time; returns the
+    weights that are not 0.
 
     A feature of fewer than `least_rows` rows is left out. The last coordinate is the intercept, which bears no L1.
     """
     n, z = np.zeros((1 << p.bits) + 1), np.zeros((1 << p.bits) + 1)
-    often = np.bincount(np.concatenate(rows), minlength=1 << p.bits) >= p.least_rows
-    rows = [np.append(r[often[r]], 1 << p.bits) for r in rows]
+    count = np.zeros(1 << p.bits, np.int64)
+    for at in range(0, len(flat), 1 << 20):
+        count += np.bincount(flat[at : at + (1 << 20)], minlength=1 << p.bits)
+    often, stay = count >= p.least_rows, np.zeros(len(flat) + 1, np.int64)
+    np.cumsum(often[flat], out=stay[1:])
+    ends = np.concatenate([[0], np.cumsum(size)])
+    flat, starts = flat[often[flat]], stay[ends]
+    del stay
     rng = np.random.default_rng(p.seed)
 
     def weights(i):
@@ -71,8 +84,8 @@ def train(rows: list[np.ndarray], labels: np.ndarray, p: Ftrl) -> tuple[np.ndarr
         return w
 
     for _ in range(p.passes):
-        for r in rng.permutation(len(rows)):
-            i = rows[r]
+        for r in rng.permutation(len(size)):
+            i = np.append(flat[starts[r] : starts[r + 1]], np.uint32(1 << p.bits))
             w = weights(i)
             g = float(_sigmoid(w.sum()) - labels[r])
             s = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / p.alpha
@@ -94,7 +107,7 @@ def fit(docs: DataFrame, known: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndarray
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, texts in slices(b.column("text")):
+            for at, texts in slices(b.column("text"), _SLICE):
                 own, f = features(texts, bits)
                 both = np.unique((own.astype(np.int64) << 32) | f)
                 cut = np.searchsorted(both >> 32, np.arange(len(texts) + 1))
@@ -108,15 +121,17 @@ def fit(docs: DataFrame, known: DataFrame, p: Ftrl = Ftrl()) -> tuple[np.ndarray
             return
         t = pa.Table.from_batches(got)
         order = np.lexsort((t["label"].to_numpy(), t["o"].to_numpy()))
-        blobs = t["f"].to_pylist()
-        kept, w = train([np.frombuffer(blobs[i], "<u4").astype(np.int64) for i in order], t["label"].to_numpy()[order], p)
+        t = t.take(pa.array(order))
+        size = pa.compute.binary_length(t["f"]).to_numpy() // 4
+        flat = np.frombuffer(b"".join(x.as_buffer() for x in t["f"]), "<u4")
+        kept, w = train(flat, size, t["label"].to_numpy(), p)
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(w, pa.float64())], ["i", "w"])
 
     order = F.xxhash64("doc_id").alias("o")
     sample = known.groupBy("doc_id").agg(F.min("label").cast("double").alias("label")).select("doc_id", order, "label").orderBy("o").limit(p.sample)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    rows = texts.groupBy("o", "label").agg(F.min("text").alias("text")).repartition(24, "o").mapInArrow(extract, "o long, label double, f binary")
-    found = rows.repartition(1).mapInArrow(learn, "i long, w double").collect()  # at most 2**bits + 1 rows
+    rows = texts.groupBy("o", "label").agg(F.min("text").alias("text")).repartition(24, "o").mapInArrow(lean(extract, forget), "o long, label double, f binary")
+    found = rows.repartition(1).mapInArrow(lean(learn, forget), "i long, w double").collect()  # at most 2**bits + 1 rows
     return np.array([r.i for r in found], np.int64), np.array([r.w for r in found])
 
 
@@ -131,7 +146,7 @@ def scored(docs: DataFrame, text: str, weights: tuple[np.ndarray, np.ndarray], p
         used, w = held.value
         for b in batches:
             out = np.full(b.num_rows, float(w[-1]))
-            for at, texts in slices(b.column(text)):
+            for at, texts in slices(b.column(text), _SLICE):
                 own, f = features(texts, bits)
                 hit = np.flatnonzero(used[f])
                 both = np.unique((own[hit].astype(np.int64) << 32) | f[hit])
@@ -139,7 +154,7 @@ def scored(docs: DataFrame, text: str, weights: tuple[np.ndarray, np.ndarray], p
             cols = dict(zip(b.schema.names, b.columns, strict=True)) | {name: pa.array(_sigmoid(out), pa.float64())}
             yield pa.RecordBatch.from_arrays([cols[c] for c in schema.names], schema.names)
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(lean(score, forget), schema)
 
 
 def held_out(key: Column, folds: int, fold: int) -> Column:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.words import lean
+
 SCALE, SHIFT, COMPONENTS = 1024, 100_000, 8
 #: Rows of a block: 128 words a plane.
 BLOCK = 8192
@@ -119,7 +121,7 @@ def cross_products(vectors: DataFrame, d: int) -> list[list[int]]:
             out = [(i, i + j, k, digit) for i, row in enumerate(total) for j, v in enumerate(row) for k, digit in enumerate(_limbs(v))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["i", "j", "limb", "v"])
 
-    sums = vectors.select("v").mapInArrow(add, "i int, j int, limb int, v long").groupBy("i", "j", "limb").agg(F.sum("v").alias("v")).collect()
+    sums = vectors.select("v").mapInArrow(lean(add), "i int, j int, limb int, v long").groupBy("i", "j", "limb").agg(F.sum("v").alias("v")).collect()
     out = [[0] * (d + 1) for _ in range(d + 1)]
     for r in sums:
         out[r.i][r.j] += r.v << (LIMB * r.limb)
@@ -178,7 +180,7 @@ def identity_error(vectors: DataFrame, model: Whitening, k: int) -> float | None
         i, j = np.triu_indices(len(able))
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(total[i, j])], ["i", "j", "s"])
 
-    rows = vectors.select("v").mapInArrow(moments, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+    rows = vectors.select("v").mapInArrow(lean(moments), "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
     return max(abs(r.s / model.n - (r.i == r.j)) for r in rows)
 
 
@@ -201,7 +203,7 @@ def whitened(vectors: DataFrame, model: Whitening, components: int = COMPONENTS)
             white = pa.ListArray.from_arrays(pa.array(np.arange(0, len(w) + 1, most), pa.int32()), pa.array(w, pa.float64(), mask=np.isnan(w)))
             yield pa.RecordBatch.from_arrays([b.column("k"), far, white], ["k", "deviation", "white"])
 
-    return vectors.select("k", "v").mapInArrow(project, f"k {kind}, deviation decimal(38,0), white array<double>")
+    return vectors.select("k", "v").mapInArrow(lean(project), f"k {kind}, deviation decimal(38,0), white array<double>")
 
 
 def whitening_report(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", components: int = COMPONENTS) -> DataFrame:

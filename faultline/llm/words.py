@@ -6,14 +6,17 @@ Arrow batch, cut into slices of a few MB, so that memory is bound by a slice and
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 
 SLICE_BYTES = 4 << 20
-CACHE_WORDS = 600_000
+#: Bytes a memo of words may take, and what an entry takes besides the word itself.
+CACHE_BYTES, ENTRY = 32 << 20, 180
 
 U64 = np.uint64
 _C1, _C2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
@@ -21,22 +24,55 @@ _ODD = U64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash of its normal form; filled on demand and emptied when it is full."""
+    """word -> 64-bit hash of its normal form; filled on demand and emptied when it holds CACHE_BYTES."""
 
     def __init__(self, normal: Callable[[bytes], bytes] | None = None):
         super().__init__()
-        self.normal = normal
+        self.normal, self.held = normal, 0
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
+        h, size = xxhash.xxh64_intdigest(self.normal(word) if self.normal else word), len(word) + ENTRY
+        if self.held + size > CACHE_BYTES:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(self.normal(word) if self.normal else word)
+        if size <= CACHE_BYTES:
+            self[word] = h
+            self.held += size
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), U64, len(words))
 
 
+def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *forget: Callable[[], None]):
+    """`task`, a function of a partition's batches, that leaves nothing behind in a reused worker: memos are emptied by
+    `forget`, and freed memory goes back to the system (glibc keeps it otherwise)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            for f in forget:
+                f()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run
+
+
+def parts(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a batch with about `limit` bytes in a text column; one long text is a run of its own."""
+    size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    run = np.cumsum(size, dtype=np.int64) // limit
+    cut = np.flatnonzero(np.diff(run, prepend=-1)).tolist()
+    for s, e in zip(cut, [*cut[1:], batch.num_rows], strict=True):
+        yield batch.slice(s, e - s)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values in which every input bit reaches every output bit."""
     h = (h ^ (h >> U64(33))) * _C1

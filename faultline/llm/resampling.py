@@ -160,12 +160,13 @@ def weighted(docs: DataFrame, target: DataFrame, doc: str = "doc_id", text: str
 def ranked_draw(rows: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
     """`rows` as `weighted` returns them, with rank: 1, 2, ... for the `percent` of a hundred with the highest scores, else null.
 
-    Rows are sorted by range and stored with the number of their range; ranges are numbered on from one another by their
+    Rows are stored (their weights come from whole texts, which are read once), sorted by range and stored again with the number of
+    their range; ranges are numbered on from one another by their
     sizes, so no task ranks more than a range. Documents with fewer than `least_words` words have no part in it.
     """
     drawn = F.col("n_words") >= least_words
     by = [F.desc("able"), F.desc("score"), F.asc_nulls_last("doc"), F.asc("ra"), F.asc("rb")]
-    sorted_ = rows.withColumn("able", drawn.cast("int")).repartitionByRange(*by).withColumn("range", F.spark_partition_id())
+    sorted_ = stored(rows, "weights").withColumn("able", drawn.cast("int")).repartitionByRange(*by).withColumn("range", F.spark_partition_id())
     sorted_ = stored(sorted_, "scores")
     sizes = sorted_.where("able = 1").groupBy("range").agg(F.count("*").alias("n"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over one row per range

@@ -198,39 +198,48 @@ def placed(pts: DataFrame, model: Model, visits: int) -> DataFrame:
 
 
 def search(pts: DataFrame, asks: DataFrame, model: Model, k: int, p: Fit = Fit()) -> DataFrame:
-    """(name, near, score): for every point of `asks` the k + 1 points of the visited parts with the largest inner product.
+    """(name, near, score, low): for every point of `asks` the k + 1 points of the visited parts with the largest inner product.
 
-    A part is split into blocks of about `block` vectors by name, and a part's queries likewise; each pair of blocks is a task's unit.
+    Equal scores are ordered by `low`, the smallest id of the point, at every cut: k + 1 points in this order hold the k + 1 first
+    ids. A part is split into blocks of about `block` vectors by name, and a part's queries likewise; each pair of blocks is a
+    task's unit.
     """
-    stored_in = placed(pts.select("name", "v"), model, 1)
+    stored_in = placed(pts.select("name", "v", F.get("ids", F.lit(0)).alias("low")), model, 1)
     stored_in = stored(stored_in, "parts")
-    sizes = stored_in.groupBy("part").count().select("part", F.ceil(F.col("count") / p.block).alias("blocks"))  # a row per part
+    asking = stored(placed(asks.select("name", "v"), model, model.visits), "asking")
+    size = lambda df, name: df.groupBy("part").count().select("part", F.ceil(F.col("count") / p.block).alias(name))
+    sizes = size(stored_in, "blocks").join(size(asking, "turns"), "part")  # a row per part
     spread = lambda df: df.join(F.broadcast(sizes), "part")
-    where = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
-    base = spread(stored_in).select("part", where.alias("block"), "name", "v")
-    queries = spread(placed(asks.select("name", "v"), model, model.visits))
-    queries = queries.select("part", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), "name", "v")
+    own = lambda n: F.pmod(F.xxhash64("name"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    base = spread(stored_in).select("part", own("blocks").alias("block"), every("turns").alias("turn"), "name", "v", "low")
+    queries = spread(asking).select("part", every("blocks").alias("block"), own("turns").alias("turn"), "name", "v")
 
     def rank(left, right):
         if not left.num_rows or not right.num_rows:
-            return pa.table({"name": pa.array([], pa.string()), "near": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
-        q, y = _matrix(left["v"]), _matrix(right["v"])
-        near = np.array(right["name"].to_pylist(), object)
-        names, out_n, out_s = [], [], []
+            return pa.schema([("name", pa.string()), ("near", pa.string()), ("score", pa.float64()), ("low", pa.int64())]).empty_table()
+        q, y, low = _matrix(left["v"]), _matrix(right["v"]), right["low"].to_numpy()
+        n = min(k + 1, len(y))
+        # by so much a product by blocks may differ from the one below
+        slack = 4 * y.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(y, axis=1).max()
+        at, picks, scores = [], [], []
         for s in range(0, len(q), 256):
             d = q[s : s + 256] @ y.T
-            n = min(k + 12, d.shape[1])
-            top = np.argpartition(-d, n - 1, axis=1)[:, :n]
-            # once more one by one, so that a pair's score never depends on its place in a block
-            score = (q[s : s + 256, None, :] * y[top]).sum(2)
-            best = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
-            out_n.append(near[np.take_along_axis(top, best, 1)].ravel())
-            out_s.append(np.take_along_axis(score, best, 1).ravel())
-            names += [x for x in left["name"].slice(s, 256).to_pylist() for _ in range(best.shape[1])]
-        return pa.table({"name": names, "near": pa.array(np.concatenate(out_n), pa.string()), "score": np.concatenate(out_s)})
-
-    got = queries.groupBy("part", "block").cogroup(base.groupBy("part", "block")).applyInArrow(rank, "name string, near string, score double")
-    best = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "near"))
+            least = np.partition(d, -n, axis=1)[:, -n] - 2 * slack[s : s + 256]
+            for i in range(len(d)):
+                # all that may be among the first, once more one by one: a pair's score never depends on its place in a block
+                near = np.flatnonzero(d[i] >= least[i])
+                score = (q[s + i] * y[near]).sum(1)
+                best = np.lexsort((low[near], -score))[:n]
+                at.append(np.full(len(best), s + i))
+                picks.append(near[best])
+                scores.append(score[best])
+        picks = np.concatenate(picks)
+        return pa.table({"name": left["name"].take(pa.array(np.concatenate(at))), "near": right["name"].take(pa.array(picks)), "score": np.concatenate(scores), "low": low[picks]})
+
+    keys = ("part", "block", "turn")
+    got = queries.groupBy(*keys).cogroup(base.groupBy(*keys)).applyInArrow(rank, "name string, near string, score double, low long")
+    best = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "low"))
     return got.withColumn("_r", best).where(F.col("_r") <= k + 1).drop("_r")
 
 

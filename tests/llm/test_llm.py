@@ -305,6 +305,37 @@ def test_neighbours(spark):
     assert ann.nearest(spark.createDataFrame([], "id long, v array<double>"), "id", "v", 20, 20).count() == 0
 
 
+def test_neighbours_with_equal_scores_come_by_id(spark):
+    """400 different vectors with the inner product 1 to the queries, and copies of some of them."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [1.0, *rng.standard_normal(6).tolist()]) for i in range(1, 400)] + [(400 + i, [1.0] + [float(i)] * 6) for i in range(3)]
+    rows += [(k, [1.0] + [0.0] * 6) for k in (0, 1000, 1001)]
+    got = ann.nearest(spark.createDataFrame(rows, "id long, v array<double>").repartition(5), "id", "v", 1000, 20, ann.Fit(block=50)).collect()
+    for q, want in ((0, [*range(1, 21)]), (1000, [*range(0, 20)])):
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [v for _, v, _ in mine] == want and all(s == 1.0 for _, _, s in mine)
+
+
+def test_one_of_each_hands_on_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 777, "x"), (2, "a b c d e f", 778, "y"), (3, None, 779, "z")], "doc_id long, text string, _row long, row string")
+    assert sorted(map(tuple, jaccard.one_of_each(docs).collect())) == [(1, "a b c d e f", 777, "x"), (3, None, 779, "z")]
+
+
+def test_a_chain_of_near_copies_is_one_component_in_any_blocks(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for k in range(60):  # each differs from the one before in two words, so far ones are not linked
+        words = [f"v{rng.randrange(10**6)}" if i in (2 * k % 120, (2 * k + 1) % 120) else w for i, w in enumerate(words)]
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(jaccard, "star_pairs", lambda found: found.select(jaccard.F.lit(0).cast("long").alias("a"), jaccard.F.lit(0).cast("long").alias("b")).where("false"))
+    for block, tokens in ((1024, 10**6), (4, 500)):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "BLOCK_TOKENS", tokens)
+        assert {r.component_id for r in jaccard.joined(docs).collect()} == {0}
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice(["aa", "bb", "cc", "dd", "ee"]) for _ in range(30)) + (" Vile!" if i % 4 == 0 else "")) for i in range(600)] + [(601, None), (602, "")]

@@ -535,13 +535,13 @@ def one_of_each(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> Data
     """The rows of `docs`, one of each group of linked documents: that with the smallest doc_id (of its equal rows, one).
 
     Texts with an empty set all stay; of a group without any doc_id one row stays. A group is a component, not its doc_id:
-    unlinked texts stay even if they share a doc_id or have none.
+    unlinked texts stay even if they share a doc_id or have none. Other columns may have any names and are handed on.
     """
     out = _labelled(docs, words, least)
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    free = out.where("label is null").select(F.col("row").alias("_row")).distinct()
+    q = lambda c: F.col(f"`{c}`")
+    keyed = docs.select(F.struct(*[q(c) for c in docs.columns]).alias("rec"), F.xxhash64("doc_id", "text").alias("row"))
+    free = out.where("label is null").select("row").distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    kept = out.where("label is not null").groupBy("label").agg(first.alias("first")).select(F.col("first.row").alias("_row")).distinct()
-    names = docs.columns
-    chosen = keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"])
-    return chosen.select(*names).union(keyed.join(free, "_row", "left_semi").select(*names))
+    kept = out.where("label is not null").groupBy("label").agg(first.alias("first")).select(F.col("first.row").alias("row")).distinct()
+    chosen = keyed.join(kept, "row", "left_semi").dropDuplicates(["row"])
+    return chosen.union(keyed.join(free, "row", "left_semi")).select(*[F.col(f"rec.`{c}`").alias(c) for c in docs.columns])

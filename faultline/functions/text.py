@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
 
+from faultline.functions.patterns import required_text
 from faultline.rules import shell
 
 BLANKS = " \t\r\n\x0b\x0c"
@@ -27,29 +27,6 @@ def any_of(patterns: Iterable[str], ignore_case: bool = False) -> str:
     return "|".join(f"(?:{flag}{p})" for p in patterns)
 
 
-def required_text(pattern: str) -> list[str] | None:
-    """Lower-case texts of which one must be in a line for the pattern to be found; None if unknown.
-
-    A plain text search is far cheaper than a regular expression and rules out nearly every line.
-    """
-    gap, times = "\0", r"(?:[?*+]|\{[^}]*\})?[?+]?"
-    if re.search(r"\\[0-9xucpPQEkN]", pattern):  # back-references, code points and the like
-        return None
-    p = re.sub(r"\\([^A-Za-z0-9])", lambda m: chr(0xE000 + ord(m[1])), pattern.replace("(?i)", ""))
-    p = re.sub(r"\[[^\]]*\]" + times, gap, p)
-    while True:
-        flat = re.sub(r"\([^()]*\)" + times, gap, p)
-        if flat == p:
-            break
-        p = flat
-    p = re.sub(r"\\[A-Za-z]" + times + r"|\." + times + r"|.(?:[?*]|\{[^}]*\})[?+]?|[+^$]", gap, p)
-    runs = [max(part.split(gap), key=len) for part in p.split("|")]
-    if min(map(len, runs)) < 3 and pattern.isascii():
-        return None
-    back = lambda ch: chr(ord(ch) - 0xE000) if 0xE000 < ord(ch) < 0xE100 else ch
-    return ["".join(back(ch) for ch in r).lower() for r in runs]
-
-
 def found(c: Column, patterns: Iterable[str], ignore_case: bool = False) -> Column:
     """Whether one of the patterns is found: a search for their fixed texts first, then the patterns."""
     patterns = list(patterns)

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultline.functions import text as X
+from faultline.functions import rule_index as RI, text as X
 from faultline.functions.scan import top_per
-from faultline.operators.lines import clip_both_ends
 
-SMALL_SIDE = 5000
 # Words that say nothing about an error.
 STOP_WORDS = (
     "the", "a", "an", "is", "are", "was", "were", "be", "been", "to", "of", "and", "or", "in", "on", "at", "for", "with",
@@ -18,22 +14,6 @@ STOP_WORDS = (
 )
 
 
-def theta_join(big: DataFrame, small: DataFrame, key: str, cond: Column) -> DataFrame:
-    """Join on a condition without equality. The small side is counted: up to SMALL_SIDE rows it is
-    broadcast; beyond that both sides are cut into blocks that meet by an equality join."""
-    n = small.count()
-    if n <= SMALL_SIDE:
-        return big.join(F.broadcast(small), cond)
-    blocks, salts = -(-n // SMALL_SIDE), 64
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts))).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    right = small.withColumn("_block", F.pmod(F.hash(key), F.lit(blocks))).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-    )
-    return left.join(right, ["_block", "_salt"]).filter(cond).drop("_block", "_salt")
-
-
 # ---- merging ----------------------------------------------------------------------------------
 
 def merge_tools(definitions: DataFrame) -> DataFrame:
@@ -89,47 +69,51 @@ def tool_score(text: Column) -> Column:
     return F.when(as_word, 0.95).when(anywhere, 0.9).when(_named(low, text, F.col("signatures")), 0.8)
 
 
+def tool_needles(tools: DataFrame) -> DataFrame:
+    """`tools` with `needles`: the names and texts that tell a tool, and the fixed texts of its expressions."""
+    entries = F.concat(F.array(F.lower("name")), "aliases", "commands", "signatures")
+    one = tools.select("name", F.explode(entries).alias("e"))
+    regex = F.col("e").startswith("regex:")
+    fixed = RI.needles_of_regex(F.when(regex, F.substr("e", F.lit(7))))
+    texts = F.when(~regex, F.array(F.lower("e"))).when(F.size(fixed) > 0, fixed).otherwise(F.array(F.lit(None).cast("string")))
+    return tools.join(one.select("name", F.explode(texts).alias("n")).groupBy("name").agg(F.collect_list(F.coalesce("n", F.lit(""))).alias("needles")), "name")
+
+
 def identify_tools(texts: DataFrame, tools: DataFrame, text: str = "text") -> DataFrame:
     """Tools named in distinct texts, with a score."""
-    kb = tools.select("name", "aliases", "commands", "signatures")
-    pairs = theta_join(texts, kb, "name", tool_score(F.col(text)).isNotNull())
+    kb = tool_needles(tools.select("name", "aliases", "commands", "signatures"))
+    pairs = RI.matched(texts, text, kb, "name", F.col("needles"), tool_score(F.col(text)).isNotNull())
     return pairs.withColumn("score", tool_score(F.col(text))).select(*texts.columns, F.col("name").alias("tool"), "score")
 
 
-def fragments(texts: DataFrame, text: str = "text", limit: int = 8000, part: int = 4000) -> DataFrame:
-    """Head and tail of a long text as two rows; a short text as it is."""
-    parts = F.when(F.length(text) <= limit, F.array(F.col(text))).otherwise(
-        F.array(F.left(text, F.lit(part)), F.right(text, F.lit(part)))
-    )
-    return texts.withColumn("fragment", F.explode(parts))
-
-
 def identify_tools_long(texts: DataFrame, tools: DataFrame, key: str, text: str = "text") -> DataFrame:
-    frag = fragments(texts.select(key, text), text).select(key, "fragment")
-    return identify_tools(frag, tools, "fragment").groupBy(key, "tool").agg(F.max("score").alias("score"))
+    """Tools named anywhere in a long text, one row per text and tool."""
+    return identify_tools(texts.select(key, text), tools, text).groupBy(key, "tool").agg(F.max("score").alias("score"))
 
 
 def match_errors(texts: DataFrame, errors: DataFrame, text: str = "text") -> DataFrame:
     """Known errors found in texts. The patterns are matched once each, then joined to their errors."""
     t = F.col(text)
-    patterns = errors.select("pattern", "is_regex").distinct()
+    patterns = errors.select("pattern", "is_regex").distinct().withColumn("rule", F.struct("pattern", "is_regex"))
+    fixed = RI.needles_of_regex(F.when(F.col("is_regex"), F.col("pattern")))
+    patterns = patterns.withColumn("needles", F.when(F.col("is_regex"), fixed).otherwise(F.array(F.lower("pattern"))))
     hit = F.when(F.col("is_regex"), F.regexp_like(t, F.concat(F.lit("(?i)"), F.when(F.col("is_regex"), F.col("pattern")).otherwise("")))).otherwise(
         F.lower(t).contains(F.lower("pattern"))
     )
-    found = theta_join(texts, patterns, "pattern", hit)
-    rules = errors.select("pattern", "tool", "code", "category", "fix", "retriable", F.col("confidence").alias("base"))
+    found = RI.matched(texts, text, patterns, "rule", F.col("needles"), hit).drop("rule", "needles")
+    rules = errors.select("pattern", "is_regex", "tool", "code", "category", "fix", "retriable", F.col("confidence").alias("base"))
     boost = F.when((F.col("code") != "") & F.lower(t).contains(F.lower("code")), 0.1).otherwise(0.0)
-    return found.join(rules, "pattern").withColumn("confidence", F.round(F.least(F.col("base") + boost, F.lit(1.0)), 6)).drop("base", "is_regex")
+    return found.join(rules, ["pattern", "is_regex"]).withColumn("confidence", F.round(F.least(F.col("base") + boost, F.lit(1.0)), 6)).drop("base", "is_regex")
 
 
 def knowledge_for_logs(texts: DataFrame, tools: DataFrame, errors: DataFrame, key: str, text: str = "text", k: int = 3) -> DataFrame:
-    """Up to k tools and k known errors for each long text, seen through its clipped form."""
-    clipped = texts.select(key, clip_both_ends(F.col(text), 12000).alias("clip"))
-    found = identify_tools_long(clipped, tools, key, "clip")
+    """Up to k tools and k known errors for each long text."""
+    whole = texts.select(key, text)
+    found = identify_tools_long(whole, tools, key, text)
     best_tools = top_per(found, k, [F.col("score").desc(), F.col("tool")], [key]).select(
         key, F.lit("tool").alias("kind"), "rn", F.col("tool").alias("name"), F.col("score").alias("confidence")
     )
-    known = match_errors(clipped, errors, "clip")
+    known = match_errors(whole, errors, text)
     best_errors = top_per(known, k, [F.col("confidence").desc(), F.col("tool"), F.col("code")], [key]).select(
         key, F.lit("error").alias("kind"), "rn", F.concat_ws("/", "tool", "code").alias("name"), "confidence"
     )

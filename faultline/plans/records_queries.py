@@ -411,10 +411,7 @@ def e05(spark, d):
     return found.groupBy("tool", "score").agg(F.sum("n").alias("lines"))
 
 
-cte("doc_frag", "SELECT doc_id, unnest(CASE WHEN length(text) <= 8000 THEN [text] ELSE [left(text, 4000), right(text, 4000)] END) AS fragment FROM documents")
-
-
-@query("e06_identify_tool_long", f"SELECT doc_id, name AS tool, CAST(max(score) AS DOUBLE) AS score FROM (SELECT doc_id, name, {score_sql('fragment')} AS score FROM doc_frag CROSS JOIN tools) WHERE score IS NOT NULL GROUP BY ALL")
+@query("e06_identify_tool_long", f"SELECT doc_id, name AS tool, CAST(max(score) AS DOUBLE) AS score FROM (SELECT doc_id, name, {score_sql('text')} AS score FROM documents CROSS JOIN tools) WHERE score IS NOT NULL GROUP BY ALL")
 def e06(spark, d):
     return K.identify_tools_long(T.documents(spark, d), K.merge_tools(T.tool_definitions(spark, d)), "doc_id")
 
@@ -434,10 +431,8 @@ def e07(spark, d):
 
 
 cte("build_text", "SELECT build_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM tail_rows GROUP BY 1")
-cte("build_clip", "SELECT build_id, CASE WHEN length(text) > 12000 THEN left(text, 6000) || chr(10) || '...' || chr(10) || right(text, 6000) ELSE text END AS clip FROM build_text")
-cte("clip_frag", "SELECT build_id, unnest(CASE WHEN length(clip) <= 8000 THEN [clip] ELSE [left(clip, 4000), right(clip, 4000)] END) AS fragment FROM build_clip")
-cte("clip_tools", f"SELECT build_id, name, max(score) AS score FROM (SELECT build_id, name, {score_sql('fragment')} AS score FROM clip_frag CROSS JOIN tools) WHERE score IS NOT NULL GROUP BY ALL")
-cte("clip_errors", match_sql("build_clip", "clip"))
+cte("clip_tools", f"SELECT build_id, name, max(score) AS score FROM (SELECT build_id, name, {score_sql('text')} AS score FROM build_text CROSS JOIN tools) WHERE score IS NOT NULL GROUP BY ALL")
+cte("clip_errors", match_sql("build_text", "t.text"))
 
 
 @query(

@@ -42,7 +42,7 @@ cte("event_texts", "SELECT event_id, raw FROM failure_events")
 def m05(spark, d):
     events = event_stream(spark, d).select("event_id", "raw")
     known = checkpointed(K.merge_errors(T.tool_errors(spark, d)))
-    return M.drain(M.stream_kb_match(events, known).select("event_id", "tool", "code", "confidence"))
+    return M.stream_kb_match(events, known).select("event_id", "tool", "code", "confidence")
 
 
 @query("m06_stream_line_state", "SELECT build_id, line_no, in_sh, nullif(owner, 0) AS cmd_line FROM owned")

@@ -41,6 +41,12 @@ def drain_batches(stream: DataFrame, write: Callable[[DataFrame, int], None]) ->
     stream.writeStream.foreachBatch(write).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
 
 
+def stored_batches(spark: SparkSession, path: str) -> bool:
+    """Whether a batch was written at all: a stream without rows has none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def stream_failures(events: DataFrame) -> DataFrame:
     """Only builds that are finished and failed."""
     return events.filter(S.result_of(F.col("raw")) == "FAILURE")
@@ -59,8 +65,15 @@ def failure_windows(failures: DataFrame, width: str = "15 minutes", late: str =
 
 
 def stream_kb_match(events: DataFrame, errors: DataFrame) -> DataFrame:
-    """Known errors in each event's text: a static broadcast side, so nothing is kept."""
-    return K.match_errors(events, errors, "raw")
+    """Known errors in each event's text, micro-batch by micro-batch: each meets the index of the rules, and nothing is kept.
+
+    A batch's matches are written under its number, so one that runs again writes the same files anew."""
+    spark = events.sparkSession
+    out = new_shared_path(spark, "kb-matches")
+    match = lambda batch: K.match_errors(batch, errors, "raw")
+    drain_batches(events, lambda batch, n: match(batch).write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    shape = match(spark.createDataFrame([], events.schema))
+    return spark.read.option("basePath", out).schema(shape.schema).parquet(f"{out}/batch=*") if stored_batches(spark, out) else shape
 
 
 def stream_join_build_log(failures: DataFrame, others: DataFrame, late: str = LATE, reach: str = "10 minutes") -> DataFrame:

@@ -5,11 +5,14 @@ import re
 
 import pytest
 
-from faultline.functions.text import found, required_text
+from faultline.functions.patterns import required_text
+from faultline.functions.text import found
 
 CASES = {
     r"E\d{4}": "got E1234 here", r"\b5\d{2}\b": "http 503", r"[A-Z]{2}-\d{3,}": "AB-1234", r"\bE\d{1,5}: x": "E12: x", r"(a)\1bcd": "aabcd",
     r"x\x41bcd": "xAbcd", r"(?:foo){2}bar+": "foofoobarr", r"colou?r of": "color of", r"err(or)?s? \(fatal\)": "err (fatal)", r"a\{3\}b": "a{3}b", r"[(]abc[)]": "(abc)",
+    r"[a-z&&[^b]]foo": "afoo", r"[^]]abc": "xabc", r"(?x)abc def": "abcdef", r"(?:abc|(?:defg|hij)+)kl": "hijkl", r"abc(?=def)": "abcdef", r"(?<!x)abcd": "abcd",
+    r"(?<name>abc)?defg": "defg", r"a(?i)bcd": "aBCD", r"\p{Lu}abc": "Xabc", r"(abc|)defg": "defg", r"abc{2}d": "abccd",
 }
 
 
@@ -37,3 +40,11 @@ def test_random_patterns():
         assert re.search(pattern, line)
         texts = required_text(pattern)
         assert texts is None or any(t in line.lower() for t in texts), (pattern, line, texts)
+
+
+@pytest.mark.parametrize("pattern,texts", [
+    ("error: (?:disk full|no space)", ["disk full", "no space"]), ("(?:disk full|no space left)!?", ["disk full", "no space left"]), (r"abc\.def\d+", ["abc.def"]), ("ab|cdef", None), ("x*", None),
+    ("(unclosed", None), ("[[a]b]cde", None), ("(?m)abc", None), (r"\x41bcd", None), ("abcd?", ["abc"]), ("ab(?:cdefg)+h", ["cdefg"]), ("(?i)ERROR", ["error"]),
+])
+def test_required_text(pattern, texts):
+    assert required_text(pattern) == texts

@@ -26,7 +26,7 @@ from faultline.llm.words import lean, slices
 CAPACITY = 2048
 #: Bytes that a worker's three memos (chunks, their words, and what follows the words) may take together, and what an entry
 #: takes besides its text and ids.
-MEMO_BYTES, ENTRY = 96 << 20, 200
+MEMO_BYTES, ENTRY = 128 << 20, 80
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 

@@ -16,7 +16,7 @@ import xxhash
 
 SLICE_BYTES = 4 << 20
 #: Bytes a memo of words may take, and what an entry takes besides the word itself.
-CACHE_BYTES, ENTRY = 32 << 20, 180
+CACHE_BYTES, ENTRY = 64 << 20, 85
 
 U64 = np.uint64
 _C1, _C2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)

@@ -131,7 +131,15 @@ def library_refs_in_log(lines: DataFrame) -> DataFrame:
 
 
 CALL_FORMS = (r"\b([a-z][a-zA-Z0-9_]*)\s*\(", r"\b([a-z][a-zA-Z0-9_]*)\s*\{")
-DEFINITION = r"def\s+(\w+)\s*\(([^)]*)\)"
+#: What stands between brackets, with brackets in it up to three deep.
+BRACKETED = r"[^()]*(?:\([^()]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\)[^()]*)*\)[^()]*)*"
+DEFINITION = r"def\s+(\w+)\s*\((" + BRACKETED + r")\)"
+#: A file whose `call` is a global function with the file's name.
+GLOBAL_FILE = r"(?:^|[/\\])vars[/\\](\w+)\.groovy$"
+#: Calls on a line: f(a, b); f a, b; f { ... }.
+SITE_BRACKETS = r"(?:^|[^\w.])([a-z]\w*)\s*\((" + BRACKETED + r")\)"
+SITE_PLAIN = r"^\s*([a-z]\w*)[ \t]+([^={()\s][^(){\n]*(?:\([^()\n]*\)[^(){\n]*)*)(?:\{.*)?$"
+SITE_CLOSURE = r"(?:^|[^\w.])([a-z]\w*)\s*\{"
 
 
 def call_edges(sources: DataFrame) -> DataFrame:
@@ -143,11 +151,12 @@ def call_edges(sources: DataFrame) -> DataFrame:
 
 
 def definitions(sources: DataFrame) -> DataFrame:
-    """Functions defined in files, with their parameters."""
+    """Functions defined in files, with their parameters; `call` in a file of global functions goes by the file's name."""
     c = F.col("content")
     pairs = F.arrays_zip(every(c, DEFINITION, 1).alias("name"), every(c, DEFINITION, 2).alias("params"))
     rows = sources.select("repo", "file_id", "path", F.explode(pairs).alias("d"))
-    return rows.select("repo", "file_id", "path", F.col("d.name").alias("name"), split_args(F.col("d.params")).alias("params"))
+    name = F.when(F.col("d.name") == "call", X.extract(F.col("path"), GLOBAL_FILE))
+    return rows.select("repo", "file_id", "path", F.coalesce(name, "d.name").alias("name"), split_args(F.col("d.params")).alias("params"))
 
 
 def split_args(c: Column) -> Column:
@@ -163,23 +172,35 @@ def split_args(c: Column) -> Column:
 
 
 def call_sites(sources: DataFrame) -> DataFrame:
-    """Calls with their argument lists."""
-    c = F.col("content")
-    form = r"(?:^|[^\w.])(fn\w+|runStep\w+|[a-z]\w*)\s*\(([^)]*)\)"
-    lines = sources.select("repo", "file_id", "path", F.posexplode(F.split(c, "\n")).alias("pos", "line")).filter(~F.col("line").contains("def "))
-    pairs = F.arrays_zip(every(F.col("line"), form, 1).alias("name"), every(F.col("line"), form, 2).alias("args"))
-    rows = lines.select("repo", "file_id", "path", (F.col("pos") + 1).alias("line_no"), F.explode(pairs).alias("d"))
+    """Calls with their argument lists: with brackets, as a step (`f a, b`, up to a closure) and with a closure alone (no
+    arguments)."""
+    line = F.col("line")
+    lines = sources.select("repo", "file_id", "path", F.posexplode(F.split("content", "\n")).alias("pos", "line")).filter(~line.contains("def "))
+    zipped = lambda p, args: F.transform(F.arrays_zip(every(line, p, 1).alias("n"), args.alias("a")), lambda z: F.struct(z["n"].alias("name"), z["a"].alias("args")))
+    closures = F.transform(every(line, SITE_CLOSURE, 1), lambda n: F.struct(n.alias("name"), F.lit("").alias("args")))
+    found = F.concat(zipped(SITE_BRACKETS, every(line, SITE_BRACKETS, 2)), zipped(SITE_PLAIN, every(line, SITE_PLAIN, 2)), closures)
+    rows = lines.select("repo", "file_id", "path", (F.col("pos") + 1).alias("line_no"), F.explode(found).alias("d"))
     return rows.filter(~F.col("d.name").isin(*R.BUILTIN_CALLS)).select(
         "repo", "file_id", "path", "line_no", F.col("d.name").alias("name"), split_args(F.col("d.args")).alias("args")
     )
 
 
-def signature_mismatch(sites: DataFrame, defs: DataFrame) -> DataFrame:
-    """Calls whose number of arguments differs from the definition; defaults do not count as missing."""
+NO_SIGNATURE = r"No signature of method:\s*(?:[\w$.]*\.)?(\w+)\s*\("
+
+
+def missing_methods(lines: DataFrame) -> DataFrame:
+    """Names of methods that logs report as called with arguments nobody defines."""
+    return lines.select(X.extract(F.col("line"), NO_SIGNATURE).alias("name")).filter("name is not null").distinct()
+
+
+def signature_mismatch(sites: DataFrame, defs: DataFrame, missing: DataFrame) -> DataFrame:
+    """Calls whose number of arguments differs from the definition (argument_count), and calls with the right number of
+    functions that logs report as missing (missing_method): there the types differ."""
     d = defs.select("repo", "name", F.col("path").alias("def_path"), "params")
-    j = sites.join(d, ["repo", "name"])
-    return j.filter(F.size("args") != F.size("params")).select(
-        "repo", "name", "path", "line_no", "def_path", F.size("args").alias("given"), F.size("params").alias("defined")
+    j = sites.join(d, ["repo", "name"]).join(missing.withColumn("reported", F.lit(True)), "name", "left")
+    differs = F.size("args") != F.size("params")
+    return j.withColumn("kind", F.when(differs, "argument_count").when(F.col("reported"), "missing_method")).filter("kind is not null").select(
+        "repo", "name", "path", "line_no", "def_path", F.size("args").alias("given"), F.size("params").alias("defined"), "kind"
     )
 
 
@@ -226,17 +247,21 @@ def source_tool_usage(sources: DataFrame) -> DataFrame:
     return rows.withColumn("tool", X.tool_name(F.col("command"))).filter(F.col("tool").isin(*SHELL_TOOLS))
 
 
-def reach(edges: DataFrame, starts: DataFrame, depth: int, cut=lambda df: df) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, depth: int, cut=None) -> DataFrame:
     """Nodes reached from start nodes with their smallest depth, level by level, without visiting twice.
 
     edges: repo, src, dst. starts: repo, start. Each level is one join and one anti join; `cut` stores a
-    level so that the lineage stays short.
+    level, so that the lineage stays short and the walk ends with the first level that finds nothing.
     """
     seen = starts.select("repo", "start", F.col("start").alias("node"), F.lit(0).alias("depth"))
     level = seen
     for i in range(1, depth + 1):
         step = level.select("repo", "start", F.col("node").alias("src")).join(edges, ["repo", "src"]).select("repo", "start", F.col("dst").alias("node")).distinct()
-        level = cut(step.join(seen.select("repo", "start", "node"), ["repo", "start", "node"], "left_anti").withColumn("depth", F.lit(i)))
+        level = step.join(seen.select("repo", "start", "node"), ["repo", "start", "node"], "left_anti").withColumn("depth", F.lit(i))
+        if cut is not None:
+            level = cut(level)
+            if level.isEmpty():
+                break
         seen = seen.unionByName(level)
     return seen
 
@@ -265,20 +290,34 @@ def import_graph(sources: DataFrame) -> DataFrame:
     return local.join(exists.distinct(), ["repo", "dst"], "left_semi").select("repo", "src", "dst").distinct()
 
 
-def library_functions(sources: DataFrame, lines: DataFrame) -> DataFrame:
-    """Functions of shared libraries that a log names, and functions seen in script frames.
+def global_functions(sources: DataFrame) -> DataFrame:
+    """One row per name of a function in a file of global functions: the first path, of the first repository, counts."""
+    defs = definitions(sources).filter(F.col("path").rlike(GLOBAL_FILE))
+    first = F.min_by(F.struct("path", F.array_join("params", "|").alias("params")), F.struct("path", "repo", "file_id"))
+    return defs.groupBy("name").agg(first.alias("f")).select("name", "f.path", "f.params")
+
+
+SCRIPT_FRAME = r"at\s+Script\d+\.(\w+)\("
+
+
+def library_functions(functions: DataFrame, lines: DataFrame) -> DataFrame:
+    """Functions of shared libraries that a log names, with file and parameters, and functions seen in script frames (file
+    `unknown`, if no library defines them).
 
-    Words of a line meet function names by equality, so no pairs of files and lines are formed.
+    Words of a line meet function names by equality, before they are made distinct.
     """
-    names = definitions(sources).filter(F.col("path").rlike(r"vars[/\\]\w+\.groovy")).select("name", "path", F.size("params").alias("params")).dropDuplicates(["name"])
-    words = lines.select("build_id", F.explode(F.array_distinct(every(F.col("line"), r"(\w+)"))).alias("name")).distinct()
-    return words.join(names, "name")
+    words = lines.select("build_id", F.explode(F.array_distinct(every(F.col("line"), r"(\w+)"))).alias("name"))
+    named = words.join(functions.select("name"), "name", "left_semi").distinct()
+    framed = lines.filter(F.col("line").rlike(SCRIPT_FRAME)).select("build_id", X.extract(F.col("line"), SCRIPT_FRAME).alias("name")).distinct()
+    both = named.unionByName(framed).distinct().join(functions, "name", "left")
+    return both.select("build_id", "name", F.coalesce("path", F.lit("unknown")).alias("path"), F.coalesce("params", F.lit("")).alias("params"))
 
 
-def root_cause_function(lines: DataFrame, defs: DataFrame) -> DataFrame:
-    """First frame of library code that is no machinery, with the function it maps to by name."""
+def root_cause_function(lines: DataFrame, functions: DataFrame) -> DataFrame:
+    """The library function of a build's first frame of library code that is no machinery and names one, in its class or as
+    its method. Names meet the parts of the class name by equality."""
     frames = TR.decode_cps_frames(lines).filter("is_library and not machinery")
-    last = F.substring_index("class_name", ".", -1)
-    return frames.withColumn("name", last).groupBy("build_id").agg(
-        F.min_by(F.struct("name", "method", "file", "src_line"), "line_no").alias("f")
-    ).select("build_id", "f.*")
+    parts = F.array_distinct(F.concat(F.split("class_name", r"\W+"), F.array("method")))
+    named = frames.withColumn("name", F.explode(parts)).join(functions, "name")
+    first = F.min_by(F.struct("name", "path", "params", "line_no", "method", "file", "src_line"), F.struct("line_no", "name"))
+    return named.groupBy("build_id").agg(first.alias("f")).select("build_id", "f.*")

@@ -155,39 +155,49 @@ def k20(spark, d):
     return M.missing_credentials(M.credential_usage(S.sources(spark, d)), issues)
 
 
-_DEF = q(M.DEFINITION)
-_ARGS = lambda c: f"list_filter(list_transform(string_split({c}, ','), lambda p: trim(p)), lambda p: p <> '')"
-cte("def_rows", f"SELECT repo, file_id, path, unnest(regexp_extract_all(content, {_DEF}, 1)) AS name, unnest(regexp_extract_all(content, {_DEF}, 2)) AS raw FROM sources")
-_SITE = q(r"(?:^|[^\w.])(fn\w+|runStep\w+|[a-z]\w*)\s*\(([^)]*)\)")
+# a fold over the characters counts the open brackets, commas outside of them cut
+_FOLD = """lambda acc, e: {{'d': acc.d + CASE WHEN e.o IN ('(', '[', '<') THEN 1 WHEN e.o IN (')', ']', '>') THEN -1 ELSE 0 END, 'o': acc.o || CASE WHEN e.o = ',' AND acc.d = 0 THEN chr(1) ELSE e.o END}}""".replace("{{", "{").replace("}}", "}")
+_ARGS = lambda c: f"""list_filter(list_transform(string_split((list_reduce(list_prepend({{'d': 0, 'o': ''}}, list_transform(string_split(regexp_replace(trim({c}), '\\s+', ' ', 'g'), ''), lambda ch: {{'d': 0, 'o': ch}})), {_FOLD})).o, chr(1)), lambda p: trim(p)), lambda p: p <> '')"""
+_ALL = lambda col, p, g: f"unnest(regexp_extract_all({col}, {q(p)}, {g}))"
+cte(
+    "def_rows",
+    f"""SELECT repo, file_id, path, CASE WHEN name = 'call' THEN coalesce({extract("path", M.GLOBAL_FILE)}, name) ELSE name END AS name, {_ARGS("raw")} AS params FROM (
+    SELECT repo, file_id, path, {_ALL("content", M.DEFINITION, 1)} AS name, {_ALL("content", M.DEFINITION, 2)} AS raw FROM sources)""",
+)
+cte("code_lines", "SELECT repo, file_id, path, line, line_no FROM (SELECT repo, file_id, path, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no FROM sources) WHERE NOT contains(line, 'def ')")
 cte(
     "site_rows",
-    f"""SELECT repo, file_id, path, line_no, name, raw FROM (SELECT repo, file_id, path, line_no, unnest(regexp_extract_all(line, {_SITE}, 1)) AS name, unnest(regexp_extract_all(line, {_SITE}, 2)) AS raw FROM (
-    SELECT repo, file_id, path, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no FROM sources) WHERE NOT contains(line, 'def ')) WHERE NOT list_contains({O.values(R.BUILTIN_CALLS)}, name)""",
+    f"""SELECT repo, file_id, path, line_no, name, {_ARGS("raw")} AS args FROM (
+    SELECT repo, file_id, path, line_no, {_ALL("line", M.SITE_BRACKETS, 1)} AS name, {_ALL("line", M.SITE_BRACKETS, 2)} AS raw FROM code_lines
+    UNION ALL SELECT repo, file_id, path, line_no, {_ALL("line", M.SITE_PLAIN, 1)}, {_ALL("line", M.SITE_PLAIN, 2)} FROM code_lines
+    UNION ALL SELECT repo, file_id, path, line_no, {_ALL("line", M.SITE_CLOSURE, 1)}, '' FROM code_lines) WHERE NOT list_contains({O.values(R.BUILTIN_CALLS)}, name)""",
 )
 
 
-@query("k22_signature_index", f"SELECT repo, file_id, name, len({_ARGS('raw')}) AS params, array_to_string({_ARGS('raw')}, '|') AS text FROM def_rows")
+@query("k22_signature_index", "SELECT repo, file_id, name, len(params) AS params, array_to_string(params, '|') AS text FROM def_rows")
 def k22(spark, d):
     return M.definitions(S.sources(spark, d)).select("repo", "file_id", "name", F.size("params").alias("params"), F.array_join("params", "|").alias("text"))
 
 
 @query(
     "e19_signature_mismatch",
-    f"SELECT s.repo, s.name, s.path, s.line_no, f.path AS def_path, len({_ARGS('s.raw')}) AS given, len({_ARGS('f.raw')}) AS defined FROM site_rows s JOIN def_rows f ON f.repo = s.repo AND f.name = s.name WHERE len({_ARGS('s.raw')}) <> len({_ARGS('f.raw')})",
+    f"""SELECT repo, name, path, line_no, def_path, given, defined, kind FROM (
+    SELECT s.repo, s.name, s.path, s.line_no, f.path AS def_path, len(args) AS given, len(params) AS defined, CASE WHEN len(args) <> len(params) THEN 'argument_count' WHEN m.name IS NOT NULL THEN 'missing_method' END AS kind
+    FROM site_rows s JOIN def_rows f ON f.repo = s.repo AND f.name = s.name LEFT JOIN (SELECT DISTINCT {extract("line", M.NO_SIGNATURE)} AS name FROM log_lines) m ON m.name = s.name) WHERE kind IS NOT NULL""",
 )
 def e19(spark, d):
     src = S.sources(spark, d)
-    return M.signature_mismatch(M.call_sites(src), M.definitions(src))
+    return M.signature_mismatch(M.call_sites(src), M.definitions(src), M.missing_methods(T.log_lines(spark, d)))
 
 
 _NAMES = lambda c: f"list_transform({c}, lambda p: regexp_extract(string_split(p, '=')[1], '(\\w+)\\s*$', 1))"
-_NAMED = f"list_transform(list_filter({_ARGS('s.raw')}, lambda a: regexp_matches(a, '^\\w+\\s*:')), lambda a: regexp_extract(a, '^(\\w+)', 1))"
+_NAMED = "list_transform(list_filter(args, lambda a: regexp_matches(a, '^\\w+\\s*:')), lambda a: regexp_extract(a, '^(\\w+)', 1))"
 
 
 @query(
     "e20_compare_parameters",
     f"""SELECT repo, name, path, line_no, coalesce(array_to_string(list_sort(list_distinct(list_filter(req, lambda x: NOT list_contains(named, x)))), ','), '') AS missing, coalesce(array_to_string(list_sort(list_distinct(list_filter(named, lambda x: NOT list_contains(names, x)))), ','), '') AS extra
-  FROM (SELECT s.repo, s.name, s.path, s.line_no, {_NAMED} AS named, {_NAMES(_ARGS('f.raw'))} AS names, {_NAMES(f"list_filter({_ARGS('f.raw')}, lambda p: NOT contains(p, '='))")} AS req FROM site_rows s JOIN def_rows f ON f.repo = s.repo AND f.name = s.name) WHERE len(named) > 0""",
+  FROM (SELECT s.repo, s.name, s.path, s.line_no, {_NAMED} AS named, {_NAMES("params")} AS names, {_NAMES("list_filter(params, lambda p: NOT contains(p, '='))")} AS req FROM site_rows s JOIN def_rows f ON f.repo = s.repo AND f.name = s.name) WHERE len(named) > 0""",
 )
 def e20(spark, d):
     src = S.sources(spark, d)
@@ -197,15 +207,16 @@ def e20(spark, d):
 cte("call_graph", "SELECT DISTINCT d.repo, d.name AS src, c.callee AS dst FROM def_rows d JOIN call_edges c ON c.repo = d.repo AND c.file_id = d.file_id WHERE d.name <> c.callee AND EXISTS (SELECT 1 FROM def_rows x WHERE x.repo = d.repo AND x.name = c.callee)")
 cte(
     "call_reach",
-    "SELECT repo, name AS start, name AS node, 0 AS depth FROM (SELECT DISTINCT repo, name FROM def_rows WHERE file_id % 10 = 0) UNION SELECT r.repo, r.start, g.dst, r.depth + 1 FROM call_reach r JOIN call_graph g ON g.repo = r.repo AND g.src = r.node WHERE r.depth < 4",
+    "SELECT DISTINCT repo, name AS start, name AS node, 0 AS depth FROM def_rows UNION SELECT r.repo, r.start, g.dst, r.depth + 1 FROM call_reach r JOIN call_graph g ON g.repo = r.repo AND g.src = r.node WHERE r.depth < 10",
 )
 
 
-@query("e17_call_chain", 'SELECT repo, start AS "start", node, min(depth) AS depth FROM call_reach GROUP BY ALL')
+@query("e17_call_chain", 'SELECT r.repo, start AS "start", node, min(depth) AS depth, any_value(f.path) AS path FROM call_reach r JOIN (SELECT repo, name, min(path) AS path FROM def_rows GROUP BY ALL) f ON f.repo = r.repo AND f.name = r.node GROUP BY r.repo, start, node')
 def e17(spark, d):
     src = S.sources(spark, d)
-    starts = M.definitions(src).filter("file_id % 10 = 0").select("repo", F.col("name").alias("start")).distinct()
-    return M.reach(checkpointed(M.call_graph(src)), starts, 4, checkpointed)
+    defs = checkpointed(M.definitions(src).groupBy("repo", "name").agg(F.min("path").alias("path")))
+    found = M.reach(checkpointed(M.call_graph(src)), defs.select("repo", F.col("name").alias("start")), 10, checkpointed)
+    return found.join(defs.withColumnRenamed("name", "node"), ["repo", "node"])
 
 
 _PKG = extract("content", r"(?m)^package\s+([\w.]+);")
@@ -253,18 +264,26 @@ def e11(spark, d):
     return K.trace_to_source(steps, src).select("build_id", "cmd_line", "tool", "path", "score")
 
 
-@query("k16_root_cause_function", "SELECT build_id, string_split(class_name, '.')[-1] AS name, method, file, src_line FROM cps_frames WHERE is_library AND NOT machinery QUALIFY row_number() OVER (PARTITION BY build_id ORDER BY line_no) = 1")
-def k16(spark, d):
-    return M.root_cause_function(T.log_lines(spark, d), None)
+cte("lib_defs", f"SELECT name, arg_min(path, (path, repo, file_id)) AS path, arg_min(array_to_string(params, '|'), (path, repo, file_id)) AS params FROM def_rows WHERE regexp_matches(path, {q(M.GLOBAL_FILE)}) GROUP BY name")
 
 
-cte("lib_defs", f"SELECT name, len({_ARGS('any_value(raw)')}) AS params FROM def_rows WHERE regexp_matches(path, 'vars[/\\\\]\\w+\\.groovy') GROUP BY name")
+@query(
+    "k16_root_cause_function",
+    "SELECT build_id, name, path, params, line_no, method, file, src_line FROM cps_frames JOIN lib_defs ON list_contains(string_split_regex(class_name, '\\W+') || [method], name) WHERE is_library AND NOT machinery QUALIFY row_number() OVER (PARTITION BY build_id ORDER BY line_no, name) = 1",
+)
+def k16(spark, d):
+    return M.root_cause_function(T.log_lines(spark, d), M.global_functions(S.sources(spark, d)))
 
 
-@query("k15_library_functions", "SELECT DISTINCT w.build_id, w.name FROM (SELECT build_id, unnest(list_distinct(regexp_extract_all(line, '(\\w+)', 1))) AS name FROM log_lines) w JOIN lib_defs d ON d.name = w.name")
+@query(
+    "k15_library_functions",
+    f"""SELECT build_id, w.name, coalesce(path, 'unknown') AS path, coalesce(params, '') AS params FROM (
+    SELECT x.build_id, x.name FROM (SELECT build_id, unnest(list_distinct(regexp_extract_all(line, '(\\w+)', 1))) AS name FROM log_lines) x SEMI JOIN lib_defs d ON d.name = x.name
+    UNION SELECT build_id, {extract("line", M.SCRIPT_FRAME)} FROM log_lines WHERE {hit("line", M.SCRIPT_FRAME)}) w LEFT JOIN lib_defs d ON d.name = w.name""",
+)
 def k15(spark, d):
-    """Which library functions a log names; the functions are those of the repositories and of known method names."""
-    return M.library_functions(S.sources(spark, d), T.log_lines(spark, d)).select("build_id", "name")
+    """Which library functions a log names, and where they are defined."""
+    return M.library_functions(M.global_functions(S.sources(spark, d)), T.log_lines(spark, d))
 
 
 @query("f09_tools_used", "SELECT build_id, array_to_string(list_sort(list(DISTINCT tool)), ',') AS tools FROM invocations GROUP BY 1")

@@ -65,7 +65,9 @@ def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *
 
 
 def parts(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of a batch with about `limit` bytes in a text column; one long text is a run of its own."""
+    """Runs of rows of a batch with about `limit` bytes in a text column; one long text is a run of its own. An empty batch has none."""
+    if not batch.num_rows:
+        return
     size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     run = np.cumsum(size, dtype=np.int64) // limit
     cut = np.flatnonzero(np.diff(run, prepend=-1)).tolist()

@@ -1,7 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
+from faultline.llm import packing, words
 from faultline.llm.words import MANY, hashed_plain
 
 
@@ -11,10 +14,10 @@ def test_plain_hashes_tell_words_apart_and_count_them_per_text():
     texts += [bytes(rng.choice(b"ab \n\x0b") for _ in range(rng.randrange(60))) for _ in range(300)] + [b""]
     for lower in (False, True):
         h, starts = hashed_plain(texts, lower)
-        words = [w for t in texts for w in (t.lower() if lower else t).split()]
+        plain = [w for t in texts for w in (t.lower() if lower else t).split()]
         assert np.diff(starts).tolist() == [len(t.split()) for t in texts]
         known = {}
-        assert all(known.setdefault(w, x) == x for w, x in zip(words, h.tolist(), strict=True))
+        assert all(known.setdefault(w, x) == x for w, x in zip(plain, h.tolist(), strict=True))
         assert len(set(known.values())) == len(known)
     assert [len(x) for x in hashed_plain([])] == [0, 1]
 

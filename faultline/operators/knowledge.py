@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from faultline.functions import rule_index as RI, text as X
 from faultline.functions.scan import top_per
+from faultline.session import checkpointed
 
 # Words that say nothing about an error.
 STOP_WORDS = (
@@ -122,6 +123,14 @@ def knowledge_for_logs(texts: DataFrame, tools: DataFrame, errors: DataFrame, ke
 
 # ---- similar cases ----------------------------------------------------------------------------
 
+# Attributes of a case, those of a query, and what equality of the two adds to the score.
+BOOSTS = (("error_category", "category", 0.3), ("failed_stage", "stage", 0.2), ("failed_method", "method", 0.2))
+SLACK = 1e-6  # scores are rounded to six digits before they are compared
+SEED_WORDS, SEED_CASES = 8, 16
+DEEPER = 0.1
+HOT_WORD = 4096
+
+
 def token_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
     return (
         rows.select(key, F.explode(X.keywords(F.col(text), STOP_WORDS)).alias("token"))
@@ -129,31 +138,135 @@ def token_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def find_similar(queries: DataFrame, feedback: DataFrame, k: int = 3, newest: int = 100) -> DataFrame:
-    """The k most similar of the newest cases for each query text, by shared words counted with repeats.
+def _bags(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, size, token): a word's repeats are tokens of their own, so the overlap of two bags is that of two sets."""
+    words = rows.select(key, X.keywords(F.col(text), STOP_WORDS).alias("w"))
+    counts = words.select(key, F.size("w").alias("size"), F.explode("w").alias("token")).groupBy(key, "size", "token").agg(F.count("*").alias("n"))
+    each = counts.withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
+    return each.select(key, "size", F.when(F.col("i") == 1, F.col("token")).otherwise(F.concat_ws(" ", "token", F.col("i").cast("string"))).alias("token"))
+
+
+def _weight(mask: int) -> float:
+    return sum(w for i, (_, _, w) in enumerate(BOOSTS) if mask >> i & 1)
+
+
+def _attributes(mask: int, side: int) -> list[Column]:
+    """The attributes a mask compares, null where one of them is missing."""
+    return [F.col(b[side]) for i, b in enumerate(BOOSTS) if mask >> i & 1]
+
+
+def _under(mask: int, side: int, token: str | None = "token") -> Column:
+    """Hash of a token under a mask (without a token: of the attributes alone); rows that lack an attribute of the mask have none. Equal hashes of
+    different tokens only add pairs, which are scored from their bags like all others."""
+    parts = _attributes(mask, side)
+    key = F.xxhash64(F.lit(mask), *([token] if token else []), *parts)
+    present = F.lit(True)
+    for c in parts:
+        present = present & c.isNotNull()
+    return F.when(present, key)
+
 
-    Only the newest cases are candidates, so their words are a small side of known size; words meet by
-    equality. Equal category, stage or method adds to the score.
+def _boost(case: str = "", query: str = "") -> Column:
+    equal = lambda a, b, w: F.when(F.col(case + a) == F.col(query + b), w).otherwise(0.0)
+    return sum((equal(a, b, w) for a, b, w in BOOSTS[1:]), equal(*BOOSTS[0]))
+
+
+def _scored(pairs: DataFrame, asked: DataFrame, kept: DataFrame) -> DataFrame:
+    """Score of (qid, cid) pairs from their whole bags; pairs without a common word go. Pairs are narrow and
+    bags are not, so the number of partitions is set by hand: their size says nothing of the work."""
+    dealt = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid")
+    both = dealt.join(asked, "qid").join(kept, "cid").withColumn("common", F.size(F.array_intersect("q_bag", "c_bag")))
+    score = F.round(2.0 * F.col("common") / (F.col("q_size") + F.col("size")) + _boost(), 6)
+    return both.select("qid", "cid", score.alias("score"), "common").filter("common > 0").drop("common")
+
+
+def find_similar(queries: DataFrame, feedback: DataFrame, k: int = 3, cut=checkpointed) -> DataFrame:
+    """The k most similar of all cases for each query text: Dice on words counted with repeats, plus a boost for
+    each equal attribute; ties go to the larger id. A case without a common word is not similar. Ids are keys of both tables.
+
+    Equal queries are asked once, and of equal cases only the k largest ids can win. A few cases that share
+    a rare word give each query a score its k-th best reaches at least. From it follows, for every set of
+    equal attributes, the least Dice that still matters, hence how many of the query's words, rarest first,
+    must contain a common one (prefix filter), which sizes a case may have (length filter) and how many of
+    the words asked must be met. These words meet the cases by equality, with the attributes in the key;
+    words of many cases are dealt over salts. Survivors are scored from their whole bags. No case is left out, so the result is that
+    of all pairs.
+
+    Null or empty texts, and texts of stop words alone, are similar to nothing. `cut` stores the tables that several branches read.
     """
-    cand = feedback.orderBy(F.col("id").desc()).limit(newest)
-    mine, theirs = token_counts(queries, "query_id", "text"), token_counts(cand, "id", "error_snippet")
-    size = lambda t, key, out: t.groupBy(key).agg(F.sum("n").alias(out))
-    shared = (
-        mine.join(F.broadcast(theirs.withColumnRenamed("n", "m")), "token")
-        .groupBy("query_id", "id").agg(F.sum(F.least("n", "m")).alias("common"))
+    ask = ["text", *[b[1] for b in BOOSTS]]
+    told = ["error_snippet", *[b[0] for b in BOOSTS]]
+    asked = queries.select("query_id", *ask).filter("text is not null")
+    distinct = asked.groupBy(*ask).agg(F.min("query_id").alias("qid"))
+    members = cut(top_per(feedback.select("id", *told).filter("error_snippet is not null"), k, [F.col("id").desc()], told, "copy"))
+    heads = members.filter("copy = 1").withColumnRenamed("id", "cid")
+
+    case_tokens = cut(_bags(heads, "cid", "error_snippet").join(heads.drop("error_snippet", "copy"), "cid"))
+    df = cut(case_tokens.groupBy("token").agg(F.count("*").alias("df")).withColumn("word", F.monotonically_increasing_id()))
+    salts = F.ceil(F.col("df") / HOT_WORD)
+    place = F.row_number().over(W.partitionBy("qid").orderBy("df", "token"))
+    query_tokens = cut(
+        _bags(distinct, "qid", "text").join(df, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+        .withColumn("place", place).join(distinct.drop("text"), "qid")
     )
-    scored = (
-        shared.join(size(mine, "query_id", "q_size"), "query_id").join(F.broadcast(size(theirs, "id", "c_size")), "id")
-        .join(queries.select("query_id", "category", "stage", "method"), "query_id")
-        .join(F.broadcast(cand.select("id", "error_category", "failed_stage", "failed_method")), "id")
+    bag = lambda t, key, out, rest: t.groupBy(key, "size", *rest).agg(F.collect_list("word").alias(out))
+    q_bags = cut(bag(query_tokens, "qid", "q_bag", ask[1:]).withColumnRenamed("size", "q_size"))
+    c_bags = cut(bag(case_tokens.join(df, "token"), "cid", "c_bag", told[1:]))
+
+    masks = sorted(range(1 << len(BOOSTS)), key=_weight)
+    keys = lambda side: F.explode(F.array_compact(F.array(*[_under(m, side) for m in masks]))).alias("key")
+    index = cut(case_tokens.join(df, "token").select(
+        "cid", "size", F.pmod(F.xxhash64("cid"), salts).alias("salt"), *[b[0] for b in BOOSTS], keys(0)
+    ))
+
+    # A few cases for every query: some that share its rarest words, under every mask, and some of equal attributes.
+    rare = query_tokens.filter("df > 0").withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy("place"))).filter(F.col("r") <= SEED_WORDS)
+    alike = lambda side: F.explode(F.array_compact(F.array(*[_under(m, side, None) for m in masks[1:]]))).alias("key")
+    few = lambda cases: top_per(cases, SEED_CASES, [F.col("cid").desc()], ["key"], "nth").drop("nth")
+    by_word = rare.select("qid", keys(1)).join(few(index.select("key", "cid")), "key")
+    by_attributes = q_bags.select("qid", alike(1)).join(few(c_bags.select("cid", alike(0))), "key")
+    seeds = cut(_scored(by_word.unionByName(by_attributes).select("qid", "cid").distinct(), q_bags, c_bags))
+    reached = top_per(seeds, k, [F.col("score").desc(), F.col("cid").desc()], ["qid"]).groupBy("qid").agg(
+        F.when(F.count("*") == k, F.min("score") - SLACK).otherwise(F.lit(0.0)).alias("reach")
+    )
+
+    # The words that must hold a common one, by the equal attributes a pair would have.
+    needed = query_tokens.withColumnRenamed("size", "q_size").join(reached, "qid", "left").withColumn("reach", F.coalesce("reach", F.lit(0.0)))
+    dice = lambda boost: F.greatest(F.col("reach") - boost, F.lit(0.0))
+
+    def prefix(d: Column) -> Column:
+        least = F.greatest(F.ceil(d * F.col("q_size") / (2.0 - d) - SLACK), F.lit(1))
+        deeper = F.ceil(F.col("q_size") * DEEPER)  # more than must be asked, so that the hits say more
+        return F.when(d <= 1.0, F.least(F.col("q_size") - least + 1 + deeper, F.col("q_size"))).otherwise(F.lit(0))
+
+    # A mask asks for a place only where none of its parts does: they meet every case that it meets.
+    asks = {m: F.col("place") <= prefix(dice(F.lit(_weight(m)))) for m in masks}
+    alone = {}
+    for m in masks:
+        alone[m] = asks[m]
+        for part in masks:
+            if part != m and part & m == part:
+                alone[m] = alone[m] & ~asks[part]
+    wanted = F.array_compact(F.array(*[F.when(alone[m], _under(m, 1)) for m in masks]))
+    probes = (
+        needed.filter("df > 0").select("qid", "q_size", "reach", *[b[1] for b in BOOSTS], salts.alias("salts"), F.explode(wanted).alias("key"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
     )
-    plus = lambda a, b, w: F.when(F.col(a) == F.col(b), w).otherwise(0.0)
-    score = (
-        2.0 * F.col("common") / (F.col("q_size") + F.col("c_size")) + plus("category", "error_category", 0.3)
-        + plus("stage", "failed_stage", 0.2) + plus("method", "failed_method", 0.2)
+    d = dice(_boost())
+    both = F.col("size") + F.col("q_size")
+    hits = (
+        probes.join(index, ["key", "salt"]).withColumn("d", d).filter((F.col("d") <= 1.0) & (2.0 * F.least("size", "q_size") >= (F.col("d") - SLACK) * both))
+        .groupBy("qid", "cid", "size", "q_size", "d").agg(F.count("*").alias("hits"))
     )
-    ranked = scored.withColumn("score", F.round(score, 6))
-    return top_per(ranked, k, [F.col("score").desc(), F.col("id").desc()], ["query_id"]).select("query_id", "rn", "id", "score")
+    pairs = hits.filter(F.col("hits") + F.col("q_size") - prefix(F.col("d")) >= (F.col("d") - SLACK) / 2 * both).select("qid", "cid")
+    best = top_per(_scored(pairs, q_bags, c_bags), k, [F.col("score").desc(), F.col("cid").desc()], ["qid"], "nth")
+
+    # Back to all rows: the copies of the cases found, then the copies of the queries.
+    same = lambda names, left, right: F.expr(" and ".join(f"{left}.{n} <=> {right}.{n}" for n in names))
+    cases = members.alias("m").join(heads.alias("h"), same(told, "m", "h")).select("cid", "m.id")
+    final = top_per(best.drop("nth").join(cases, "cid"), k, [F.col("score").desc(), F.col("id").desc()], ["qid"])
+    copies = asked.alias("a").join(distinct.alias("d"), same(ask, "a", "d")).select("qid", "a.query_id")
+    return final.join(copies, "qid").select("query_id", "rn", "id", "score")
 
 
 def trace_to_source(steps: DataFrame, source_commands: DataFrame, least: float = 0.3) -> DataFrame:

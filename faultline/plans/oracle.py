@@ -123,17 +123,17 @@ cte(
 )
 cte(
     "feedback",
-    """SELECT d.doc_id AS id, left(text, 500) AS error_snippet, upper(lang) AS error_category, source AS failed_stage,
-  CASE WHEN d.doc_id % 3 = 0 THEN 'm' || (d.doc_id % 5) END AS failed_method, substring(text, 11, 80) AS original_root_cause,
+    """SELECT d.doc_id AS id, text AS error_snippet, upper(lang) AS error_category, source AS failed_stage,
+  CASE WHEN d.doc_id % 3 = 0 THEN 'm' || (d.doc_id % 5) END AS failed_method, substring(text, 11) AS original_root_cause,
   (d.doc_id % 10) / 10.0 AS original_confidence, quality = 1 AS was_correct,
-  CASE WHEN quality = 1 THEN substring(text, 11, 80) ELSE substring(text, 31, 90) END AS confirmed_root_cause,
-  CASE WHEN toxic = 0 THEN substring(text, 101, 60) END AS confirmed_fix, 'job-' || (d.doc_id % 20) AS job_name
+  CASE WHEN quality = 1 THEN substring(text, 11) ELSE substring(text, 31) END AS confirmed_root_cause,
+  CASE WHEN toxic = 0 THEN substring(text, 101) END AS confirmed_fix, 'job-' || (d.doc_id % 20) AS job_name
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
 )
 cte(
     "examples",
     """SELECT u.conv_id * 100 + u.turn AS id, ['feedback','knowledge','review'][u.conv_id % 3 + 1] AS source, u.text AS error_snippet,
-  a.text AS root_cause, CASE WHEN u.turn % 4 = 0 THEN left(a.text, 40) ELSE '' END AS fix,
+  a.text AS root_cause, CASE WHEN u.turn % 4 = 0 THEN a.text ELSE '' END AS fix,
   ['NETWORK','TIMEOUT','BUILD','WEIRD','UNKNOWN'][u.conv_id % 5 + 1] AS category, (u.conv_id % 13) / 10.0 AS confidence
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'""",
 )
@@ -158,7 +158,7 @@ cte(
   ['.java','.groovy','.yml','.py','.properties'][p_size % 5 + 1] AS path, CAST(l_quantity AS BIGINT) AS insertions,
   CAST(floor(l_discount * 100) AS BIGINT) AS deletions FROM lineitem JOIN part ON l_partkey = p_partkey""",
 )
-_BODY = r"""regexp_replace(left(text, 200), '["\\\n\r\t]', ' ', 'g')"""
+_BODY = r"""regexp_replace(text, '["\\\n\r\t]', ' ', 'g')"""
 cte(
     "responses",
     f"""SELECT conv_id AS build_id, CAST(turn // 2 + 1 AS BIGINT) AS iteration, turn, CASE (conv_id + turn) % 6

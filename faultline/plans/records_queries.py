@@ -448,8 +448,7 @@ def e08(spark, d):
 
 _KW = lambda c: O.keywords(c, K.STOP_WORDS)
 cte("fb_tokens", f"SELECT id, token, count(*) AS n FROM (SELECT id, unnest({_KW('error_snippet')}) AS token FROM feedback) GROUP BY ALL")
-cte("fb_cand", "SELECT * FROM feedback ORDER BY id DESC LIMIT 100")
-cte("doc_queries", "SELECT doc_id AS query_id, left(text, 400) AS text, upper(lang) AS category, source AS stage, 'm' || (doc_id % 5) AS method FROM documents")
+cte("doc_queries", "SELECT doc_id AS query_id, text, upper(lang) AS category, source AS stage, 'm' || (doc_id % 5) AS method FROM documents")
 cte("q_tokens", f"SELECT query_id, token, count(*) AS n FROM (SELECT query_id, unnest({_KW('text')}) AS token FROM doc_queries) GROUP BY ALL")
 
 
@@ -457,13 +456,13 @@ cte("q_tokens", f"SELECT query_id, token, count(*) AS n FROM (SELECT query_id, u
     "e09_find_similar",
     """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC) AS rn, id, score FROM (
     SELECT o.query_id, o.id, round(2.0 * common / (qs + cs) + CASE WHEN q.category = c.error_category THEN 0.3 ELSE 0 END + CASE WHEN q.stage = c.failed_stage THEN 0.2 ELSE 0 END + CASE WHEN q.method = c.failed_method THEN 0.2 ELSE 0 END, 6) AS score
-    FROM (SELECT query_id, f.id, sum(least(q.n, f.n)) AS common FROM q_tokens q JOIN fb_tokens f ON f.token = q.token JOIN fb_cand b ON b.id = f.id GROUP BY ALL) o
-    JOIN doc_queries q ON q.query_id = o.query_id JOIN fb_cand c ON c.id = o.id
+    FROM (SELECT query_id, f.id, sum(least(q.n, f.n)) AS common FROM q_tokens q JOIN fb_tokens f ON f.token = q.token GROUP BY ALL) o
+    JOIN doc_queries q ON q.query_id = o.query_id JOIN feedback c ON c.id = o.id
     JOIN (SELECT query_id, sum(n) AS qs FROM q_tokens GROUP BY 1) x ON x.query_id = o.query_id JOIN (SELECT id, sum(n) AS cs FROM fb_tokens GROUP BY 1) y ON y.id = o.id) QUALIFY rn <= 3""",
 )
 def e09(spark, d):
     queries = T.documents(spark, d).select(
-        F.col("doc_id").alias("query_id"), F.left("text", F.lit(400)).alias("text"), F.upper("lang").alias("category"),
+        F.col("doc_id").alias("query_id"), "text", F.upper("lang").alias("category"),
         F.col("source").alias("stage"), F.concat(F.lit("m"), F.col("doc_id") % 5).alias("method"),
     )
     return K.find_similar(queries, T.feedback(spark, d))
@@ -514,10 +513,10 @@ def a08(spark, d):
     return R.csv_rows(exported(spark, d)).select("id", "source", "job_name", "error_snippet", "root_cause", "fix", "category")
 
 
-@query("a10_export_feedback", f"SELECT id, {q(R.ASK)} || 'Job: ' || job_name || chr(10) || 'Stage: ' || failed_stage || chr(10) || 'Error: ' || error_snippet AS user, confirmed_root_cause AS root_cause FROM (SELECT * FROM feedback ORDER BY id DESC LIMIT 1000) WHERE was_correct AND error_snippet <> '' AND confirmed_root_cause <> ''")
+@query("a10_export_feedback", f"SELECT id, {q(R.ASK)} || 'Job: ' || job_name || chr(10) || 'Stage: ' || failed_stage || chr(10) || 'Error: ' || error_snippet AS user, confirmed_root_cause AS root_cause FROM feedback WHERE was_correct AND error_snippet <> '' AND confirmed_root_cause <> ''")
 def a10(spark, d):
-    newest = T.feedback(spark, d).orderBy(F.col("id").desc()).limit(1000).filter("was_correct and error_snippet <> '' and confirmed_root_cause <> ''")
-    ready = newest.select("id", "job_name", "failed_stage", "error_snippet", F.col("confirmed_root_cause").alias("root_cause"), F.col("confirmed_fix").alias("fix"), F.col("error_category").alias("category"), F.lit(0.9).alias("confidence"))
+    right = T.feedback(spark, d).filter("was_correct and error_snippet <> '' and confirmed_root_cause <> ''")
+    ready = right.select("id", "job_name", "failed_stage", "error_snippet", F.col("confirmed_root_cause").alias("root_cause"), F.col("confirmed_fix").alias("fix"), F.col("error_category").alias("category"), F.lit(0.9).alias("confidence"))
     rec = R.full_examples(ready).select("id", F.from_json(R.openai_record(), R.MESSAGES).alias("r"))
     text = lambda i: F.get("r.messages", F.lit(i))["content"]
     return rec.select("id", text(1).alias("user"), F.from_json(text(2), R.VERDICT)["root_cause"].alias("root_cause"))

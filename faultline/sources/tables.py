@@ -102,17 +102,15 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, lab = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     return d.join(lab, "doc_id").select(
         F.col("doc_id").alias("id"),
-        F.left("text", F.lit(500)).alias("error_snippet"),
+        F.col("text").alias("error_snippet"),
         F.upper("lang").alias("error_category"),
         F.col("source").alias("failed_stage"),
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("m"), F.col("doc_id") % 5)).alias("failed_method"),
-        F.substring("text", 11, 80).alias("original_root_cause"),
+        F.expr("substring(text, 11)").alias("original_root_cause"),
         (F.col("doc_id") % 10 / 10.0).alias("original_confidence"),
         (F.col("quality") == 1).alias("was_correct"),
-        F.when(F.col("quality") == 1, F.substring("text", 11, 80)).otherwise(F.substring("text", 31, 90)).alias(
-            "confirmed_root_cause"
-        ),
-        F.when(F.col("toxic") == 0, F.substring("text", 101, 60)).alias("confirmed_fix"),
+        F.when(F.col("quality") == 1, F.expr("substring(text, 11)")).otherwise(F.expr("substring(text, 31)")).alias("confirmed_root_cause"),
+        F.when(F.col("toxic") == 0, F.expr("substring(text, 101)")).alias("confirmed_fix"),
         F.concat(F.lit("job-"), F.col("doc_id") % 20).alias("job_name"),
     )
 
@@ -127,7 +125,7 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*[F.lit(s) for s in ("feedback", "knowledge", "review")]), (F.col("conv_id") % 3 + 1).cast("int")).alias("source"),
         F.col("text").alias("error_snippet"),
         F.col("answer").alias("root_cause"),
-        F.when(F.col("turn") % 4 == 0, F.left("answer", F.lit(40))).otherwise(F.lit("")).alias("fix"),
+        F.when(F.col("turn") % 4 == 0, F.col("answer")).otherwise(F.lit("")).alias("fix"),
         F.element_at(
             F.array(*[F.lit(s) for s in ("NETWORK", "TIMEOUT", "BUILD", "WEIRD", "UNKNOWN")]), (F.col("conv_id") % 5 + 1).cast("int")
         ).alias("category"),
@@ -194,7 +192,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model answers: an assistant turn wrapped in one of the answer forms that occur."""
     c = read(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    body = F.regexp_replace(F.left("text", F.lit(200)), r'["\\\n\r\t]', " ")
+    body = F.regexp_replace("text", r'["\\\n\r\t]', " ")
     form = (F.col("conv_id") + F.col("turn")) % 6
     score = (F.col("conv_id") * 7 + F.col("turn") * 13) % 100
     text = (

@@ -38,27 +38,30 @@ def match_errors(lines: DataFrame, rules=R.CATEGORY_PATTERNS, ignore: str | None
 
 
 def dedupe_errors(errors: DataFrame, newest: bool = True) -> DataFrame:
-    """Equal (category, first 100 characters) count once; the aggregate combines before the shuffle."""
-    keyed = errors.withColumn("key", F.left(X.strip(F.col("line")), F.lit(100)))
+    """Lines of a category that are equal but for blanks around them count once; the aggregate combines before the shuffle."""
+    keyed = errors.withColumn("key", X.strip(F.col("line")))
     pick = F.max if newest else F.min
     rest = [c for c in errors.columns if c not in ("build_id", "category", "line_no")]
     row = pick(F.struct("line_no", *rest)).alias("r")
     return keyed.groupBy("build_id", "category", "key").agg(row).select("build_id", "category", "r.*")
 
 
-def errors_from_end(focus: DataFrame, limit: int = 20) -> DataFrame:
-    """Newest errors of the focus section; a line's categories stay together once it is reached."""
-    w = W.partitionBy("build_id").orderBy(F.col("line_no").desc())
+def errors_from_end(focus: DataFrame, limit: int | None = None) -> DataFrame:
+    """Errors of the focus section, newest copy of each. With a limit, a report of the newest: a line's
+    categories stay together once it is reached."""
     found = dedupe_errors(match_errors(focus.select("build_id", "line_no", "line")))
+    if limit is None:
+        return found
+    w = W.partitionBy("build_id").orderBy(F.col("line_no").desc())
     return found.withColumn("rk", F.rank().over(w)).filter(F.col("rk") <= limit).drop("rk")
 
 
-def parsed_errors(lines: DataFrame, limit: int = 20, custom: dict | None = None, cut=lambda df: df) -> DataFrame:
-    """Errors of the focus section; builds that have none there give all their errors.
+def parsed_errors(lines: DataFrame, custom: dict | None = None, cut=lambda df: df) -> DataFrame:
+    """All errors of a build, each once: the newest copy inside the focus section (origin `focus`), or else
+    the oldest copy anywhere (origin `whole`).
 
-    The log is matched once. The focus is then looked up for the hits alone, and one aggregate keeps the
-    newest copy inside the focus or else the oldest copy of equal errors. Three branches read the result,
-    so `cut` may store it.
+    The log is matched once. The focus is then looked up for the hits alone, and one aggregate chooses the
+    copy. Callers read the result several times, so `cut` may store it.
     """
     hits = match_errors(lines)
     if custom:
@@ -70,18 +73,12 @@ def parsed_errors(lines: DataFrame, limit: int = 20, custom: dict | None = None,
     kept = F.when(newest.isNotNull(), F.struct(F.lit("focus").alias("origin"), newest.alias("r"))).otherwise(
         F.struct(F.lit("whole").alias("origin"), oldest.alias("r"))
     )
-    key = F.left(X.strip(F.col("line")), F.lit(100)).alias("key")
-    distinct = cut(placed.groupBy("build_id", "category", key).agg(kept.alias("k")).select("build_id", "category", "k.origin", "k.r.*"))
-    w = W.partitionBy("build_id").orderBy(F.col("line_no").desc())
-    recent = distinct.filter("origin = 'focus'").withColumn("rk", F.rank().over(w)).filter(F.col("rk") <= limit).drop("rk")
-    whole = distinct.filter("origin = 'whole'").join(
-        distinct.filter("origin = 'focus'").select("build_id").distinct(), "build_id", "left_anti"
-    )
-    return recent.unionByName(whole).withColumn("severity", X.severity(F.col("line")))
+    distinct = placed.groupBy("build_id", "category", X.strip(F.col("line")).alias("key")).agg(kept.alias("k"))
+    return cut(distinct.select("build_id", "category", "k.origin", "k.r.*")).withColumn("severity", X.severity(F.col("line")))
 
 
 def error_order() -> Column:
-    """Position of an error in a build: newest first from the focus, oldest first otherwise."""
+    """Position of an error in a build: those of the focus, newest first, then the others, oldest first."""
     return F.when(F.col("origin") == "focus", -F.col("line_no")).otherwise(F.col("line_no"))
 
 

@@ -26,14 +26,14 @@ cte(
 )
 cte(
     "focus_errors",
-    """SELECT *, rank() OVER (PARTITION BY build_id ORDER BY line_no DESC) AS rk FROM (
-    SELECT e.* FROM error_hits e JOIN focus_facts f ON f.build_id = e.build_id AND e.line_no >= focus_from
-    QUALIFY row_number() OVER (PARTITION BY e.build_id, category, left(trim(line, ' ' || chr(9)), 100) ORDER BY e.line_no DESC) = 1) QUALIFY rk <= 20""",
+    f"""SELECT e.* FROM error_hits e JOIN focus_facts f ON f.build_id = e.build_id AND e.line_no >= focus_from
+    QUALIFY row_number() OVER (PARTITION BY e.build_id, category, {_T} ORDER BY e.line_no DESC) = 1""",
 )
 cte(
     "whole_errors",
-    """SELECT * FROM error_hits e WHERE NOT EXISTS (SELECT 1 FROM focus_errors f WHERE f.build_id = e.build_id)
-    QUALIFY row_number() OVER (PARTITION BY build_id, category, left(trim(line, ' ' || chr(9)), 100) ORDER BY line_no) = 1""",
+    f"""SELECT e.* FROM error_hits e ANTI JOIN (SELECT build_id, category, {_T} AS key FROM focus_errors) f
+      ON f.build_id = e.build_id AND f.category = e.category AND f.key = {strip("e.line")}
+    QUALIFY row_number() OVER (PARTITION BY build_id, category, {_T} ORDER BY line_no) = 1""",
 )
 cte(
     "errors",
@@ -50,7 +50,7 @@ def d01(spark, d):
 
 @query(
     "d02_dedupe_errors",
-    "SELECT build_id, category, max(line_no) AS line_no FROM error_hits GROUP BY build_id, category, left(trim(line, ' ' || chr(9)), 100)",
+    f"SELECT build_id, category, max(line_no) AS line_no FROM error_hits GROUP BY build_id, category, {_T}",
 )
 def d02(spark, d):
     return E.dedupe_errors(E.match_errors(T.log_lines(spark, d))).select("build_id", "category", "line_no")

@@ -118,7 +118,7 @@ def a13(spark, d):
 # ---- user rules -------------------------------------------------------------------------------
 
 
-@query("n01_register_rules", "SELECT category, count(*) AS n FROM errors GROUP BY 1 UNION ALL SELECT 'SITE_RULE', count(*) FROM (SELECT DISTINCT build_id, left(trim(line, ' ' || chr(9)), 100) FROM clean c WHERE regexp_matches(line, 'Checking out branch') AND NOT EXISTS (SELECT 1 FROM focus_errors f WHERE f.build_id = c.build_id))")
+@query("n01_register_rules", "SELECT category, count(*) AS n FROM errors GROUP BY 1 UNION ALL SELECT 'SITE_RULE', count(*) FROM (SELECT DISTINCT build_id, trim(line, ' ' || chr(9)) FROM clean WHERE regexp_matches(line, 'Checking out branch'))")
 def n01(spark, d):
     user, _ = UR.register_rules(spark, {"site_rule": ["Checking out branch", "broken[("]})
     errs = E.parsed_errors(checkpointed(T.log_lines(spark, d)), custom=user, cut=checkpointed)

@@ -47,13 +47,20 @@ def test_tool_names(spark):
     assert {r.c: r.t for r in df.collect()} == cases
 
 
-def test_stop_after_twenty_errors_keeps_a_line_whole(log):
-    text = "\n".join(f"ERROR: connection refused {i}" for i in range(30))
-    errs = E.parsed_errors(log(text))
-    assert errs.count() == 20
-    text = "\n".join(["ERROR: connection refused x"] + [f"npm ERR! {i}" for i in range(19)])
+def test_a_report_of_the_newest_errors_keeps_a_line_whole(log):
+    newest = lambda text: E.errors_from_end(log(text), 20).count()
+    assert newest("\n".join(f"ERROR: connection refused {i}" for i in range(30))) == 20
     # the last line reached brings all of its categories
-    assert E.parsed_errors(log(text)).count() == 21
+    assert newest("\n".join(["ERROR: connection refused x"] + [f"npm ERR! {i}" for i in range(19)])) == 21
+
+
+def test_all_errors_are_kept(log):
+    long = "x" * 150
+    text = "\n".join(
+        ["npm ERR! early", "npm ERR! both", "[Pipeline] stage", "[Pipeline] { (Test)"] + [f"npm ERR! {long} {i}" for i in range(40)] + ["  npm ERR! both "]
+    )
+    got = {(r.line_no, r.origin) for r in E.parsed_errors(log(text)).collect()}
+    assert got == {(1, "whole"), (45, "focus")} | {(n, "focus") for n in range(5, 45)}
 
 
 def test_python_and_go_traces(log):

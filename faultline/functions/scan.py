@@ -82,6 +82,34 @@ def _fold(kind: str, v: Column) -> Column:
     return {"sum": F.sum, "max": F.max, "min": F.min}[kind](v)
 
 
+def range_max(
+    entries: DataFrame, asks: DataFrame, ranges: dict[str, tuple[int, int, Column]], keys: Sequence[str] = BUILD, pos: str = "line_no"
+) -> DataFrame:
+    """Largest value among the entries at pos - back .. pos - ahead of each ask, for each range by name.
+
+    ranges maps an output column to (back, ahead, value); all values have one type, an entry whose value is null does
+    not count. Positions are cut into blocks as wide as the range, which then is the end of one block and the start of
+    the next: a running maximum from the end of the first and one from the start of the second, whatever the width.
+    A task holds a block, so a long key spreads out. Asks are distinct; those that meet no entry are left out.
+    """
+    keys, at = list(keys), F.col(pos)
+    cell = lambda name, way, place, width, **more: F.struct(
+        F.lit(name).alias("name"), F.lit(way).alias("way"), F.floor(place / width).cast("long").alias("block"),
+        (way * place).cast("long").alias("at"), *[v.alias(k) for k, v in more.items()],
+    )
+    given, wanted = [], []
+    for name, (back, ahead, value) in ranges.items():
+        width = back - ahead + 1
+        given += [F.when(value.isNotNull(), cell(name, way, at, width, value=value)) for way in (1, -1)]
+        wanted += [cell(name, 1, at - ahead, width), cell(name, -1, at - back, width)]
+    rows = entries.select(*keys, F.inline(F.array_compact(F.array(*given)))).unionByName(
+        asks.select(*keys, F.col(pos).alias("ask"), F.inline(F.array(*wanted))), allowMissingColumns=True
+    )
+    seen = W.partitionBy(*keys, "name", "way", "block").orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    met = rows.withColumn("top", F.max("value").over(seen)).filter("ask is not null and top is not null")
+    return met.groupBy(*keys, F.col("ask").alias(pos)).agg(*[F.max(F.when(F.col("name") == n, F.col("top"))).alias(n) for n in ranges])
+
+
 def with_halo(df: DataFrame, before: int, after: int, pos: str = "line_no") -> DataFrame:
     """Copy the rows near a chunk border into the neighbouring chunks.
 

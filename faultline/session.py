@@ -38,16 +38,15 @@ def chunk_lines(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Only a local master without that setting (tests) gets a folder of its own.
+    Only a local master without that setting (tests) gets a folder of its own, one for its context.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="faultline-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="faultline-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def new_shared_path(spark: SparkSession, label: str) -> str:

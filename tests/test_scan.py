@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from faultline.functions.scan import attach_facts, near, own, scan, with_halo
+from faultline.functions.scan import attach_facts, near, own, range_max, scan, with_halo
 from faultline.operators import blame
 
 
@@ -90,3 +90,20 @@ def test_blame_matches_scoring_every_pair(small_chunks):
         options = [(score(c, line), -c["cmd_line"]) for c in cmds if c["build_id"] == b and score(c, line) is not None]
         want = max(options) if options else None
         assert got.get((b, line)) == (None if want is None else (-want[1], want[0]))
+
+
+def test_range_max_matches_a_plain_loop(spark):
+    rnd = random.Random(4)
+    rows = [(b, i, rnd.choice([None, rnd.randint(0, 50)])) for b in range(3) for i in rnd.sample(range(1, 120), 50)]
+    asks = [(b, i) for b in range(4) for i in range(1, 140)]
+    ranges = {"wide": (20, 0), "gap": (33, 11), "one": (5, 5), "ahead": (2, -4)}
+    got = {
+        (r.build_id, r.line_no): [r[n] for n in ranges]
+        for r in range_max(
+            spark.createDataFrame(rows, "build_id bigint, line_no bigint, v bigint"), spark.createDataFrame(asks, "build_id bigint, line_no bigint"),
+            {n: (back, ahead, F.col("v")) for n, (back, ahead) in ranges.items()},
+        ).collect()
+    }
+    for b, e in asks:
+        want = [max((v for k, i, v in rows if k == b and v is not None and e - back <= i <= e - ahead), default=None) for back, ahead in ranges.values()]
+        assert got.get((b, e), [None] * 4) == want

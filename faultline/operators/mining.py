@@ -231,22 +231,6 @@ def missing_credentials(usage: DataFrame, issues: DataFrame) -> DataFrame:
     return usage.join(absent.groupBy("credential").agg(F.count("*").alias("builds")), "credential")
 
 
-# Tools looked for in shell steps.
-SHELL_TOOLS = (
-    "aws", "az", "gcloud", "kubectl", "helm", "docker", "terraform", "mvn", "mvnw", "gradle", "gradlew", "npm", "yarn", "pip", "pip3", "curl", "wget",
-    "git", "make", "python", "python3", "java", "node", "ansible", "ansible-playbook", "packer", "vault",
-)
-
-
-def source_tool_usage(sources: DataFrame) -> DataFrame:
-    """Commands inside shell steps, cut at separators, with the tool they start with."""
-    lines = sources.select("repo", "file_id", "path", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
-    body = X.extract(F.col("line"), r"\bsh\s*\(?\s*(?:script:\s*)?['\"]+([^'\"]+)['\"]")
-    parts = F.transform(F.split(body, r"&&|\|\||[;|]"), lambda p: X.strip(p))
-    rows = lines.select("repo", "file_id", "path", (F.col("pos") + 1).cast("bigint").alias("src_line"), F.explode(parts).alias("command"))
-    return rows.withColumn("tool", X.tool_name(F.col("command"))).filter(F.col("tool").isin(*SHELL_TOOLS))
-
-
 def reach(edges: DataFrame, starts: DataFrame, depth: int, cut=None) -> DataFrame:
     """Nodes reached from start nodes with their smallest depth, level by level, without visiting twice.
 

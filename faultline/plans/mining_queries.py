@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.operators import classify as C, knowledge as K, mining as M
+from faultline.operators import classify as C, knowledge as K, mining as M, steps as SH
 from faultline.plans import lines_queries, oracle as O
 from faultline.plans.oracle import any_hit, cte, extract, first_match, hit, q, strip
 from faultline.plans.registry import query
@@ -234,18 +234,31 @@ def e18(spark, d):
     return M.reach(checkpointed(M.import_graph(src)), classes.distinct(), 3, checkpointed)
 
 
-_BODY = extract("line", r"\bsh\s*\(?\s*(?:script:\s*)?['\"]+([^'\"]+)['\"]")
-cte(
-    "source_commands",
-    f"""SELECT *, {O.tool_name("command")} AS tool FROM (SELECT repo, file_id, path, CAST(line_no AS BIGINT) AS src_line, trim(unnest(string_split_regex({_BODY}, '&&|\\|\\||[;|]'))) AS command FROM (
-    SELECT repo, file_id, path, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no FROM sources) WHERE {_BODY} IS NOT NULL)
-  WHERE list_contains({O.values(M.SHELL_TOOLS)}, {O.tool_name("command")})""",
-)
-
-
-@query("k17_source_tool_usage", "SELECT repo, file_id, src_line, command, tool FROM source_commands")
+_FILE = "PARTITION BY repo, file_id ORDER BY i"
+_NL = "length(t) - length(replace(t, chr(10), ''))"
+# tokens with running sums; a step lies in the last method before it, unless a bracket between them closes that method
+cte("code_tokens", f"""SELECT *, CAST(1 + coalesce(sum({_NL}) OVER ({_FILE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS src_line,
+    sum(CASE t WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER ({_FILE}) AS depth
+  FROM (SELECT repo, file_id, path, unnest(regexp_extract_all(content, {q(SH.TOKEN)})) AS t, unnest(range(1, len(regexp_extract_all(content, {q(SH.TOKEN)})) + 1)) AS i FROM sources)""")
+cte("step_tokens", f"""SELECT * FROM (SELECT *, last_value(CASE WHEN regexp_full_match(t, {q(SH.METHOD)}) THEN {{'i': i, 'depth': depth, 'name': regexp_extract(t, 'def\s+(\w+)', 1)}} END IGNORE NULLS) OVER ({_FILE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS d FROM code_tokens)
+  WHERE regexp_full_match(t, {q(SH.STEP)})""")
+_QUOTED = f"regexp_replace(t, {q('^' + SH.STEP_HEAD)}, '')"
+cte("shell_steps", f"""SELECT repo, file_id, path, src_line, CASE WHEN d IS NULL OR EXISTS (SELECT 1 FROM code_tokens z WHERE z.repo = s.repo AND z.file_id = s.file_id AND z.t = '}}' AND z.i > d.i AND z.i < s.i AND z.depth <= d.depth) THEN NULL
+    WHEN d.name = 'call' AND regexp_matches(path, {q(SH.GLOBAL_FILE)}) THEN regexp_extract(path, {q(SH.GLOBAL_FILE)}, 1) ELSE d.name END AS method,
+    CASE WHEN regexp_matches(t, {q(SH.STEP_HEAD + "['" + chr(34) + "]{3}[^'" + chr(34) + "]")}) THEN substr({_QUOTED}, 4, length({_QUOTED}) - 6) ELSE substr({_QUOTED}, 2, length({_QUOTED}) - 2) END AS body FROM step_tokens s""")
+_INSIDE = lambda c: f"flatten(list_transform({c}, lambda x: list_transform(regexp_extract_all(x, {q(SH.INSERTED)}), lambda y: CASE WHEN starts_with(y, '`') THEN substr(y, 2, length(y) - 2) ELSE substr(y, 3, length(y) - 3) END)))"
+_SHELL_TOKENS = f"regexp_extract_all(regexp_replace(regexp_replace(text, {q(SH.GOES_ON)}, ' ', 'g'), {q(SH.COMMENT)}, '', 'g'), {q(SH.SHELL_TOKEN)})"
+_CUT = f"array_to_string(list_transform({_SHELL_TOKENS}, lambda x: CASE WHEN list_contains({O.values(SH.ENDS)}, x) OR x = chr(10) THEN chr(10) ELSE replace(x, chr(10), ' ') END), '')"
+cte("source_commands", f"""SELECT *, lower({O.tool_name("command")}) AS tool FROM (
+    SELECT repo, file_id, path, src_line, method, variables, unnest(list_filter(list_transform(string_split({_CUT}, chr(10)), lambda x: {strip("x")}), lambda x: x <> '')) AS command FROM (
+      SELECT *, list_sort(list_distinct(regexp_extract_all(body, {q(SH.VARIABLE)}, 1))) AS variables, unnest([body] || l1 || l2 || {_INSIDE("l2")}) AS text FROM (
+        SELECT *, {_INSIDE("l1")} AS l2 FROM (SELECT *, {_INSIDE("[body]")} AS l1 FROM shell_steps))))
+  WHERE list_contains({O.values(SH.SHELL_TOOLS)}, lower({O.tool_name("command")}))""")
+
+
+@query("k17_source_tool_usage", "SELECT repo, file_id, src_line, method, command, tool, array_to_string(variables, ',') AS variables FROM source_commands")
 def k17(spark, d):
-    return M.source_tool_usage(S.sources(spark, d)).select("repo", "file_id", "src_line", "command", "tool")
+    return SH.source_tool_usage(S.sources(spark, d)).withColumn("variables", F.array_join("variables", ",")).drop("path")
 
 
 _BAG = lambda c: f"list_distinct(list_filter(string_split_regex(lower(trim({c})), '\\s+'), lambda w: w <> ''))"
@@ -260,7 +273,7 @@ _BAG = lambda c: f"list_distinct(list_filter(string_split_regex(lower(trim({c}))
 )
 def e11(spark, d):
     steps = C.invocations(T.log_lines(spark, d), cut=checkpointed).filter("form = 'shell'").select("build_id", "cmd_line", "tool", "command")
-    src = M.source_tool_usage(S.sources(spark, d)).select("tool", "path", "src_line", "command").distinct()
+    src = SH.source_tool_usage(S.sources(spark, d)).select("tool", "path", "src_line", "command").distinct()
     return K.trace_to_source(steps, src).select("build_id", "cmd_line", "tool", "path", "score")
 
 

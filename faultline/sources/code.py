@@ -13,8 +13,8 @@ SOURCES = (
     ("src/main/java/org/acme/Cls{k}.java", "package org.acme;\nimport org.acme.Cls{a};\nimport java.util.List;\n@ShellComponent(\"tool{k}\")\npublic class Cls{k} {\n  @ShellMethod(value = \"Deploys\", key = \"deploy-{k}\")\n  public void deploy(@ShellOption(help = \"h\", defaultValue = \"d\") String target) {\n    if (x) throw new AuthException(\"A2L_AUTH_FAILED: token {k} expired\");\n    System.exit(1);\n    String v = System.getenv(\"A2L_TOKEN\");\n    log.error(\"[A2L] failed\");\n  }\n}"),
     ("src/main/java/org/acme/Cls{k}.java", "package org.acme;\nimport org.acme.Cls{a};\nimport org.acme.Cls{b};\n@Command(name = \"cmd{k}\", description = \"runs\") // picocli\npublic class Cls{k} {\n  @Option(names = {\"--env\", \"-e\"}, description = \"env\", required = true)\n  String env;\n  static final String ERROR_CODE_{k} = \"E_{a}\";\n  void go() { throw new NetworkException(\"connect timeout ${HOST_{b}}\"); }\n}"),
     ("Jenkinsfile", "library 'pipeline@{a}'\npipeline {\n  stages {\n    fn{a}(env: 'prod', version: '1')\n    fn{b}(config, 'x', 'y')\n    deploy(env: 'prod', targets: pick(1, 2))\n    deploy config, 'x'\n    deploy {\n    }\n    run{a} 'x', [a: 1, b: 2], true\n    withCredentials([file(credentialsId: 'CRED-{b}')])\n  }\n}"),
-    ("vars/deploy.groovy", "def call(Map config, List targets = [1, 2],\n    Closure body = pick(x, {b})) {\n  run{a}(config.name)\n  fn{b}(config, 'x')\n}"),
-    ("vars/run{k}.groovy", "def call(String name, Map<String, List> opts) {\n  deploy(name, opts.get(1, 2), null)\n  helper{k}()\n}\ndef helper{k}(Map args = [:]) {\n  run{a}('y', args)\n}"),
+    ("vars/deploy.groovy", "def call(Map config, List targets = [1, 2],\n    Closure body = pick(x, {b})) {\n  run{a}(config.name)\n  fn{b}(config, 'x')\n  sh(returnStdout: true, script: \"\"\"\n    # aws in a comment\n    docker build -t ${IMAGE} \\\n      . && ./mvnw -q verify -pl $(git describe v{a} | helm list)\n    kubectl get ns; VER=`make -s v{b}`\n  \"\"\")\n}"),
+    ("vars/run{k}.groovy", "def call(String name, Map<String, List> opts) {\n  deploy(name, opts.get(1, 2), null)\n  helper{k}()\n  shell('curl -s \"http://h/{a};x\" | python3 -') // sh 'git gc'\n}\ndef helper{k}(Map args = [:]) {\n  run{a}('y', args)\n}"),
 )
 REPO_SIZE = 40
 

@@ -326,12 +326,12 @@ def owned_lines(typed: DataFrame, closing=("pipeline_step", "pipeline_stage", "p
     return scan(marked, {"owner": ("last", edge, True)}, keys=keys)
 
 
-def command_output(owned: DataFrame, limit: int = shell.MAX_OUTPUT, keys=("build_id",)) -> DataFrame:
-    """First output lines of each command, numbered."""
-    out = owned.filter((F.col("line_type") == "shell_output") & (F.col("owner") > 0))
-    return top_per(out, limit, [F.col("line_no")], [*keys, "owner"], "out_no").select(
-        *keys, F.col("owner").alias("cmd_line"), "line_no", "out_no", X.strip(F.col("line")).alias("output")
+def command_output(owned: DataFrame, keys=("build_id",)) -> DataFrame:
+    """All output lines of each command, numbered. A long output is numbered chunk by chunk."""
+    out = owned.filter((F.col("line_type") == "shell_output") & (F.col("owner") > 0)).select(
+        *keys, F.col("owner").alias("cmd_line"), "line_no", X.strip(F.col("line")).alias("output")
     )
+    return scan(out, {"out_no": ("sum", F.lit(1), True)}, keys=[*keys, "cmd_line"])
 
 
 BLAME_SIGNS = "|".join(s.replace("[", r"\[").replace("]", r"\]") for s in shell.BLAME_SIGNALS)

@@ -54,7 +54,7 @@ cte(
 cte(
     "outputs",
     f"""SELECT build_id, owner AS cmd_line, line_no, {_T} AS output, row_number() OVER (PARTITION BY build_id, owner ORDER BY line_no) AS out_no
-  FROM owned WHERE line_type = 'shell_output' AND owner > 0 QUALIFY out_no <= {shell.MAX_OUTPUT}""",
+  FROM owned WHERE line_type = 'shell_output' AND owner > 0""",
 )
 _SIGNS = " OR ".join(f"contains(lower(output), {q(s)})" for s in shell.BLAME_SIGNALS)
 _FINAL = " OR ".join(f"contains(output, {q(s)})" for s in shell.FINAL_EXIT_SIGNALS)

@@ -67,8 +67,6 @@ TOOL_LINES = (
     ("a2l", r"^\s*\+?\s*(a2l\s+.+)"),
 )
 
-MAX_OUTPUT = 30
-
 # Output signs counted when a command is blamed for an error line (lower case).
 BLAME_SIGNALS = (
     "error:", "fatal:", "failed", "exception", "cannot ", "unable to", "not found", "denied",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -94,65 +94,97 @@ TYPED_LINE = StructType([
 ])
 
 
+FINISHED = r"^Finished: [A-Z_]+"
+IDLE = 24 * 3600 * 1000
+
+
 class LineState(StatefulProcessor):
     """Carries shell state, stage and open command of a build from one micro-batch to the next.
 
     Expects the lines of a build in order across micro-batches; inside one they are sorted here, so the
     size of a micro-batch (maxBytesPerTrigger of the source) bounds what one task holds. The marker, stage
-    and command columns are computed by Spark before; only the carrying over is done here.
+    and command columns are computed by Spark before; only the carrying over is done here. A build's state goes
+    with its last line (`Finished: ...`), or once no line has come for `idle` milliseconds; lines after that start anew.
     """
 
+    def __init__(self, idle: int = IDLE) -> None:
+        self.idle = idle
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("line", LINE_STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        lines = pd.concat(list(rows)).sort_values("line_no")
+        lines = pd.concat(list(rows)).sort_values("line_no", ignore_index=True)
         kept = self.state.get() if self.state.exists() else None
         in_sh, after_echo, stage, cmd = kept if kept else (False, False, None, 0)
-        out = []
-        for r in lines.itertuples(index=False):
-            before, echoed = in_sh, after_echo
-            after_echo = r.marker == "pipeline_echo"
-            if r.stage is not None:
-                stage = r.stage
-            if r.marker == "pipeline_sh":
-                in_sh = True
-            elif r.marker in ("pipeline_step", "pipeline_stage", "pipeline_echo"):
-                in_sh, cmd = False, 0
-            elif r.marker is None and not echoed and (r.traced or (r.continued and not before)):
-                cmd = r.line_no
-            out.append((key[0], r.line_no, before, stage, cmd or None))
-        self.state.update((in_sh, after_echo, stage, cmd))
-        yield pd.DataFrame(out, columns=[f.name for f in TYPED_LINE.fields])
+        marker, numbers = lines["marker"], lines["line_no"].astype("Int64")
+        closes = marker.isin(["pipeline_step", "pipeline_stage", "pipeline_echo"])
+        # 1 where a shell step opens, 0 where something else does, carried on
+        shell_now = pd.Series(pd.NA, lines.index, "Int64").mask(marker == "pipeline_sh", 1).mask(closes, 0).ffill().fillna(int(in_sh)) == 1
+        before = shell_now.shift(fill_value=in_sh).astype(bool)
+        echo = marker == "pipeline_echo"
+        starts = marker.isna() & ~echo.shift(fill_value=after_echo).astype(bool) & (lines["traced"] | (lines["continued"] & ~before))
+        owner = numbers.where(starts).mask(closes, 0).ffill().fillna(cmd)
+        stages = lines["stage"].astype(object).where(lines["stage"].notna(), None).ffill()
+        stages = stages.where(stages.notna(), stage)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if lines["finished"].iloc[-1]:
+            self.state.clear()
+        else:
+            self.state.update((bool(shell_now.iloc[-1]), bool(echo.iloc[-1]), stages.iloc[-1], int(owner.iloc[-1])))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+        yield pd.DataFrame({"build_id": key[0], "line_no": numbers, "in_sh": before, "stage": stages, "cmd_line": owner.mask(owner == 0)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def stream_line_state(lines: DataFrame) -> DataFrame:
+def stream_line_state(lines: DataFrame, idle: int = IDLE) -> DataFrame:
     """Shell state, stage and command of each streamed line."""
     line = F.col("line")
     marked = lines.select(
         "build_id", "line_no", C.marker(line).alias("marker"), X.extract(line, C.STAGE_LABEL).alias("stage"),
-        X.shell_command(line).isNotNull().alias("traced"), X.continued_command(line).isNotNull().alias("continued"),
+        X.shell_command(line).isNotNull().alias("traced"), X.continued_command(line).isNotNull().alias("continued"), line.rlike(FINISHED).alias("finished"),
     )
     return marked.groupBy("build_id").transformWithStateInPandas(
-        statefulProcessor=LineState(), outputStructType=TYPED_LINE, outputMode="Append", timeMode="None"
+        statefulProcessor=LineState(idle), outputStructType=TYPED_LINE, outputMode="Append", timeMode="ProcessingTime"
     )
 
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+#: Timers need the RocksDB state store; batches without rows would only look for timers, without end.
+LINE_STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
-def drain_line_state(lines: DataFrame) -> DataFrame:
-    """Run the line state over all that is there; this operator needs the RocksDB state store."""
-    conf = lines.sparkSession.conf
-    before = conf.get(STATE_STORE)
-    conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def line_states_of(arrivals: Sequence[DataFrame], idle: int = IDLE) -> DataFrame:
+    """Line states of lines that arrive one frame after the other (build_id, line_no, line).
+
+    Each arrival is added to one folder and the same query, known by its checkpoint, runs over what is new; so the
+    state outlives the micro-batch and the query that wrote it.
+    """
+    spark = arrivals[0].sparkSession
+    path, out, log = (new_shared_path(spark, n) for n in ("lines", "line-states", "stream-log"))
+    before = {c: spark.conf.get(c) for c in LINE_STATE_CONF}
+    for c, v in LINE_STATE_CONF.items():
+        spark.conf.set(c, v)
     try:
-        return drain(stream_line_state(lines))
+        for frame in arrivals:
+            frame.select("build_id", "line_no", "line").write.mode("append").parquet(path)
+            stream = spark.readStream.schema("build_id bigint, line_no bigint, line string").parquet(path)
+            run = stream_line_state(stream, idle).writeStream.format("parquet").option("path", out).option("checkpointLocation", log)
+            run.trigger(availableNow=True).start().awaitTermination()
     finally:
-        conf.set(STATE_STORE, before)
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    return spark.read.schema(TYPED_LINE).parquet(out)
 
 
 def stream_to_queue(failures: DataFrame, queue_path: str) -> None:

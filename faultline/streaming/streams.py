@@ -86,7 +86,7 @@ def stream_join_build_log(failures: DataFrame, others: DataFrame, late: str = LA
 
 LINE_STATE = StructType([
     StructField("in_sh", BooleanType()), StructField("after_echo", BooleanType()), StructField("stage", StringType()),
-    StructField("cmd_line", LongType()),
+    StructField("cmd_line", LongType()), StructField("timer", LongType()),
 ])
 TYPED_LINE = StructType([
     StructField("build_id", LongType()), StructField("line_no", LongType()), StructField("in_sh", BooleanType()),
@@ -116,8 +116,8 @@ class LineState(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         lines = pd.concat(list(rows)).sort_values("line_no", ignore_index=True)
-        kept = self.state.get() if self.state.exists() else None
-        in_sh, after_echo, stage, cmd = kept if kept else (False, False, None, 0)
+        kept = self.state.get()
+        in_sh, after_echo, stage, cmd, timer = kept or (False, False, None, 0, None)
         marker, numbers = lines["marker"], lines["line_no"].astype("Int64")
         closes = marker.isin(["pipeline_step", "pipeline_stage", "pipeline_echo"])
         # 1 where a shell step opens, 0 where something else does, carried on
@@ -128,13 +128,14 @@ class LineState(StatefulProcessor):
         owner = numbers.where(starts).mask(closes, 0).ffill().fillna(cmd)
         stages = lines["stage"].astype(object).where(lines["stage"].notna(), None).ffill()
         stages = stages.where(stages.notna(), stage)
-        for timer in list(self.handle.listTimers()):
+        if timer is not None:
             self.handle.deleteTimer(timer)
-        if lines["finished"].iloc[-1]:
+        if not lines["finished"].iloc[-1]:
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.idle
+            self.state.update((bool(shell_now.iloc[-1]), bool(echo.iloc[-1]), stages.iloc[-1], int(owner.iloc[-1]), timer))
+            self.handle.registerTimer(timer)
+        elif kept:
             self.state.clear()
-        else:
-            self.state.update((bool(shell_now.iloc[-1]), bool(echo.iloc[-1]), stages.iloc[-1], int(owner.iloc[-1])))
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
         yield pd.DataFrame({"build_id": key[0], "line_no": numbers, "in_sh": before, "stage": stages, "cmd_line": owner.mask(owner == 0)})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

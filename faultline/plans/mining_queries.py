@@ -240,7 +240,7 @@ _NL = "length(t) - length(replace(t, chr(10), ''))"
 cte("code_tokens", f"""SELECT *, CAST(1 + coalesce(sum({_NL}) OVER ({_FILE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS src_line,
     sum(CASE t WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER ({_FILE}) AS depth
   FROM (SELECT repo, file_id, path, unnest(regexp_extract_all(content, {q(SH.TOKEN)})) AS t, unnest(range(1, len(regexp_extract_all(content, {q(SH.TOKEN)})) + 1)) AS i FROM sources)""")
-cte("step_tokens", f"""SELECT * FROM (SELECT *, last_value(CASE WHEN regexp_full_match(t, {q(SH.METHOD)}) THEN {{'i': i, 'depth': depth, 'name': regexp_extract(t, 'def\s+(\w+)', 1)}} END IGNORE NULLS) OVER ({_FILE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS d FROM code_tokens)
+cte("step_tokens", f"""SELECT * FROM (SELECT *, last_value(CASE WHEN regexp_full_match(t, {q(SH.METHOD)}) THEN {{'i': i, 'depth': depth, 'name': regexp_extract(t, 'def\\s+(\\w+)', 1)}} END IGNORE NULLS) OVER ({_FILE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS d FROM code_tokens)
   WHERE regexp_full_match(t, {q(SH.STEP)})""")
 _QUOTED = f"regexp_replace(t, {q('^' + SH.STEP_HEAD)}, '')"
 cte("shell_steps", f"""SELECT repo, file_id, path, src_line, CASE WHEN d IS NULL OR EXISTS (SELECT 1 FROM code_tokens z WHERE z.repo = s.repo AND z.file_id = s.file_id AND z.t = '}}' AND z.i > d.i AND z.i < s.i AND z.depth <= d.depth) THEN NULL

@@ -49,3 +49,11 @@ def test_no_cases_or_no_queries(spark):
     some, none = [(1, "w1 word", "A", "s", "m")], []
     assert K.find_similar(spark.createDataFrame(some, ASK), spark.createDataFrame(none, TOLD)).collect() == []
     assert K.find_similar(spark.createDataFrame(none, ASK), spark.createDataFrame(some, TOLD)).collect() == []
+
+
+def test_no_side_is_broadcast(spark):
+    asked = spark.createDataFrame([(1, "disk quota exceeded", "A", "s", "m")], ASK)
+    told = spark.createDataFrame([(2, "quota of disk exceeded", "A", "s", "m")], TOLD)
+    found = K.find_similar(asked, told)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.query_id, r.id) for r in found.collect()] == [(1, 2)]

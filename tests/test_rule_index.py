@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from faultline.functions import rule_index as RI
+from faultline.functions import rule_index as RI, scan
 from faultline.operators import knowledge as K
 from faultline.plans import load
 
@@ -46,3 +46,13 @@ def test_no_nested_loops(spark):
     for name in ("e05_identify_tool", "e06_identify_tool_long", "e07_match_error", "e08_knowledge_for_log", "j06_merge_retriable", "j07_boost_confidence"):
         plan = queries[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_texts_go_by_key(spark, monkeypatch):
+    """Only rules that a count shows to be few are broadcast; texts never are, however small their files."""
+    texts = spark.createDataFrame([(1, "npm ERR! code")], "k long, text string")
+    rules = _errors(spark, [("npm err", False)])
+    plan = lambda: K.match_errors(texts, rules)._jdf.queryExecution().executedPlan().toString()
+    assert plan().count("SortMergeJoin") == 1
+    monkeypatch.setattr(scan, "SMALL_ROWS", 0)
+    assert "Broadcast" not in plan()

@@ -5,6 +5,10 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+from faultline.functions import text as X
+from faultline.rules import errors as R
+from faultline.sources import tables as T
 from faultline.functions.patterns import required_text
 from faultline.functions.text import found
 
@@ -48,3 +52,24 @@ def test_random_patterns():
 ])
 def test_required_text(pattern, texts):
     assert required_text(pattern) == texts
+
+
+def test_screens_lose_no_match(spark):
+    """The search for many fixed texts at once changes no answer, whatever the case, blanks or letters of a line."""
+    groups = [*R.CATEGORY_PATTERNS.values(), ["Straße kaputt", "ÉCHEC total", "İstek bad", "abc def", "xyz uvw"], [r"\d+"]]
+    lines = ["npm ERR! code", "NPM err! x", "Connection REFUSED", "✗ one", "straße kaputt", "Straße kaputt", "ÉCHEC total", "İstek bad",
+             "fatal:\x0bgone", "Error\r", "timedKout", "out of memory\x00", "", None, "7", "Caused by: x" * 5000 + "Killed by signal 9"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i long, line string")
+    plain = [F.col("line").rlike(X.any_of(g)) for g in groups]
+    got = df.select("i", *[c.alias(f"g{n}") for n, c in enumerate(X.found_each(F.col("line"), groups))])
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(got.collect()) == sorted(df.select("i", *[c.alias(f"g{n}") for n, c in enumerate(plain)]).collect())
+    kept = df.filter(X.maybe(F.col("line"), R.CATEGORY_PATTERNS.values())).select("i")
+    assert not df.filter(plain[0]).select("i").subtract(kept).count()
+
+
+def test_log_lines_number_in_one_window(spark):
+    lines = T.log_lines(spark, "/root/testdata/sf0.001")
+    assert "Join" not in lines._jdf.queryExecution().executedPlan().toString()
+    seen = lines.groupBy("build_id").agg(F.count("*").alias("n"), F.count_distinct("line_no").alias("d"), F.max("line_no").alias("m"))
+    assert seen.filter("n <> d or n <> m").count() == 0

@@ -43,3 +43,18 @@ def test_silent_builds_are_dropped(spark):
     steps = arrivals(spark, rows(1, TEXT), rows(2, "a"), rows(1, "b", 12))
     assert states(streams.line_states_of(steps, idle=0))[(1, 12)] == (False, None, None)
     assert states(streams.line_states_of(steps))[(1, 12)] == (True, "Build", 10)
+
+
+def test_failures_meet_rows_near_them_by_time_bucket(spark, tmp_path):
+    """Rows of one host are compared by time, whatever side of a bucket's border they lie on."""
+    at = lambda s: f"timestamp_seconds({s})"
+    # 1,000,000 is a border of 625 seconds; times at the epoch itself are before the first watermark
+    every = [1_000_000 + s for s in (0, 24, 25, 599, 600, 601, 624, 625, 626, 1200, 1224, 1225, 1249, 1250, 5000)]
+    rows_of = " UNION ALL ".join(f"SELECT {i}L AS event_id, 'h' AS host, {at(s)} AS ts, 'x' AS raw" for i, s in enumerate(every))
+    path = str(tmp_path / "events")
+    spark.sql(rows_of).write.parquet(path)
+    stream = lambda: spark.readStream.schema("event_id bigint, host string, ts timestamp, raw string").parquet(path)
+    joined = streams.stream_join_build_log(stream(), stream())
+    assert "bucket" in joined._jdf.queryExecution().analyzed().toString()
+    got = {(r.failure, r.event_id) for r in streams.drain(joined).collect()}
+    assert got == {(i, j) for i, a in enumerate(every) for j, b in enumerate(every) if a - 600 <= b <= a}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.functions import text as X
-from faultline.functions.scan import top_per
+from faultline.functions.scan import counted_small, top_per
 from faultline.operators import classify as C, traces as TR
 from faultline.rules import config as R
 
@@ -288,12 +288,13 @@ def library_functions(functions: DataFrame, lines: DataFrame) -> DataFrame:
     """Functions of shared libraries that a log names, with file and parameters, and functions seen in script frames (file
     `unknown`, if no library defines them).
 
-    Words of a line meet function names by equality, before they are made distinct.
+    Words of a line meet function names by equality, before they are made distinct. A word may be on most lines, so names are
+    broadcast if a count shows that they are few.
     """
     words = lines.select("build_id", F.explode(F.array_distinct(every(F.col("line"), r"(\w+)"))).alias("name"))
-    named = words.join(functions.select("name"), "name", "left_semi").distinct()
+    named = words.join(counted_small(functions.select("name").distinct()), "name", "left_semi").distinct()
     framed = lines.filter(F.col("line").rlike(SCRIPT_FRAME)).select("build_id", X.extract(F.col("line"), SCRIPT_FRAME).alias("name")).distinct()
-    both = named.unionByName(framed).distinct().join(functions, "name", "left")
+    both = named.unionByName(framed).distinct().join(counted_small(functions), "name", "left")
     return both.select("build_id", "name", F.coalesce("path", F.lit("unknown")).alias("path"), F.coalesce("params", F.lit("")).alias("params"))
 
 

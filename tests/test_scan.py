@@ -107,3 +107,11 @@ def test_range_max_matches_a_plain_loop(spark):
     for b, e in asks:
         want = [max((v for k, i, v in rows if k == b and v is not None and e - back <= i <= e - ahead), default=None) for back, ahead in ranges.values()]
         assert got.get((b, e), [None] * 4) == want
+
+
+def test_a_scan_of_short_keys_reads_its_rows_once(spark):
+    _, df = table(spark, n=20)
+    got = scan(df, {"last": ("last", F.col("v"), False)}, keep=True)
+    again = scan(got, {"total": ("sum", F.col("last"), True)}, long=False)
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from faultline.operators import errors as E, mining as M
+from faultline.operators import classify as C, errors as E, mining as M
 from faultline.plans import load
+from faultline.sources import tables as T
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +30,25 @@ def test_few_function_names_are_broadcast(log, spark):
     found = M.library_functions(functions, log("calling deploy now\nother"))
     assert _plan(found).count("broadcast") == 2
     assert [tuple(r) for r in found.collect()] == [(1, "deploy", "vars/deploy.groovy", "")]
+
+
+def test_output_lines_are_numbered_without_a_shuffle_of_their_own(small_chunks, log):
+    text = "\n".join(["[Pipeline] sh", "+ make a", *[f"a{i}" for i in range(20)], "+ make b", "b0", "[Pipeline] echo", "x", "[Pipeline] sh", "c0", "+ make c", "c1"])
+    owned = C.owned_lines(C.typed_lines(log(text)))
+    got = sorted((r.cmd_line, r.out_no, r.output) for r in C.command_output(owned).collect())
+    assert got == [(2, i + 1, f"a{i}") for i in range(20)] + [(23, 1, "b0"), (29, 1, "c1")]
+
+
+def test_chosen_lines_are_not_worked_out_again_for_labels(spark):
+    assert "finder" not in _plan(load().QUERIES["c20_context_line_labels"](spark, SF))
+
+
+def test_fragments_of_a_chunk_lie_together(spark):
+    parts = T.log_lines(spark, SF).withColumn("part", F.spark_partition_id()).groupBy("build_id").agg(F.count_distinct("part").alias("n"))
+    assert parts.filter("n > 1").isEmpty()
+
+
+def test_primary_line_with_and_without_a_weight(small_chunks, log):
+    lines = log("ok\nERROR: one\n\tat a.b.C(\nlast \n ", "quiet\nstill quiet\n", "BUILD FAILURE\n[Pipeline] stage\n[Pipeline] { (B)\n\tat a.b.C(")
+    got = {r.build_id: (r.finder_line, r.finder_text, r.scored) for r in E.primary_line(lines).collect()}
+    assert got == {1: (2, "ERROR: one", True), 2: (2, "still quiet", False), 3: (4, "\tat a.b.C(", True)}

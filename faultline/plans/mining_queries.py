@@ -272,7 +272,7 @@ _BAG = lambda c: f"list_distinct(list_filter(string_split_regex(lower(trim({c}))
     QUALIFY row_number() OVER (PARTITION BY c.tool, c.command ORDER BY score DESC, s.path, s.src_line, s.command) = 1) b ON b.tool = i.tool AND b.command = i.command""".replace(" AND build_id % 5 >= 0", ""),
 )
 def e11(spark, d):
-    steps = C.invocations(checkpointed(T.log_lines(spark, d)), cut=checkpointed).filter("form = 'shell'").select("build_id", "cmd_line", "tool", "command")
+    steps = checkpointed(C.invocations(checkpointed(T.log_lines(spark, d)), cut=checkpointed).filter("form = 'shell'").select("build_id", "cmd_line", "tool", "command"))
     src = SH.source_tool_usage(S.sources(spark, d)).select("tool", "path", "src_line", "command").distinct()
     return K.trace_to_source(steps, src).select("build_id", "cmd_line", "tool", "path", "score")
 

@@ -52,3 +52,14 @@ def test_primary_line_with_and_without_a_weight(small_chunks, log):
     lines = log("ok\nERROR: one\n\tat a.b.C(\nlast \n ", "quiet\nstill quiet\n", "BUILD FAILURE\n[Pipeline] stage\n[Pipeline] { (B)\n\tat a.b.C(")
     got = {r.build_id: (r.finder_line, r.finder_text, r.scored) for r in E.primary_line(lines).collect()}
     assert got == {1: (2, "ERROR: one", True), 2: (2, "still quiet", False), 3: (4, "\tat a.b.C(", True)}
+
+
+def test_facts_of_a_build_are_worked_out_once(spark, log):
+    seen = []
+
+    def counted(df):
+        seen.append(set(df.columns))
+        return df
+
+    E.chosen_lines(log("[Pipeline] stage\n[Pipeline] { (B)\nERROR: one"), counted)
+    assert {"build_id", "n_lines", "last_stage", "last_stage_line"} in seen

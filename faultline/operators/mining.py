@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.functions import text as X
-from faultline.functions.scan import counted_small, top_per
+from faultline.functions.scan import counted_small, has_long, top_per
 from faultline.operators import classify as C, traces as TR
 from faultline.rules import config as R
 
@@ -25,10 +25,20 @@ def _hits(line: Column, rules) -> Column:
     return F.array_compact(F.array(*items))
 
 
+def _patterns(rules) -> list[str]:
+    return [p for kinds in rules.values() for patterns in kinds.values() for p in patterns]
+
+
 def config_issues(lines: DataFrame, families=tuple(R.CONFIG_ISSUES)) -> DataFrame:
-    """One row per issue, with the stage and node of its line."""
+    """One row per issue, with the stage and node of its line.
+
+    Lines without a fixed text of the issues or of the stage and node forms neither hold an issue nor move its place; they
+    go before the scan.
+    """
     rules = {k: v for k, v in R.CONFIG_ISSUES.items() if k in families}
-    placed = C.place_lines(lines).withColumn("h", F.explode(_hits(F.col("line"), rules)))
+    may, moves = X.maybe_each(F.col("line"), [_patterns(rules), C.PLACE_FORMS])
+    able = lines.withColumn("_may", may).withColumn("_moves", moves).filter("_may or _moves").drop("_moves")
+    placed = C.place_lines(able, has_long(lines)).filter("_may").withColumn("h", F.explode(_hits(F.col("line"), rules)))
     return placed.select("build_id", "line_no", "stage", "node", "h.*")
 
 
@@ -76,7 +86,9 @@ def groovy_errors(lines: DataFrame) -> DataFrame:
     line = F.col("line")
     sig = r"No signature of method:\s+(\S+)\.(\w+)\("
     rejected = r"(?:method|staticMethod)\s+(\S+)\s+(\w+)"
-    hits = lines.withColumn("h", F.explode(_hits(line, GROOVY_RULES)))
+    # the patterns are tried one by one, on lines with a fixed text of one of them only
+    able = lines.filter(X.maybe(line, [_patterns(GROOVY_RULES)]))
+    hits = able.withColumn("h", F.explode(_hits(line, GROOVY_RULES)))
     kind = F.col("h.family")
     target = (
         F.when(kind == "missing_method", X.extract(line, sig, 1)).when(kind == "sandbox_rejection", X.extract(line, rejected, 1))

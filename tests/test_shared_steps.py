@@ -63,3 +63,13 @@ def test_facts_of_a_build_are_worked_out_once(spark, log):
 
     E.chosen_lines(log("[Pipeline] stage\n[Pipeline] { (B)\nERROR: one"), counted)
     assert {"build_id", "n_lines", "last_stage", "last_stage_line"} in seen
+
+
+def test_rules_are_tried_on_few_lines_only(small_chunks, log, monkeypatch):
+    quiet = "\n".join(f"quiet {i}" for i in range(20))
+    lines = log(f"[Pipeline] {{ (Build)\n{quiet}\nRunning on agent-1\nquiet\nTool 'maven-3' not found\nNo such property: x for class: Lib")
+    hits = M._hits
+    quiet_fails = F.when(F.col("line").startswith("quiet"), F.raise_error(F.lit("a line without any fixed text was tried")).cast("string"))
+    monkeypatch.setattr(M, "_hits", lambda line, rules: F.when(quiet_fails.isNull(), hits(line, rules)))
+    assert [(r.line_no, r.stage, r.node, r.name) for r in M.config_issues(lines).collect()] == [(24, "Build", "agent-1", "maven-3")]
+    assert [(r.line_no, r.kind) for r in M.groovy_errors(lines).collect()] == [(25, "missing_property")]

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from faultline.operators import classify as C, errors as E, mining as M
+from faultline.operators import blame as BL, classify as C, errors as E, mining as M
 from faultline.plans import load
 from faultline.sources import tables as T
 
@@ -73,3 +73,26 @@ def test_rules_are_tried_on_few_lines_only(small_chunks, log, monkeypatch):
     monkeypatch.setattr(M, "_hits", lambda line, rules: F.when(quiet_fails.isNull(), hits(line, rules)))
     assert [(r.line_no, r.stage, r.node, r.name) for r in M.config_issues(lines).collect()] == [(24, "Build", "agent-1", "maven-3")]
     assert [(r.line_no, r.kind) for r in M.groovy_errors(lines).collect()] == [(25, "missing_property")]
+
+
+def test_a_bundle_works_facts_out_once_and_reads_outputs_in_a_scan(spark, log):
+    facts = []
+
+    def counted(df):
+        if "last_stage" in df.columns:
+            facts.append(df)
+        return df
+
+    text = "[Pipeline] stage\n[Pipeline] { (B)\n+ make a\nERROR: one\n\n+ make b\ncannot\nTraceback (most recent call last):\n  File \"a.py\", line 3, in f\nValueError: bad\n  File \"b.py\", line 4, in g\njava.lang.IllegalStateException: no\n\tat a.B.c(B.java:1)\n\tat a.B.d(B.java:2)"
+    bundle = BL.evidence_bundle(log(text, "quiet"), counted)
+    got = {(r.build_id, r.section, r.ord, r.line_no, r.text) for r in bundle.collect() if r.section != "error"}
+    assert got == {
+        (1, "stage", 1, 1, "B"), (1, "command", 1, 6, "make b"), (1, "command", 2, 3, "make a"),
+        (1, "trace", 1, 8, "ValueError: bad"), (1, "trace", 2, 12, "java.lang.IllegalStateException: no"),
+        (1, "trace", 3, 12, "IllegalStateException: no"),
+    }
+    errors = {r.line_no: r.text for r in bundle.collect() if r.section == "error"}
+    lines = text.split("\n")
+    assert errors and all(t == "\n".join(lines[max(0, n - 11) : n + 2]) for n, t in errors.items())
+    assert len(facts) == 1
+    assert "Join" not in _plan(BL.command_context(log(text)))

@@ -58,3 +58,13 @@ def test_failures_meet_rows_near_them_by_time_bucket(spark, tmp_path):
     assert "bucket" in joined._jdf.queryExecution().analyzed().toString()
     got = {(r.failure, r.event_id) for r in streams.drain(joined).collect()}
     assert got == {(i, j) for i, a in enumerate(every) for j, b in enumerate(every) if a - 600 <= b <= a}
+
+
+def test_builds_share_calls(spark, monkeypatch):
+    """One group for all builds gives what one build alone gives: nothing flows from one into the next, and silent ones go one by one."""
+    monkeypatch.setattr(streams, "LINE_GROUPS", 1)
+    first, second = rows(1, TEXT) + rows(2, "+ make a\nx") + rows(3, "plain"), rows(1, "Finished: SUCCESS", 12) + rows(2, "y", 3) + rows(3, "z", 2)
+    got = states(streams.line_states_of(arrivals(spark, first, second, rows(1, "z", 13) + rows(2, "z", 4))))
+    assert got[(1, 11)] == (True, "Build", 10) and got[(1, 13)] == (False, None, None)
+    assert got[(2, 1)] == (False, None, 1) and got[(2, 4)] == (False, None, 1) and got[(3, 2)] == (False, None, None)
+    assert states(streams.line_states_of(arrivals(spark, rows(1, TEXT), rows(2, "+ b"), rows(1, "b", 12)), idle=0))[(1, 12)] == (False, None, None)

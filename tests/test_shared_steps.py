@@ -96,3 +96,13 @@ def test_a_bundle_works_facts_out_once_and_reads_outputs_in_a_scan(spark, log):
     assert errors and all(t == "\n".join(lines[max(0, n - 11) : n + 2]) for n, t in errors.items())
     assert len(facts) == 1
     assert "Join" not in _plan(BL.command_context(log(text)))
+
+
+def test_context_of_deep_types_is_not_spelled_out(log):
+    text = "\n".join(["no space left", *[f"l{i}" for i in range(9)], "java.io.IOException: Permission denied", "a", "b", "c", "unknown host", "404"])
+    lines = log(text, "x\nERROR: one two three")
+    found = E.deep_types(E.deep_primary_line(lines), lines)
+    got = {(r.build_id, r.line_no, r.error_type, r.evidence) for r in found.collect()}
+    assert got == {(1, 11, "PERMISSION_DENIED", "PERMISSION_DENIED:line,DISK_FULL:context,NETWORK_DNS:context"), (2, 2, "UNKNOWN", "")}
+    plan = _plan(E.deep_types(lines.withColumn("n_lines", F.lit(1)), lines))
+    assert "+ 4" in plan and "sequence(greatest" not in plan

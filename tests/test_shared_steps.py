@@ -106,3 +106,10 @@ def test_context_of_deep_types_is_not_spelled_out(log):
     assert got == {(1, 11, "PERMISSION_DENIED", "PERMISSION_DENIED:line,DISK_FULL:context,NETWORK_DNS:context"), (2, 2, "UNKNOWN", "")}
     plan = _plan(E.deep_types(lines.withColumn("n_lines", F.lit(1)), lines))
     assert "+ 4" in plan and "sequence(greatest" not in plan
+
+
+def test_stage_patterns_run_where_their_text_is(small_chunks, log):
+    text = "[Pipeline] stage\n[Pipeline] { (Build (QA))\n[Pipeline] sh\n+ make (all)\n[Pipeline] }\n[Pipeline] // stage\n[Pipeline] { (Old)\n[Pipeline] Stage \n[Pipeline] echo\nx\n[Pipeline] Named\n[Pipeline] {\n[Pipeline] { ()\n[pipeline] { (no)"
+    marks = C.stage_markers(log(text))
+    assert sorted((r.line_no, r.stage, r.form) for r in marks.collect()) == [(1, "Build (QA)", "declared"), (7, "Old", "legacy"), (8, "Named", "declared")]
+    assert _plan(marks).count("regexp_extract(") <= 16  # each part of a marker is worked out once

@@ -21,6 +21,19 @@ def test_context_is_that_of_a_join(small_chunks, log):
     assert got == {(b, a, c): list(range(max(1, a - 10), min(n[b], a + 4) + 1)) for b, a, c in [tuple(r) for r in points.collect()]}
 
 
+def test_lines_around_one_point_are_those_of_a_join(small_chunks, log):
+    lines = log("\n".join(f"l{i}" for i in range(1, 31)), "a\nb", "c")
+    points = small_chunks.createDataFrame([(1, 15), (2, 1), (3, 1)], "build_id bigint, at bigint")
+    cols = ["build_id", "at", "line_no", "near_line"]
+    got, want = (f(points, lines, 10, 8).select(cols).collect() for f in (E.around_point, E.around))
+    assert sorted(got) == sorted(want) and len(got) == 19 + 2 + 1
+
+
+def test_points_are_not_spelled_out_for_the_driver(spark):
+    df = load().QUERIES["c20_context_line_labels"](spark, SF)
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_log_lines_are_stored_once(spark):
     assert "l_partkey" not in _plan(load().QUERIES["d03_errors_from_end"](spark, SF))
 

@@ -34,7 +34,7 @@ _FAMILY_KEYS = (("k01_credential_issues", "credential"), ("k02_env_issues", "env
 def _family_query(key: str, family: str) -> None:
     @query(key, f"SELECT family, issue, name, stage, count(DISTINCT build_id) AS builds, count(*) AS hits FROM config_issues WHERE family = {q(family)} GROUP BY ALL")
     def run(spark, d):
-        return M.issue_rollup(M.config_issues(checkpointed(T.log_lines(spark, d)), (family,)))
+        return M.issue_rollup(M.config_issues(T.stored_lines(spark, d), (family,)))
 
 
 for _key, _family in _FAMILY_KEYS:
@@ -53,7 +53,7 @@ def k03(spark, d):
 
 @query("k04_tool_issues", "SELECT build_id, line_no, issue, name, extra AS version, node FROM config_issues WHERE family = 'tool'")
 def k04(spark, d):
-    return M.config_issues(checkpointed(T.log_lines(spark, d)), ("tool",)).select("build_id", "line_no", "issue", "name", F.col("extra").alias("version"), "node")
+    return M.config_issues(T.stored_lines(spark, d), ("tool",)).select("build_id", "line_no", "issue", "name", F.col("extra").alias("version"), "node")
 
 
 _PRIM = "CASE family " + " ".join(
@@ -64,12 +64,12 @@ _PRIM = "CASE family " + " ".join(
 
 @query("k08_primary_config_issue", f"SELECT build_id, {_PRIM} AS primary_issue FROM config_issues QUALIFY row_number() OVER (PARTITION BY build_id ORDER BY ord, line_no) = 1")
 def k08(spark, d):
-    return M.primary_config_issue(M.config_issues(checkpointed(T.log_lines(spark, d))))
+    return M.primary_config_issue(M.config_issues(T.stored_lines(spark, d)))
 
 
 @query("k09_tool_issues_by_type", f"SELECT coalesce({first_match('lower(name)', R.TOOL_FAMILIES)}, 'unknown') AS tool_type, issue, count(*) AS n FROM config_issues WHERE family = 'tool' GROUP BY ALL")
 def k09(spark, d):
-    issues = M.config_issues(checkpointed(T.log_lines(spark, d)), ("tool",))
+    issues = M.config_issues(T.stored_lines(spark, d), ("tool",))
     return issues.groupBy(M.tool_family(F.col("name")).alias("tool_type"), "issue").agg(F.count("*").alias("n"))
 
 
@@ -151,7 +151,7 @@ cte("credential_usage", f"SELECT credential, count(*) AS files FROM (SELECT file
     "SELECT u.credential, files, builds FROM credential_usage u JOIN (SELECT name, count(DISTINCT build_id) AS builds FROM config_issues WHERE family = 'credential' AND issue = 'not_found' GROUP BY 1) i ON i.name = u.credential",
 )
 def k20(spark, d):
-    issues = M.config_issues(checkpointed(T.log_lines(spark, d)), ("credential",))
+    issues = M.config_issues(T.stored_lines(spark, d), ("credential",))
     return M.missing_credentials(M.credential_usage(S.sources(spark, d)), issues)
 
 
@@ -272,7 +272,7 @@ _BAG = lambda c: f"list_distinct(list_filter(string_split_regex(lower(trim({c}))
     QUALIFY row_number() OVER (PARTITION BY c.tool, c.command ORDER BY score DESC, s.path, s.src_line, s.command) = 1) b ON b.tool = i.tool AND b.command = i.command""".replace(" AND build_id % 5 >= 0", ""),
 )
 def e11(spark, d):
-    steps = checkpointed(C.invocations(checkpointed(T.log_lines(spark, d)), cut=checkpointed).filter("form = 'shell'").select("build_id", "cmd_line", "tool", "command"))
+    steps = checkpointed(C.invocations(T.stored_lines(spark, d), cut=checkpointed).filter("form = 'shell'").select("build_id", "cmd_line", "tool", "command"))
     src = SH.source_tool_usage(S.sources(spark, d)).select("tool", "path", "src_line", "command").distinct()
     return K.trace_to_source(steps, src).select("build_id", "cmd_line", "tool", "path", "score")
 
@@ -301,5 +301,5 @@ def k15(spark, d):
 
 @query("f09_tools_used", "SELECT build_id, array_to_string(list_sort(list(DISTINCT tool)), ',') AS tools FROM invocations GROUP BY 1")
 def f09(spark, d):
-    used = C.invocations(checkpointed(T.log_lines(spark, d)), cut=checkpointed).select("build_id", "tool").distinct()
+    used = C.invocations(T.stored_lines(spark, d), cut=checkpointed).select("build_id", "tool").distinct()
     return used.groupBy("build_id").agg(F.array_join(F.array_sort(F.collect_list("tool")), ",").alias("tools"))

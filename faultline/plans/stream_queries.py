@@ -112,7 +112,7 @@ def a12(spark, d):
 @query("a13_write_findings", "SELECT status, count(*) AS n FROM builds WHERE NOT building AND (status = 'FAILURE' OR status IS NULL) AND build_id IN (SELECT build_id FROM log_lines) GROUP BY 1")
 def a13(spark, d):
     path = new_shared_path(spark, "findings")
-    writers.write_findings(TG.findings(checkpointed(T.log_lines(spark, d)), T.builds(spark, d), checkpointed).withColumn("day", F.left("day", F.lit(7))), path)
+    writers.write_findings(TG.findings(T.stored_lines(spark, d), T.builds(spark, d), checkpointed).withColumn("day", F.left("day", F.lit(7))), path)
     return spark.read.parquet(path).groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -122,7 +122,7 @@ def a13(spark, d):
 @query("n01_register_rules", "SELECT category, count(*) AS n FROM errors GROUP BY 1 UNION ALL SELECT 'SITE_RULE', count(*) FROM (SELECT DISTINCT build_id, trim(line, ' ' || chr(9)) FROM clean WHERE regexp_matches(line, 'Checking out branch'))")
 def n01(spark, d):
     user, _ = UR.register_rules(spark, {"site_rule": ["Checking out branch", "broken[("]})
-    errs = E.parsed_errors(checkpointed(T.log_lines(spark, d)), custom=user, cut=checkpointed)
+    errs = E.parsed_errors(T.stored_lines(spark, d), custom=user, cut=checkpointed)
     return errs.groupBy("category").agg(F.count("*").alias("n"))
 
 
@@ -144,7 +144,7 @@ cte("cum_chars", "SELECT build_id, line_no, line, sum(length(line) + 1) OVER (PA
   FROM exec_marks m JOIN cum_chars s ON s.build_id = m.build_id AND s.line_no = m.line_no LEFT JOIN cum_chars l ON l.build_id = m.build_id AND l.line_no > m.line_no AND l.upto <= s.upto + 5000 GROUP BY m.build_id, m.line_no, m.stage""",
 )
 def c21(spark, d):
-    return C.execution_path(checkpointed(T.log_lines(spark, d)))
+    return C.execution_path(T.stored_lines(spark, d))
 
 
 @query(
@@ -154,4 +154,4 @@ def c21(spark, d):
     JOIN spans s ON s.build_id = p.build_id AND p.line_no BETWEEN s.start_line AND s.end_line) GROUP BY ALL""",
 )
 def c28(spark, d):
-    return C.stage_durations(checkpointed(T.log_lines(spark, d)))
+    return C.stage_durations(T.stored_lines(spark, d))

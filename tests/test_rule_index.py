@@ -56,3 +56,12 @@ def test_texts_go_by_key(spark, monkeypatch):
     assert plan().count("SortMergeJoin") == 1
     monkeypatch.setattr(scan, "SMALL_ROWS", 0)
     assert "Broadcast" not in plan()
+
+
+def test_filed_runs_are_those_of_all_runs(spark):
+    texts = ["", None, "ab", "abc", "xABCabc\nbcx", "naïve ABC", "\u0130bc abc", "ßabc", "abcab", "cab", "zzz" * 50]
+    grams = ["abc", "bcx", "c\nb", "zzz", "ïve", "i̇b", "cxn", "rule 1", "q"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    got = {r.i: r for r in rows.select("i", F.array_sort(RI.filed_runs(F.col("t"), grams)).alias("f"), F.array_sort(RI.runs(F.col("t"))).alias("all")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].f == (None if t is None else [g for g in got[i].all if g in grams]), t

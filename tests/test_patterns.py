@@ -64,3 +64,12 @@ def test_text_of_lines_is_not_shuffled_for_deep_types(spark):
     below = [row for row in plan.split("\n") if "Exchange hashpartitioning" in row and "_chunk" in row]
     scans = plan.count("Bucketed: true")
     assert scans >= 2 and len(below) <= 2  # facts alone are dealt, once to each reading of the lines
+
+
+def test_tails_are_not_shuffled(spark):
+    from faultline.operators import search as S
+
+    lines = T.stored_lines(spark, SF)
+    for df in (S.tail_lines(lines), S.partition_noise(S.tail_lines(lines)).groupBy("build_id", "_b").agg(F.collect_list("line"))):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in S.focused_log(lines)._jdf.queryExecution().executedPlan().toString()
